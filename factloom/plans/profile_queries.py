@@ -56,9 +56,9 @@ _LINEITEM_NUMBERS = (
 @query(
     "I9",
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", round(avg({c}), 4) AS mean, round(median({c}), 4) AS median,
-        round(stddev_samp({c}), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max,
-        round(skewness({c}), 4) AS skewness, count(*) - count({c}) AS nulls FROM lineitem"""
+        f"""SELECT '{c}' AS "column", round_even(avg({c}), 4) AS mean, round_even(median({c}), 4) AS median,
+        round_even(stddev_samp({c}), 4) AS std, round_even(CAST(min({c}) AS DOUBLE), 4) AS min, round_even(CAST(max({c}) AS DOUBLE), 4) AS max,
+        round_even(skewness({c}), 4) AS skewness, count(*) - count({c}) AS nulls FROM lineitem"""
         for c in _LINEITEM_NUMBERS
     ),
 )
