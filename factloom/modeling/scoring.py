@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions.columns import col
 from factloom.modeling import metrics as M
-from factloom.modeling.prep import FeaturePlan, assign_folds, prep_pipeline
+from factloom.modeling.prep import SMALL_TABLE, FeaturePlan, assign_folds, prep_pipeline
 from factloom.modeling.tournament import Tournament, candidate, predict_with, run_tournament, verdict
 from factloom.operators.leakage import leakage_messages, leakage_warnings
+from factloom.session import run_jobs
 
 # Sizes used after the tournament.
 CALIBRATION_FOLDS, TOP_FEATURES, RULE_LINES = 3, 10, 15
@@ -110,8 +111,8 @@ def calibrated_parts(table: DataFrame, plan: FeaturePlan, names: Sequence[str])
     if folds < 2:
         return []
     split = assign_folds(table.drop("_fold"), folds, "_y", seed=7)
-    parts = []
-    for fold in range(folds):
+
+    def calibrate(fold: int) -> Part:
         part = fit_part(split.filter(F.col("_fold") != fold), plan, names)
         held = part_output(part, split.filter(F.col("_fold") == fold), plan, "_p").select("_y", "_p").persist()
         try:
@@ -121,8 +122,10 @@ def calibrated_parts(table: DataFrame, plan: FeaturePlan, names: Sequence[str])
             ]
         finally:
             held.unpersist()
-        parts.append(part)
-    return parts
+        return part
+
+    together = folds if plan.rows <= SMALL_TABLE else 1
+    return run_jobs(table.sparkSession, calibrate, range(folds), together)
 
 
 def _calibrated(p: Column, part: Part, plan: FeaturePlan) -> Column:

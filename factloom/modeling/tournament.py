@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -29,13 +27,14 @@ from pyspark.sql import functions as F
 from factloom.modeling import metrics as M
 from factloom.modeling.prep import (
     MINORITY_LIMIT,
+    SMALL_TABLE,
     FeaturePlan,
     fold_count,
     plan_features,
     prep_pipeline,
     training_table,
 )
-from factloom.session import materialize
+from factloom.session import materialize, run_jobs
 
 # Sizes of the candidates and limits of the verdict.
 SEED = 42
@@ -191,34 +190,39 @@ def out_of_fold(table: DataFrame, plan: FeaturePlan, names: Sequence[str], paral
     std = 1.0
     if plan.problem == "regression":
         std = table.agg(F.stddev_samp("_y").alias("s")).first()["s"] or 1.0
-    folds = fold_count(plan)
+    spark = table.sparkSession
     errors: dict[str, str] = {}
-    parts = []
-    for fold in range(folds):
+
+    def hold_out(fold: int) -> DataFrame:
         train = table.filter(F.col("_fold") != fold)
         prep = prep_pipeline(plan).fit(train)
         ready = prep.transform(train).select("features", "_y", "_w").persist()
-        ready.count()
-
-        def fit(name: str, ready: DataFrame = ready):
-            try:
-                return candidate(name, plan, std).fit(ready)
-            except Exception as exc:  # a failed candidate is recorded, the others go on
-                errors[name] = str(exc).splitlines()[0]
-                return None
-
-        with ThreadPool(min(parallel, len(names))) as pool:
-            models = pool.map(inheritable_thread_target(table.sparkSession)(fit), list(names))
+        try:
+            base = _baseline_column(ready, plan)
+
+            def fit(name: str):
+                try:
+                    return candidate(name, plan, std).fit(ready)
+                except Exception as exc:  # a failed candidate is recorded, the others go on
+                    errors[name] = str(exc).splitlines()[0]
+                    return None
+
+            models = run_jobs(spark, fit, names, parallel)
+        finally:
+            ready.unpersist()
         held = prep.transform(table.filter(F.col("_fold") == fold)).select("features", "_y", "_fold", "_w")
-        held = held.withColumn("base", _baseline_column(ready, plan))
+        held = held.withColumn("base", base)
         for name, model in zip(names, models):
             if model is not None:
                 held = predict_with(model, held, plan, slots[name])
             else:
                 kind = "double" if plan.problem == "regression" else "array<double>"
                 held = held.withColumn(slots[name], F.lit(None).cast(kind))
-        parts.append(materialize(held.select("_y", "_fold", "base", *slots.values()), "held"))
-        ready.unpersist()
+        return materialize(held.select("_y", "_fold", "base", *slots.values()), "held")
+
+    # Small tables leave the executors idle, so their folds run side by side.
+    together = parallel if plan.rows <= SMALL_TABLE else 1
+    parts = run_jobs(spark, hold_out, range(fold_count(plan)), together)
     return reduce(DataFrame.unionByName, parts), slots, errors
 
 

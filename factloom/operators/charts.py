@@ -20,9 +20,10 @@ from factloom.functions.columns import (
     numeric_columns,
     to_number,
 )
-from factloom.operators.order import exact_quantiles, ordered_prefix
+from factloom.operators.order import broadcast_if_small, exact_quantiles, ordered_prefix
 from factloom.operators.profile import few_valued
 from factloom.operators.segments import segment_labels
+from factloom.session import materialize
 
 # Chart limits and positive words.
 BINS = 30
@@ -45,8 +46,9 @@ def histograms(df: DataFrame, names: Sequence[str], bins: int = BINS, split_by:
 
     With ``split_by`` the populations share the bins, as an overlay needs.
     """
-    keep = [split_by] if split_by else []
-    cells = long_values(df, names, "double", keep)
+    keep = ["_split"] if split_by else []
+    data = df.withColumn("_split", col(split_by)) if split_by else df
+    cells = long_values(data, names, "double", keep)
     edges = cells.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     same = F.col("lo") == F.col("hi")
     edges = edges.select(
@@ -63,7 +65,7 @@ def histograms(df: DataFrame, names: Sequence[str], bins: int = BINS, split_by:
     step = (F.col("hi") - F.col("lo")) / bins
     return frame.join(counts, ["column", *keep, "bin"], "left").select(
         "column",
-        *keep,
+        *([F.col("_split").alias(split_by)] if split_by else []),
         "bin",
         (F.col("lo") + F.col("bin") * step).alias("lower"),
         F.when(F.col("bin") == bins - 1, F.col("hi"))
@@ -156,17 +158,19 @@ def category_rates(df: DataFrame, target: str) -> DataFrame:
 def box_stats(df: DataFrame, target: str, names: Sequence[str] | None = None) -> DataFrame:
     """Quartiles and 1.5-IQR whiskers per target value for up to four numeric columns."""
     names = list(names) if names is not None else numeric_columns(df, [target])[:MAX_BOXES]
-    boxes = exact_quantiles(df, names, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=[target])
-    cells = long_values(df, names, "double", [target])
+    data = df.select(col(target).cast("string").alias("_target"), *[col(n) for n in names])
+    boxes = exact_quantiles(data, names, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=["_target"])
+    boxes = materialize(boxes, "boxes")
+    cells = long_values(data, names, "double", ["_target"])
     reach = (F.col("q3") - F.col("q1")) * 1.5
     whiskers = (
-        cells.join(F.broadcast(boxes), [target, "column"])
+        cells.join(broadcast_if_small(boxes), ["_target", "column"])
         .filter(F.col("value").between(F.col("q1") - reach, F.col("q3") + reach))
-        .groupBy(target, "column")
+        .groupBy("_target", "column")
         .agg(F.min("value").alias("whisker_low"), F.max("value").alias("whisker_high"))
     )
-    return boxes.join(whiskers, [target, "column"]).select(
-        F.col(target).cast("string").alias("target_value"),
+    return boxes.join(whiskers, ["_target", "column"]).select(
+        F.col("_target").alias("target_value"),
         "column", "n", "q1", "median", "q3", "whisker_low", "whisker_high",
     )
 

@@ -27,9 +27,16 @@ ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 10_000
 SKETCH_ACCURACY = 20_000
 BRACKET = 2.0 / SKETCH_ACCURACY
+# Below this size a bracket would be narrower than two ranks, so all values are kept.
+KEEP_ALL_ROWS = 2 * SKETCH_ACCURACY
 MAX_BROADCAST_GROUPS = 10_000
 
 
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_GROUPS) -> DataFrame:
+    """A broadcast hint only after counting the rows; beyond the limit the planner joins by shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def _bucketed(counts: DataFrame, value: str, rows: int) -> tuple[DataFrame, int]:
     buckets = max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
     if buckets == 1:
@@ -157,15 +164,17 @@ def exact_quantiles(
     high_p = [min(1.0, p + BRACKET) for p in asked]
     data = df.select(*[col(b) for b in by], *[as_double(df, c).alias(f"_v{i}") for i, c in enumerate(columns)])
 
+    wide = F.array(*[F.lit(float("-inf"))] * len(asked), *[F.lit(float("inf"))] * len(asked))
     sketch = [
-        F.percentile_approx(F.col(f"_v{i}"), low_p + high_p, SKETCH_ACCURACY).alias(f"_q{i}")
+        F.when(F.count(F.col(f"_v{i}")) <= KEEP_ALL_ROWS, wide)
+        .otherwise(F.percentile_approx(F.col(f"_v{i}"), low_p + high_p, SKETCH_ACCURACY))
+        .alias(f"_q{i}")
         for i in range(len(columns))
     ]
     if by:
         edges = data.groupBy(*[col(b) for b in by]).agg(*sketch)
         edges = materialize(edges, "edges")
-        if edges.count() <= MAX_BROADCAST_GROUPS:
-            edges = F.broadcast(edges)
+        edges = broadcast_if_small(edges)
         match = None
         for b in by:
             test = F.col(f"_l.{b}").eqNullSafe(F.col(f"_r.{b}"))

@@ -1 +1,199 @@
+"""Queries over anomalies, segments, forecasts, facts and report tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factloom.operators import anomalies as A
+from factloom.operators import clusters as K
+from factloom.operators import facts as N
+from factloom.operators import forecast as W
+from factloom.operators.clean import clean
+from factloom.operators.order import column_quantiles, top_share
+from factloom.operators.profile import inspect
+from factloom.operators.segments import top_capture
+from factloom.plans.analyze import analyze
+from factloom.plans.profile_queries import customers_with_holes
+from factloom.plans.registry import query, r, rounded, table
+from factloom.session import materialize
+
+
+@query(
+    "U5",
+    """WITH m AS (SELECT median(o_totalprice) AS p, median(o_custkey) AS c FROM orders),
+    d AS (SELECT median(abs(o_totalprice - p)) AS dp, median(abs(o_custkey - c)) AS dc FROM orders, m),
+    z AS (SELECT o_orderkey, abs((o_totalprice - p) / (1.4826 * dp)) AS zp, abs((o_custkey - c) / (1.4826 * dc)) AS zc FROM orders, m, d)
+    SELECT o_orderkey, round(greatest(zp, zc), 6) AS z_max, greatest(zp, zc) > 8 AS extreme, CASE WHEN zp >= zc THEN 'o_totalprice' ELSE 'o_custkey' END AS cause FROM z""",
+)
+def robust_z_scores(spark, sf):
+    scored = A.robust_z(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"])
+    return scored.select("o_orderkey", r("z_max", 6), "extreme", F.split("reason", " ")[0].alias("cause"))
+
+
+@query(
+    "U5",
+    """WITH raw AS (SELECT event_id, CASE WHEN event_id % 500 = 0 THEN value * 1000 + 5000 WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events),
+    m AS (SELECT median(v) AS m FROM raw), f AS (SELECT event_id, coalesce(v, m) AS v, m FROM raw, m), d AS (SELECT median(abs(v - m)) AS d FROM f)
+    SELECT count(*) FILTER (abs(v - m) / (1.4826 * d) > 8) AS extremes, count(*) AS row_count FROM f, d""",
+)
+def extreme_events(spark, sf):
+    key = F.col("event_id")
+    events = table(spark, sf, "events").select(
+        "event_id", F.when(key % 500 == 0, F.col("value") * 1000 + 5000).when(key % 7 != 0, F.col("value")).alias("v")
+    )
+    return A.robust_z(events, ["v"]).agg(F.count_if("extreme").alias("extremes"), F.count(F.lit(1)).alias("row_count"))
+
+
+@query("U6 G8")
+def isolation_forest(spark, sf):
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    flagged = A.anomalies(table(spark, sf, "lineitem"), names)
+    return A.top_anomalies(flagged).select("l_orderkey", "l_linenumber", "anomaly_score", "is_anomaly", "extreme", "reason")
+
+
+@query("U6")
+def anomaly_shares(spark, sf):
+    return A.anomaly_summary(A.anomalies(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"]))
+
+
+def _segmented(spark, sf):
+    customers = table(spark, sf, "customer")
+    return K.segmentation(customers, ["c_acctbal"], ["c_mktsegment"])
+
+
+@query("U1 U2 U3")
+def customer_segments(spark, sf):
+    segmented, about = _segmented(spark, sf)
+    traits = K.segment_traits(segmented, "segment", ["c_acctbal"], ["c_mktsegment"])
+    return traits.withColumn("k", F.lit(about["k"])).withColumn("silhouette", F.lit(about["silhouette"]))
+
+
+@query("U4")
+def segment_scatter(spark, sf):
+    segmented, about = _segmented(spark, sf)
+    return K.segment_scatter(segmented, about["rows"])
+
+
+@query(
+    "U3",
+    """WITH d AS (SELECT l_returnflag AS seg, l_quantity, l_extendedprice, l_linestatus FROM lineitem),
+    n AS (SELECT 'l_quantity' AS c, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM d UNION ALL SELECT 'l_extendedprice', avg(l_extendedprice), stddev_samp(l_extendedprice) FROM d),
+    g AS (SELECT seg, 'l_quantity' AS c, avg(l_quantity) AS m FROM d GROUP BY seg UNION ALL SELECT seg, 'l_extendedprice', avg(l_extendedprice) FROM d GROUP BY seg),
+    u AS (SELECT seg, l_linestatus AS v, count(*) AS n FROM d GROUP BY ALL),
+    v AS (SELECT seg, v, n / sum(n) OVER (PARTITION BY seg) AS share, row_number() OVER (PARTITION BY seg ORDER BY n DESC, v) AS rn FROM u),
+    b AS (SELECT l_linestatus AS v, count(*) / (SELECT count(*) FROM d) AS base FROM d GROUP BY 1),
+    t AS (SELECT seg, c, abs((g.m - n.m) / n.s) AS strength FROM g JOIN n USING (c) UNION ALL SELECT seg, 'l_linestatus', abs(share - base) * 3 FROM v JOIN b USING (v) WHERE rn = 1)
+    SELECT t.seg AS segment, size, c AS "column", round(strength, 6) AS strength,
+    CAST(row_number() OVER (PARTITION BY t.seg ORDER BY strength DESC) AS INTEGER) AS position
+    FROM t JOIN (SELECT seg, count(*) AS size FROM d GROUP BY seg) x ON x.seg = t.seg""",
+)
+def group_traits(spark, sf):
+    traits = K.segment_traits(table(spark, sf, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice"], ["l_linestatus"])
+    return traits.select("segment", "size", "column", r("strength", 6), "position")
+
+
+def _series_sql(source: str, key: str, ts: str, value: str, how: str, grain: str, fill: str, low: str = "", high: str = "") -> str:
+    step = "INTERVAL 1 DAY" if grain == "day" else "INTERVAL 1 MONTH"
+    return f"""WITH d AS (SELECT {key} AS k, {ts} AS ts, CAST({value} AS DOUBLE) AS v FROM {source}),
+    q AS (SELECT k, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi, max(v) AS top, min(ts) AS a, max(ts) AS z FROM d GROUP BY k),
+    p AS (SELECT k, CAST(date_trunc('{grain}', ts) AS DATE) AS period, {how}(CASE WHEN top > 3 * greatest(abs(hi), 1e-9) THEN least(greatest(v, lo), hi) ELSE v END) AS y,
+      count(*) FILTER (top > 3 * greatest(abs(hi), 1e-9) AND (v > hi OR v < lo)) AS o FROM d JOIN q USING (k) GROUP BY ALL),
+    c AS (SELECT k, a, z, CAST(unnest(generate_series(date_trunc('{grain}', a), date_trunc('{grain}', z), {step})) AS DATE) AS period FROM q),
+    f AS (SELECT c.k, c.period, {fill} AS y, sum(coalesce(o, 0)) OVER (PARTITION BY c.k) AS outliers FROM c LEFT JOIN p ON p.k = c.k AND p.period = c.period
+      WHERE '{grain}' = 'day' OR NOT ((c.period = CAST(date_trunc('{grain}', z) AS DATE) AND CAST(z AS DATE) < c.period + {step} - INTERVAL 1 DAY)
+        OR (c.period = CAST(date_trunc('{grain}', a) AS DATE) AND CAST(a AS DATE) > c.period))),
+    s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY period) - 1 AS t, count(*) OVER (PARTITION BY k) AS n FROM f)"""
+
+
+_EVENT_SERIES = _series_sql("events", "event_type", "ts", "value", "sum", "day", "coalesce(y, 0)")
+_ORDER_SERIES = _series_sql("orders", "o_orderstatus", "o_orderdate", "o_totalprice", "avg", "month", "y")
+
+
+@query(
+    "F0 F0b F0c J5",
+    f"""{_EVENT_SERIES} SELECT k AS event_type, 'day' AS grain, CASE WHEN n < 14 THEN 0 ELSE 7 END AS season, strftime(period, '%Y-%m-%d') AS period,
+    round(y, 4) AS y, CAST(t AS INTEGER) AS t, n, CAST(outliers AS BIGINT) AS outliers FROM s""",
+)
+def daily_series(spark, sf):
+    found = W.period_series(table(spark, sf, "events"), "ts", "value", ["event_type"])
+    return found.withColumn("period", F.date_format("period", "yyyy-MM-dd")).withColumn("y", F.round("y", 4))
+
+
+@query(
+    "F0 F0b F0c G11",
+    f"""{_ORDER_SERIES} SELECT k AS o_orderstatus, 'month' AS grain, CASE WHEN n < 24 THEN 0 ELSE 12 END AS season, strftime(period, '%Y-%m-%d') AS period,
+    round(y, 2) AS y, CAST(t AS INTEGER) AS t, n, CAST(outliers AS BIGINT) AS outliers FROM s""",
+)
+def monthly_series(spark, sf):
+    found = W.period_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", ["o_orderstatus"])
+    return found.withColumn("period", F.date_format("period", "yyyy-MM-dd")).withColumn("y", F.round("y", 2))
+
+
+@query(
+    "F1",
+    f"""{_EVENT_SERIES}, k AS (SELECT *, greatest(1, least(3, n // 4)) AS r, least(greatest(3, n // 5), 12) AS h FROM s),
+    w AS (SELECT k, isodow(period) AS d, avg(y) AS m FROM k GROUP BY ALL),
+    x AS (SELECT k, arg_max(d, m) AS d, (max(m) - avg(m)) / abs(avg(m)) * 100 AS lift FROM w GROUP BY k)
+    SELECT k.k AS event_type, 'day' AS grain, max(n) AS periods,
+    round((sum(y) FILTER (t >= n - r) - sum(y) FILTER (t >= n - 2 * r AND t < n - r)) / abs(sum(y) FILTER (t >= n - 2 * r AND t < n - r)) * 100, 4) AS growth_pct,
+    round(regr_slope(y, t), 6) AS trend_per_period,
+    round(avg(abs(y - naive)) FILTER (t >= n - h), 4) AS naive_mae,
+    ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][any_value(x.d)] AS peak, round(any_value(lift), 4) AS peak_lift_pct
+    FROM (SELECT *, max(CASE WHEN t = n - h - 1 THEN y END) OVER (PARTITION BY k) AS naive FROM k) k JOIN x ON x.k = k.k GROUP BY k.k""",
+)
+def trend_summary(spark, sf):
+    series = W.period_series(table(spark, sf, "events"), "ts", "value", ["event_type"])
+    found = W.series_summary(series, ["event_type"])
+    return found.select(
+        "event_type", "grain", "periods", r("growth_pct"), r("trend_per_period", 6), r("naive_mae"), "peak", r("peak_lift_pct")
+    )
+
+
+@query("F1")
+def ridge_forecasts(spark, sf):
+    series = W.period_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", ["o_orderstatus"])
+    return W.forecast_points(W.ridge_forecast(series, ["o_orderstatus"]), ["o_orderstatus"])
+
+
+@query("F1")
+def forecast_backtests(spark, sf):
+    series = W.period_series(table(spark, sf, "events"), "ts", "value", ["event_type"])
+    return W.ridge_forecast(series, ["event_type"]).select("event_type", "mae", "naive_mae", "mape_pct", "beats_naive")
+
+
+@query("F5 G8")
+def ranked_findings(spark, sf):
+    """Findings on order sizes from capture, totals and the forecast."""
+    orders = table(spark, sf, "orders").withColumn("hit", (F.col("o_orderstatus") == "F").cast("int"))
+    said, _ = N.capture_facts("o_orderstatus", "F", top_capture(orders, "o_totalprice", "hit").first(), "sales")
+    mean = orders.agg(F.avg("o_totalprice").alias("m")).first()["m"]
+    median = column_quantiles(orders, ["o_totalprice"], {"m": 0.5})["o_totalprice"]["m"]
+    more, _ = N.regression_facts("o_totalprice", mean, median, top_share(orders, "o_totalprice", 0.2).first())
+    series = materialize(W.period_series(orders, "o_orderdate", "o_totalprice"), "series")
+    last = series.orderBy(F.desc("t")).first()["y"]
+    trend, _, _ = N.forecast_facts("o_totalprice", W.series_summary(series).first(), W.ridge_forecast(series).first(), last)
+    return N.rank_findings([*said, *more, *trend], spark)
+
+
+@query("F6")
+def narratives(spark, sf):
+    """One narrative per market segment, as if each were a run."""
+    runs = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("run_id")).agg(F.count(F.lit(1)).alias("rows"))
+    ready = runs.select(
+        "run_id", F.lit("churn").alias("analysis_type"), "rows", F.lit(5).alias("columns"), F.lit("c_acctbal").alias("target"),
+        F.lit("Ridge").alias("best_model"), F.lit("R2").alias("metric"), F.lit(0.5).alias("score"), F.lit("c_nationkey").alias("driver"),
+    )
+    return N.narrative(ready)
+
+
+@query("F7 I1 I8 C8")
+def report_tables(spark, sf):
+    raw = customers_with_holes(spark, sf)
+    return N.report_tables(inspect(raw), clean(raw)[1], None, spark)
+
+
+@query("F5 I14 E6 U2 U6 F1")
+def analysis_findings(spark, sf):
+    """The full flow on events, a table without an outcome column."""
+    events = table(spark, sf, "events").drop("props")
+    return analyze(spark, events, target="value", candidates=("Ridge", "Decision Tree", "Lasso")).findings

@@ -1 +1,434 @@
+"""Queries over leakage checks, metrics, features, validation, models and prediction."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.modeling import metrics as M
+from factloom.modeling import predict as P
+from factloom.modeling.explain import global_drivers, importance_reasons, row_reasons
+from factloom.modeling.prep import ModelingError, class_weights, plan_features
+from factloom.modeling.scoring import FittedModel, train
+from factloom.modeling.tournament import Tournament, run_tournament
+from factloom.operators import features as X
+from factloom.operators import leakage as L
+from factloom.plans.registry import query, r, rounded, table
+from factloom.session import materialize
+
+_LEAK = """d AS (SELECT l_linestatus AS status, l_linestatus AS status_copy, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS open_flag,
+  l_quantity, l_tax, l_returnflag FROM lineitem),
+  y AS (SELECT *, CASE WHEN status = 'O' THEN 1.0 ELSE 0.0 END AS y FROM d)"""
+
+
+def leaky_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("status"), F.col("l_linestatus").alias("status_copy"),
+        F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("open_flag"), "l_quantity", "l_tax", "l_returnflag",
+    )
+
+
+def _number_auc(c: str) -> str:
+    return f"""(SELECT (sum(rk) FILTER (y = 1) - max(p) * (max(p) + 1) / 2) / (max(p) * max(q)) FROM (
+      SELECT y, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS rk,
+      sum(y) OVER () AS p, sum(1 - y) OVER () AS q FROM y))"""
+
+
+def _level_auc(c: str) -> str:
+    return f"""(SELECT max(greatest(a, 1 - a)) FROM (SELECT (1 + sum(y) / (SELECT sum(y) FROM y) - sum(1 - y) / (SELECT sum(1 - y) FROM y)) / 2 AS a
+      FROM y GROUP BY {c}))"""
+
+
+_MEASURES = " UNION ALL ".join(
+    [
+        f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg(CASE WHEN CAST({c} AS VARCHAR) = status THEN 1.0 ELSE 0.0 END), 6) AS agreement,
+        round(corr({c}, y), 6) AS correlation, round(greatest({_number_auc(c)}, 1 - {_number_auc(c)}), 6) AS auc FROM y"""
+        for c in ("open_flag", "l_quantity", "l_tax")
+    ]
+    + [
+        f"""SELECT '{c}', count({c}), round(avg(CASE WHEN {c} = status THEN 1.0 ELSE 0.0 END), 6), CAST(NULL AS DOUBLE), round({_level_auc(c)}, 6) FROM y"""
+        for c in ("status_copy", "l_returnflag")
+    ]
+)
+
+
+@query("M4", f"WITH {_LEAK} {_MEASURES}")
+def leakage_measures(spark, sf):
+    return rounded(L.leakage_measures(leaky_lines(spark, sf), "status", True), 6)
+
+
+@query(
+    "M4",
+    f"""WITH {_LEAK}, m AS ({_MEASURES}) SELECT "column", 'agreement' AS rule, agreement AS value FROM m WHERE agreement > 0.98
+    UNION ALL SELECT "column", 'correlation', abs(correlation) FROM m WHERE agreement <= 0.98 AND abs(correlation) > 0.98
+    UNION ALL SELECT "column", 'auc', auc FROM m WHERE agreement <= 0.98 AND auc > 0.98""",
+)
+def leakage_warnings(spark, sf):
+    return rounded(L.leakage_warnings(leaky_lines(spark, sf), "status", True), 6)
+
+
+@query(
+    "M5 G3",
+    """SELECT 'price_copy' AS "column", 'name' AS rule, CAST(NULL AS DOUBLE) AS value
+    UNION ALL SELECT 'fee', 'correlation', round(corr(o_totalprice * 2 + 10, o_totalprice), 6) FROM orders""",
+)
+def leaking_columns_regression(spark, sf):
+    price = F.col("o_totalprice")
+    data = table(spark, sf, "orders").select(
+        price.alias("price"), price.alias("price_copy"), (price * 2 + 10).alias("fee"), "o_custkey", "o_orderstatus"
+    )
+    kinds = {"price": "numeric", "price_copy": "numeric", "fee": "numeric", "o_custkey": "numeric", "o_orderstatus": "categorical"}
+    return rounded(L.leaking_columns(data, "price", kinds, "regression"), 6)
+
+
+@query(
+    "M5 G3",
+    """WITH c AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' ELSE 'part' END AS stage, o_orderstatus AS b, count(*) AS n FROM orders GROUP BY ALL)
+    SELECT 'stage' AS "column", 'purity' AS rule, round(sum(best) / sum(n), 6) AS value FROM (SELECT stage, max(n) AS best, sum(n) AS n FROM c GROUP BY stage)""",
+)
+def leaking_columns_classification(spark, sf):
+    status = F.col("o_orderstatus")
+    data = table(spark, sf, "orders").select(
+        status.alias("outcome"),
+        F.when(status == "F", "closed").when(status == "O", "open").otherwise("part").alias("stage"),
+        F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("amount"),
+    )
+    kinds = {"outcome": "categorical", "stage": "categorical", "priority": "categorical", "amount": "numeric"}
+    return rounded(L.leaking_columns(data, "outcome", kinds, "classification"), 6)
+
+
+@query(
+    "M7",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS target, count(*) AS classes, round(min(n) / sum(n), 6) AS minority_share, arg_min(v, n) AS minority_class,
+        CASE WHEN min(n) / sum(n) < 0.2 THEN 'PR-AUC' ELSE 'ROC-AUC' END AS metric FROM
+        (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM labels GROUP BY 1)"""
+        for c in ("quality", "toxic")
+    ),
+)
+def metric_choice(spark, sf):
+    labels = table(spark, sf, "labels")
+    quality, toxic = (M.metric_choice(labels, c).withColumn("target", F.lit(c)) for c in ("quality", "toxic"))
+    return rounded(quality.unionByName(toxic), 6)
+
+
+_SCORED = """s AS (SELECT lang, quality AS y, n_chars AS s FROM labels JOIN documents USING (doc_id)),
+  g AS (SELECT lang, s, count(*) AS n, sum(y) AS h FROM s GROUP BY ALL),
+  c AS (SELECT *, sum(n) OVER w AS cn, sum(h) OVER w AS ch FROM g WINDOW w AS (PARTITION BY lang ORDER BY s DESC))"""
+
+
+@query(
+    "M7 M9",
+    f"""WITH {_SCORED} SELECT lang, CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(h) AS BIGINT) AS positives,
+    round(sum((n - h) * (ch - h / 2)) / (sum(h) * (sum(n) - sum(h))), 6) AS auc, round(sum(h * ch / cn) / sum(h), 6) AS average_precision FROM c GROUP BY lang""",
+)
+def ranking_metrics(spark, sf):
+    scored = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return rounded(M.rank_metrics(scored, "n_chars", F.col("quality") == 1, ["lang"]), 6)
+
+
+@query(
+    "M21",
+    """WITH g AS (SELECT o_totalprice AS s, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS h FROM orders GROUP BY 1)
+    SELECT s AS threshold, round(sum(h) OVER w / sum(h) OVER (), 8) AS true_positive_rate,
+    round(sum(n - h) OVER w / sum(n - h) OVER (), 8) AS false_positive_rate FROM g WINDOW w AS (ORDER BY s DESC)""",
+)
+def roc_curve(spark, sf):
+    points = M.roc_points(table(spark, sf, "orders"), "o_totalprice", F.col("o_orderstatus") == "F")
+    return points.select("threshold", r("true_positive_rate", 8), r("false_positive_rate", 8))
+
+
+_P = "o_totalprice / 500000"
+_GRID = ", ".join(f"({t})" for t in M.THRESHOLDS)
+_THRESHOLD_SQL = f"""WITH o AS (SELECT {_P} AS p, o_orderstatus = 'F' AS y FROM orders),
+  c AS (SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (y AND p >= CAST(t AS DOUBLE)) AS tp, count(*) FILTER (NOT y AND p >= CAST(t AS DOUBLE)) AS fp,
+    count(*) FILTER (y AND p < CAST(t AS DOUBLE)) AS fn FROM o, (VALUES {_GRID}) v(t) GROUP BY t)
+  SELECT threshold, tp, fp, fn, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS "precision",
+    round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, fn * 500 + fp * 50 AS cost, round(CAST(tp * 500 * 0.3 AS DOUBLE), 2) AS saved FROM c"""
+
+
+def priced(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").withColumn("p", F.col("o_totalprice") / 500_000)
+
+
+@query("M15 M20", _THRESHOLD_SQL)
+def threshold_costs(spark, sf):
+    found = M.threshold_table(priced(spark, sf), "p", F.col("o_orderstatus") == "F")
+    return rounded(rounded(found, 6, ("recall", "precision", "f1")), 2, ("saved",))
+
+
+@query("M15", f"SELECT threshold, cost FROM ({_THRESHOLD_SQL}) ORDER BY cost, threshold LIMIT 1")
+def cheapest_threshold(spark, sf):
+    return M.best_threshold(M.threshold_table(priced(spark, sf), "p", F.col("o_orderstatus") == "F")).select("threshold", "cost")
+
+
+_CONFUSED = "SELECT o_orderstatus AS actual, CASE WHEN o_totalprice > 330000 THEN 'F' WHEN o_totalprice > 160000 THEN 'O' ELSE 'P' END AS predicted FROM orders"
+
+
+def guessed(spark: SparkSession, sf: str) -> DataFrame:
+    price = F.col("o_totalprice")
+    return table(spark, sf, "orders").withColumn(
+        "guess", F.when(price > 330_000, "F").when(price > 160_000, "O").otherwise("P")
+    )
+
+
+@query("M14", f"SELECT actual, predicted, count(*) AS n FROM ({_CONFUSED}) GROUP BY ALL")
+def confusion_counts(spark, sf):
+    return M.confusion(guessed(spark, sf), F.col("o_orderstatus"), F.col("guess"))
+
+
+@query(
+    "M14",
+    f"""WITH c AS ({_CONFUSED}), k AS (SELECT DISTINCT actual AS class FROM c),
+    s AS (SELECT class, count(*) FILTER (actual = class) AS support, count(*) FILTER (predicted = class) AS called,
+      count(*) FILTER (actual = class AND predicted = class) AS hits FROM c, k GROUP BY class)
+    SELECT class, round(hits / called, 6) AS "precision", round(hits / support, 6) AS recall, round(2 * hits / (called + support), 6) AS f1, support FROM s""",
+)
+def classification_report(spark, sf):
+    cells = M.confusion(guessed(spark, sf), F.col("o_orderstatus"), F.col("guess"))
+    return rounded(M.class_report(cells), 6)
+
+
+@query("M14", f"SELECT count(*) AS row_count, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_CONFUSED})")
+def model_accuracy(spark, sf):
+    return rounded(M.accuracy(M.confusion(guessed(spark, sf), F.col("o_orderstatus"), F.col("guess"))), 6)
+
+
+@query("M13", f"SELECT count(*) AS row_count, round(avg(pow({_P} - CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, 2)), 6) AS brier FROM orders")
+def brier_score(spark, sf):
+    return rounded(M.brier(priced(spark, sf), "p", F.col("o_orderstatus") == "F"), 6)
+
+
+@query(
+    "M7 M14",
+    """SELECT l_returnflag, count(*) AS row_count, round(1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)), 6) AS r2, round(avg(abs(y - p)), 4) AS mae
+    FROM (SELECT l_returnflag, l_extendedprice AS y, l_quantity * 2000 AS p FROM lineitem) GROUP BY 1""",
+)
+def regression_errors(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumn("guess", F.col("l_quantity") * 2000)
+    found = M.regression_metrics(lines, "l_extendedprice", "guess", ["l_returnflag"])
+    return found.select("l_returnflag", "row_count", r("r2", 6), r("mae"))
+
+
+@query(
+    "M1 M2 M3 M11",
+    """SELECT CAST(o_orderstatus AS VARCHAR) AS class, round((SELECT count(*) FROM orders) / (3.0 * count(*)), 6) AS weight FROM orders GROUP BY 1""",
+)
+def balanced_weights(spark, sf):
+    plan = plan_features(table(spark, sf, "orders"), "o_orderstatus")
+    rows = list(zip(plan.classes, class_weights(plan)))
+    return rounded(spark.createDataFrame(rows, "class string, weight double"), 6)
+
+
+@query(
+    "M22 J6",
+    """WITH m AS (SELECT median(o_totalprice) AS m FROM orders)
+    SELECT o_orderkey, round(o_totalprice / (year(o_orderdate) - 1994 + 1), 6) AS price_per_year, CAST(year(o_orderdate) < 1998 AS INTEGER) AS is_old,
+    CAST(o_orderstatus = 'F' AS INTEGER) + CAST(o_orderpriority = 'F' AS INTEGER) AS flag_count, CAST(o_totalprice > m AS INTEGER) AS is_high_value,
+    CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 WHEN 'P' THEN 1 END AS status_risk, CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INTEGER) AS is_fast
+    FROM orders, m""",
+)
+def engineered_features(spark, sf):
+    orders = table(spark, sf, "orders")
+    years = F.year("o_orderdate") - 1994
+    return orders.select(
+        "o_orderkey",
+        F.round(X.ratio_plus_one(F.col("o_totalprice"), years), 6).alias("price_per_year"),
+        (F.year("o_orderdate") < 1998).cast("int").alias("is_old"),
+        X.count_matching([F.col("o_orderstatus"), F.col("o_orderpriority")], "F").alias("flag_count"),
+        X.above_median(orders, "o_totalprice").alias("is_high_value"),
+        X.mapped(F.col("o_orderstatus"), {"F": 3, "O": 2, "P": 1}).alias("status_risk"),
+        F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("is_fast"),
+    )
+
+
+@query(
+    "M23",
+    """SELECT o_orderkey, CAST(o_orderstatus = 'O' AS INTEGER) AS "o_orderstatus_O", CAST(o_orderstatus = 'P' AS INTEGER) AS "o_orderstatus_P" FROM orders""",
+)
+def one_hot_columns(spark, sf):
+    return X.one_hot(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O", "P"])
+
+
+# A contract from suppliers, checked against customers with holes and one foreign nation.
+_CONTRACT = """v AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal END AS balance,
+    CASE WHEN c_custkey % 13 = 0 THEN 'ATLANTIS' WHEN c_custkey % 17 = 0 THEN '' ELSE n_name END AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  k AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi, list(DISTINCT n_name) AS names FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+def _validated(spark: SparkSession, sf: str) -> DataFrame:
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    supplier = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_acctbal").alias("balance"), F.col("n_name").alias("nation")
+    )
+    key = F.col("c_custkey")
+    customer = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey",
+        F.when(key % 11 != 0, F.col("c_acctbal")).alias("balance"),
+        F.when(key % 13 == 0, "ATLANTIS").when(key % 17 == 0, "").otherwise(F.col("n_name")).alias("nation"),
+    )
+    return P.validate_rows(customer, P.schema_contract(supplier), P.contract_categories(supplier))
+
+
+@query(
+    "P1",
+    f"""WITH {_CONTRACT} SELECT c_custkey, CASE WHEN balance IS NULL OR nation = '' THEN
+      concat_ws(';', CASE WHEN balance IS NULL THEN 'balance:missing' END, CASE WHEN nation = '' THEN 'nation:missing' END)
+      ELSE concat_ws(';', CASE WHEN balance < lo THEN 'balance:below_min' WHEN balance > hi THEN 'balance:above_max' END,
+        CASE WHEN NOT list_contains(names, nation) THEN 'nation:unknown_category' END) END AS problems FROM v, k""",
+)
+def input_validation(spark, sf):
+    checked = _validated(spark, sf)
+    issues = F.transform("violations", lambda v: F.concat(v["field"], F.lit(":"), v["rule"]))
+    return checked.select("c_custkey", F.array_join(issues, ";").alias("problems"))
+
+
+@query(
+    "P1",
+    f"""WITH {_CONTRACT} SELECT c_custkey, CASE
+      WHEN balance IS NULL AND nation = '' THEN 'Missing required field(s): balance, nation' WHEN balance IS NULL THEN 'Missing required field(s): balance'
+      WHEN nation = '' THEN 'Missing required field(s): nation'
+      WHEN balance < lo THEN 'Value ' || balance || ' for field ''balance'' is out of range. Minimum allowed value is ' || lo || '.'
+      WHEN balance > hi THEN 'Value ' || balance || ' for field ''balance'' is out of range. Maximum allowed value is ' || hi || '.'
+      ELSE 'Unknown category ''' || nation || ''' for field ''nation''. Allowed categories: ' || list_aggregate(list_sort(names), 'string_agg', ', ') END AS violation
+    FROM v, k WHERE balance IS NULL OR nation = '' OR balance < lo OR balance > hi OR NOT list_contains(names, nation)""",
+)
+def quarantined_rows(spark, sf):
+    return P.split_valid(_validated(spark, sf))[1].select("c_custkey", "violation")
+
+
+@query(
+    "P2 P3 P4",
+    f"""SELECT o_orderkey, CASE WHEN {_P} >= 0.45 THEN 'Yes' ELSE 'No' END AS prediction,
+    CASE WHEN {_P} < 0.35 THEN 'Low' WHEN {_P} < 0.7 THEN 'Medium' ELSE 'High' END AS risk_tier,
+    printf('%.1f%%', greatest({_P}, 1 - {_P}) * 100) AS confidence FROM orders""",
+)
+def scored_decisions(spark, sf):
+    ready = priced(spark, sf).withColumn("p", F.least("p", F.lit(1.0)))
+    scored = P.with_decision(ready, "p", 0.45, ["No", "Yes"], "churn")
+    return scored.select("o_orderkey", "prediction", "risk_tier", "confidence")
+
+
+@query(
+    "P4",
+    f"""SELECT o_orderkey, 'Prediction: ' || CASE WHEN {_P} >= 0.5 THEN 'large' ELSE 'small' END || ' with ' || printf('%.1f%%', greatest({_P}, 1 - {_P}) * 100)
+    || ' confidence. Risk level: ' || CASE WHEN {_P} < 0.35 THEN 'Low' WHEN {_P} < 0.7 THEN 'Medium' ELSE 'High' END || '.' AS recommendation FROM orders""",
+)
+def advice_lines(spark, sf):
+    scored = P.with_decision(priced(spark, sf), "p", 0.5, ["small", "large"], "size")
+    return scored.select("o_orderkey", "recommendation")
+
+
+@query(
+    "P3 K7",
+    f"""SELECT CASE WHEN {_P} >= 0.6 THEN 'High Risk' WHEN {_P} >= 0.3 THEN 'Medium Risk' ELSE 'Low Risk' END AS level, count(*) AS n FROM orders GROUP BY 1""",
+)
+def legacy_tiers(spark, sf):
+    return priced(spark, sf).groupBy(X.legacy_risk_tier(F.col("p")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "P7",
+    """SELECT segment, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 100.0 ELSE 0.0 END), 6) AS rate FROM (SELECT o_orderstatus,
+      CASE WHEN o_orderpriority = '1-URGENT' AND months < 12 THEN 'High Risk' WHEN o_orderpriority = '1-URGENT' AND months BETWEEN 12 AND 24 THEN 'Medium Risk' ELSE 'Low Risk' END AS segment
+      FROM (SELECT *, (2001 - year(o_orderdate)) * 12 + 12 - month(o_orderdate) AS months FROM orders)) GROUP BY segment""",
+)
+def rule_segments(spark, sf):
+    months = (F.lit(2001) - F.year("o_orderdate")) * 12 + F.lit(12) - F.month("o_orderdate")
+    orders = table(spark, sf, "orders").withColumn("segment", X.rule_segment(F.col("o_orderpriority") == "1-URGENT", months))
+    rates = orders.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n"), (F.avg((F.col("o_orderstatus") == "F").cast("double")) * 100).alias("rate")
+    )
+    return rounded(rates, 6)
+
+
+@query(
+    "P6",
+    """SELECT c_custkey, 'c_acctbal = ' || c_acctbal || ' (key driver, importance weight 0.600)|c_mktsegment = ' || c_mktsegment
+    || ' (key driver, importance weight 0.300)|c_nationkey = ' || c_nationkey || ' (key driver, importance weight 0.100)' AS reasons FROM customer""",
+)
+def fallback_reasons(spark, sf):
+    weights = {"c_nationkey": 0.1, "c_acctbal": 0.6, "c_mktsegment": 0.3}
+    told = importance_reasons(table(spark, sf, "customer"), weights)
+    return told.select("c_custkey", F.array_join("reasons", "|").alias("reasons"))
+
+
+def customer_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with their order history and a churn label that follows it with noise."""
+    history = table(spark, sf, "orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("order_count"),
+        F.avg("o_totalprice").alias("average_order"),
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent_orders"),
+    )
+    joined = table(spark, sf, "customer").join(history, F.col("c_custkey") == F.col("o_custkey"), "left")
+    noise = F.pmod(F.xxhash64("c_custkey"), F.lit(1000)) / 1000
+    signal = F.col("order_count") * 0.12 + F.col("c_acctbal") / 9000 + noise
+    return joined.select(
+        "c_acctbal", "c_mktsegment", "c_nationkey", "order_count", "average_order", "urgent_orders",
+        F.when(signal < 2.1, "Yes").otherwise("No").alias("churn"),
+    )
+
+
+_TRAINED: dict[tuple, tuple[FittedModel, Tournament]] = {}
+SMALL_FIELD = ("Logistic Regression", "Decision Tree", "Random Forest")
+
+
+def trained(spark: SparkSession, sf: str) -> tuple[FittedModel, Tournament]:
+    """One training per session and table folder, shared by the queries below."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = train(materialize(customer_activity(spark, sf), "activity"), "churn", SMALL_FIELD)
+    return _TRAINED[key]
+
+
+@query("M6 M8 M9 M10 M10a M10c M10d M12 M16")
+def model_tournament(spark, sf):
+    return trained(spark, sf)[1].leaderboard()
+
+
+@query("M13 M14 M15 M17 M18 M19")
+def model_card(spark, sf):
+    card = trained(spark, sf)[0].card
+    return spark.createDataFrame([(k, str(v)) for k, v in card.items()], "item string, value string")
+
+
+@query("P2 P3 P4 J1 K2")
+def model_predictions(spark, sf):
+    return P.predict_batch(trained(spark, sf)[0], customer_activity(spark, sf))
+
+
+@query("P5")
+def model_drivers(spark, sf):
+    return global_drivers(trained(spark, sf)[0], customer_activity(spark, sf))
+
+
+@query("P6")
+def model_reasons(spark, sf):
+    return row_reasons(trained(spark, sf)[0], customer_activity(spark, sf)).select("c_acctbal", "order_count", "reasons")
+
+
+@query("M10b M10e M10f")
+def regression_tournament(spark, sf):
+    data = materialize(customer_activity(spark, sf).drop("churn"), "activity")
+    field = ("Ridge", "ElasticNet", "Lasso", "Random Forest (no bootstrap)", "Gradient Boosting (shallow)")
+    return run_tournament(data, "average_order", field).leaderboard()
+
+
+@query("I14 M1")
+def modeling_guards(spark, sf):
+    """What the guards say for targets that cannot be modelled."""
+    customer = table(spark, sf, "customer")
+    tries = {
+        "absent": (customer, "nothing"),
+        "one value": (customer.withColumn("same", F.lit("x")), "same"),
+        "texts": (customer, "c_name"),
+        "few rows": (customer.limit(10), "c_acctbal"),
+    }
+    rows = []
+    for name, (df, target) in tries.items():
+        try:
+            plan_features(df, target)
+            rows.append((name, "accepted"))
+        except ModelingError as exc:
+            rows.append((name, str(exc)))
+    return spark.createDataFrame(rows, "attempt string, message string")

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,3 +63,12 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_jobs(spark: SparkSession, work: Callable, items: Iterable, parallel: int) -> list:
+    """Submit independent jobs from a few threads, in order of the items."""
+    todo = list(items)
+    if parallel <= 1 or len(todo) <= 1:
+        return [work(item) for item in todo]
+    with ThreadPool(min(parallel, len(todo))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), todo)

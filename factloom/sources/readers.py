@@ -169,10 +169,15 @@ def read_json_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
     return flatten(raw)
 
 
-def records_from_payload(payloads: DataFrame, column: str, spark: SparkSession) -> DataFrame:
+def payload_shape(payloads: DataFrame, column: str) -> str:
+    """The merged type of JSON texts, found by one aggregate over all of them."""
+    merged = payloads.agg(F.schema_of_variant_agg(F.try_parse_json(col(column))).alias("s")).first()["s"]
+    return re.sub(r"\bOBJECT<", "STRUCT<", merged).replace(": VOID", ": STRING").replace("<VOID>", "<STRING>")
+
+
+def records_from_payload(payloads: DataFrame, column: str) -> DataFrame:
     """Rows held as JSON text in one column of a table."""
-    schema = spark.read.json(payloads.select(column)).schema
-    parsed = payloads.select(F.from_json(col(column), schema).alias("r"))
+    parsed = payloads.select(F.from_json(col(column), payload_shape(payloads, column)).alias("r"))
     return flatten(parsed.select("r.*"))
 
 

@@ -96,7 +96,7 @@ def largest_sheet(cells: DataFrame) -> DataFrame:
     """Only the cells of the sheet with the largest area, per file."""
     areas = cells.groupBy("path", "sheet").agg(((F.max("row") + 1) * (F.max("col") + 1)).alias("area"))
     best = areas.groupBy("path").agg(F.min_by("sheet", F.struct(-F.col("area"), F.col("sheet"))).alias("sheet"))
-    return cells.join(F.broadcast(best), ["path", "sheet"])
+    return cells.join(best, ["path", "sheet"])
 
 
 def promote_header(cells: DataFrame) -> DataFrame:
@@ -113,10 +113,10 @@ def promote_header(cells: DataFrame) -> DataFrame:
         .groupBy("path")
         .agg(F.coalesce(F.min("_full"), F.lit(0)).alias("head"))
     )
-    marked = cells.join(F.broadcast(heads), "path")
+    marked = cells.join(heads, "path")
     names = marked.filter(F.col("row") == F.col("head")).select("path", "col", F.trim("value").alias("name"))
     body = marked.filter(F.col("row") > F.col("head"))
-    named = body.join(F.broadcast(names), ["path", "col"], "left")
+    named = body.join(names, ["path", "col"], "left")
     return named.select(
         "path", "row", "col", F.coalesce("name", F.concat(F.lit("col_"), F.col("col").cast("string"))).alias("name"), "value"
     )
