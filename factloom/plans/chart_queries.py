@@ -303,7 +303,7 @@ def average_rank_table(spark, sf):
     g AS (SELECT *, last_value(y IGNORE NULLS) OVER b AS v0, first_value(y IGNORE NULLS) OVER a AS v1,
       max(CASE WHEN y IS NOT NULL THEN pos END) OVER b AS p0, min(CASE WHEN y IS NOT NULL THEN pos END) OVER a AS p1 FROM f
       WINDOW b AS (ORDER BY day ROWS UNBOUNDED PRECEDING), a AS (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT strftime(day, '%Y-%m-%d') AS day, round(coalesce(y, v0 + (v1 - v0) * (pos - p0) / (p1 - p0)), 2) AS y FROM g""",
+    SELECT strftime(day, '%Y-%m-%d') AS day, round(coalesce(y, v0 + (v1 - v0) * (pos - p0) / (p1 - p0)), 6) AS y FROM g""",
 )
 def gap_interpolation(spark, sf):
     days = (
@@ -315,7 +315,7 @@ def gap_interpolation(spark, sf):
     ends = days.agg(F.min("day").alias("a"), F.max("day").alias("b"))
     full = ends.select(F.explode(F.sequence("a", "b")).alias("day")).join(days, "day", "left").withColumn("series", F.lit("all"))
     filled = interpolate(full, ["series"], "day", "y")
-    return filled.select(F.date_format("day", "yyyy-MM-dd").alias("day"), r("y", 2))
+    return filled.select(F.date_format("day", "yyyy-MM-dd").alias("day"), r("y", 6))
 
 
 @query(

@@ -122,11 +122,11 @@ def daily_series(spark, sf):
 @query(
     "F0 F0b F0c G11",
     f"""{_ORDER_SERIES} SELECT k AS o_orderstatus, 'month' AS grain, CASE WHEN n < 24 THEN 0 ELSE 12 END AS season, strftime(period, '%Y-%m-%d') AS period,
-    round(y, 2) AS y, CAST(t AS INTEGER) AS t, n, CAST(outliers AS BIGINT) AS outliers FROM s""",
+    round(y, 6) AS y, CAST(t AS INTEGER) AS t, n, CAST(outliers AS BIGINT) AS outliers FROM s""",
 )
 def monthly_series(spark, sf):
     found = W.period_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", ["o_orderstatus"])
-    return found.withColumn("period", F.date_format("period", "yyyy-MM-dd")).withColumn("y", F.round("y", 2))
+    return found.withColumn("period", F.date_format("period", "yyyy-MM-dd")).withColumn("y", F.round("y", 6))
 
 
 @query(
