@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and word lists that results depend on.
-TOKEN_PATTERN = r"[a-zA-Z0-9_]+"
-UNICODE_TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
+WORD, PART = "[a-z0-9_]{3,}", "[a-z0-9]{3,}"
+UNICODE_WORD, UNICODE_PART = r"[\p{L}\p{N}_]{3,}", r"[\p{L}\p{N}]{3,}"
 MIN_TOKEN = 3
 INJECTION_PATTERN = (
     r"(?i)ignore (?:all |any |the )?(?:previous|above|prior) instructions|"
@@ -42,12 +44,20 @@ def words(values: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
-    """Distinct lower-case words over two characters, with the parts of joined_words added."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower)
-    whole = F.array_distinct(F.filter(found, lambda w: F.length(w) >= MIN_TOKEN))
-    parts = F.flatten(F.transform(whole, lambda w: F.split(w, "_")))
-    return F.array_union(whole, F.filter(parts, lambda w: F.length(w) >= MIN_TOKEN))
+def tokens(text: Column, unicode_words: bool = False) -> Column:
+    """Distinct lower-case words over two characters, with the parts of joined_words added.
+
+    The patterns take the length limit, so no word is looked at one by one.
+    """
+    if unicode_words:
+        plain, word, part = F.lower(text), UNICODE_WORD, UNICODE_PART
+    else:
+        # Only plain letters can be part of a word, so only they need lowering.
+        plain, word, part = F.translate(text, string.ascii_uppercase, string.ascii_lowercase), WORD, PART
+    whole = F.regexp_extract_all(plain, F.lit(word), F.lit(0))
+    parts = F.regexp_extract_all(plain, F.lit(part), F.lit(0))
+    joined = F.contains(plain, F.lit("_"))
+    return F.array_distinct(F.when(joined, F.concat(whole, parts)).otherwise(whole))
 
 
 def query_tokens(text: Column) -> Column:

@@ -51,7 +51,7 @@ def fit_part(train: DataFrame, plan: FeaturePlan, names: Sequence[str]) -> Part:
     try:
         std = 1.0
         if plan.problem == "regression":
-            std = ready.agg(F.stddev_samp("_y").alias("s")).first()["s"] or 1.0
+            std = ready.agg(F.stddev_pop("_y").alias("s")).first()["s"] or 1.0
         return Part(prep, [(n, candidate(n, plan, std).fit(ready)) for n in names])
     finally:
         ready.unpersist()

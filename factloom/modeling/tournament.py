@@ -189,7 +189,7 @@ def out_of_fold(table: DataFrame, plan: FeaturePlan, names: Sequence[str], paral
     slots = {name: f"c{i}" for i, name in enumerate(names)}
     std = 1.0
     if plan.problem == "regression":
-        std = table.agg(F.stddev_samp("_y").alias("s")).first()["s"] or 1.0
+        std = table.agg(F.stddev_pop("_y").alias("s")).first()["s"] or 1.0
     spark = table.sparkSession
     errors: dict[str, str] = {}
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.columns import as_double, col, fused_agg, numeric_columns
 from factloom.operators.order import column_quantiles
-from factloom.session import materialize
+from factloom.session import materialize, spread_small
 
 # Limits of the detectors.
 EXTREME_Z, MAD_SCALE = 8.0, 1.4826
@@ -22,6 +22,7 @@ EULER_GAMMA = 0.5772156649015329
 
 
 def _filled(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
+    """Nulls at the column median, and the medians."""
     medians = {n: q["median"] for n, q in column_quantiles(df, names, {"median": 0.5}).items()}
     out = df.withColumns(
         {n: F.coalesce(as_double(df, n), F.lit(medians.get(n, 0.0))) for n in names}
@@ -172,9 +173,10 @@ def isolation_scores(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def anomalies(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame | None:
     """Adds score, extreme, reason and ``is_anomaly``; None for fewer than 50 rows or no numbers."""
     names = list(names) if names is not None else numeric_columns(df)
-    if not names or df.limit(MIN_ROWS).count() < MIN_ROWS:
+    rows = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    if not names or rows < MIN_ROWS:
         return None
-    base = materialize(robust_z(df, names), "robust")
+    base = materialize(spread_small(robust_z(df, names), rows), "robust")
     scored = materialize(isolation_scores(base, names), "anomaly")
     cut = column_quantiles(scored, ["anomaly_score"], {"cut": 1 - CONTAMINATION})["anomaly_score"]["cut"]
     return scored.withColumn("is_anomaly", (F.col("anomaly_score") > F.lit(cut)) | F.col("extreme"))

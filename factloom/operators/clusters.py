@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from factloom.functions.columns import as_double, col, fused_agg, long_values
 from factloom.operators.order import column_quantiles
 from factloom.operators.profile import few_valued, modes, value_counts
-from factloom.session import materialize
+from factloom.session import materialize, run_jobs
 
 # Limits of the segmentation.
 MAX_LEVELS, RARE_SHARE, RARE_LEVEL = 15, 0.02, "__RARE__"
@@ -87,18 +87,18 @@ def segmentation(
     data = materialize(feature_matrix(df, numeric, categorical), "matrix")
     sample = _sample(data, rows, SILHOUETTE_SAMPLE, "silhouette").select("features").persist()
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="segment")
-    best_k, best_score = 2, -1.0
+    def judge_k(k: int) -> float:
+        labelled = KMeans(k=k, seed=0, featuresCol="features", predictionCol="segment").fit(sample).transform(sample)
+        return judge.evaluate(labelled) if labelled.select("segment").distinct().count() > 1 else -1.0
+
     try:
-        for k in range(2, max_k + 1):
-            fitted = KMeans(k=k, seed=0, featuresCol="features", predictionCol="segment").fit(sample)
-            labelled = fitted.transform(sample)
-            if labelled.select("segment").distinct().count() < 2:
-                continue
-            score = judge.evaluate(labelled)
-            if score > best_score:
-                best_k, best_score = k, score
+        sample.count()
+        tried = list(range(2, max_k + 1))
+        scores = run_jobs(df.sparkSession, judge_k, tried, len(tried))
     finally:
         sample.unpersist()
+    best_score = max(scores)
+    best_k = tried[scores.index(best_score)]
     model = KMeans(k=best_k, seed=0, featuresCol="features", predictionCol="segment").fit(data)
     return model.transform(data), {"k": best_k, "silhouette": round(best_score, 3), "rows": rows}
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
+from factloom.operators.order import broadcast_if_small
 
 # Packing limits.
 PROMPT_CHARS = 16_000
@@ -16,6 +17,7 @@ MIN_OVERLAP = 2
 MIN_ROOM, JOINER = 80, 4
 HISTORY_TURNS, MAX_TURN_CHARS, MAX_QUESTION_CHARS = 8, 1000, 1000
 RECENT_PREDICTIONS = 5
+SMALL_QUESTION_WORDS = 200_000
 # Two different words of three characters and a gap between them.
 SMALLEST_MATCH = 2 * X.MIN_TOKEN + 1
 
@@ -40,8 +42,10 @@ def question_overlap(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     held = items.select(
         "run_id", "item_id", F.explode(X.tokens(F.concat_ws(" ", "source", "content"))).alias("word")
     )
+    # The words of few questions are sent to the evidence, so its words need no shuffle
+    # and all matches of an item are counted where the item is.
     overlap = (
-        asked.join(held, ["run_id", "word"])
+        held.join(broadcast_if_small(asked, SMALL_QUESTION_WORDS), ["run_id", "word"])
         .groupBy("run_id", "question_id", "item_id")
         .agg(F.count(F.lit(1)).alias("overlap"))
         .filter(F.col("overlap") >= MIN_OVERLAP)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.columns import as_double, clean_value, col, is_nested, is_numeric
+from factloom.functions.columns import as_double, clean_value, col, fused_agg, is_nested, is_numeric
 from factloom.operators.charts import string_codes
 from factloom.operators.groups import crosstab_purity
 from factloom.operators.order import average_ranks, column_quantiles
@@ -21,7 +21,8 @@ MISSING_LEVEL = "__MISSING__"
 
 def column_auc(df: DataFrame, names: list[str], label: Column) -> DataFrame:
     """Exact AUC of each numeric column against a 0/1 label, nulls at the median; (column, auc)."""
-    medians = column_quantiles(df, names, {"median": 0.5})
+    holes = fused_agg(df, [F.count_if(as_double(df, n).isNull()).alias(f"h{i}") for i, n in enumerate(names)])
+    medians = column_quantiles(df, [n for i, n in enumerate(names) if holes[f"h{i}"]], {"median": 0.5})
     filled = df.select(
         label.cast("int").alias("_y"),
         *[

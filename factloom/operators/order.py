@@ -8,8 +8,8 @@ goes through two devices here:
   bucket is shifted by the total of the lower buckets. The cut points only
   balance the work; the totals are exact whatever they are.
 * ``exact_quantiles``: a quantile sketch with a guaranteed rank error brackets
-  each wanted quantile, rows outside the brackets are counted map-side, and
-  only the values inside the brackets are kept.
+  each wanted quantile, rows outside the brackets are only counted, and the
+  values inside the brackets are the only ones that are shuffled and sorted.
 """
 
 from __future__ import annotations
@@ -103,6 +103,17 @@ def ordered_prefix(
     )
 
 
+def positions(df: DataFrame, by: Sequence[str], order: str, name: str = "position") -> DataFrame:
+    """Adds the place of each row in the order of a unique number, restarting per key.
+
+    Unlike a window per key, a key that holds most of the rows is cut into buckets.
+    """
+    keys = [*by, order]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_one"))
+    placed = ordered_prefix(counts, order, ["_one"], by).select(*keys, F.col("cum__one").alias(name))
+    return df.join(placed, keys)
+
+
 def tie_totals(prefixed: DataFrame, value: str, total: str, by: Sequence[str] = ()) -> DataFrame:
     """Add ``tie_<total>``: the weight of all rows that share the value."""
     same = Window.partitionBy(*by, "_slot", value)
@@ -132,18 +143,30 @@ def rank_sums(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) ->
     return per_group.withColumn("tie_term", F.sum("_tie_part").over(pooled)).drop("_tie_part")
 
 
-def _collapse_key(value: Column, low: Sequence[Column], high: Sequence[Column]) -> Column:
-    """(key, gap): the value itself inside a bracket, else the upper edge of the bracket below it."""
-    expr = None
-    below = F.lit(float("-inf"))
-    steps: list[tuple[Column, Column]] = []
-    for lo, hi in zip(low, high):
-        steps.append((value < lo, F.struct(below.alias("key"), F.lit(1).alias("gap"))))
-        steps.append((value <= hi, F.struct(value.alias("key"), F.lit(0).alias("gap"))))
-        below = F.greatest(below, hi)
-    for test, out in steps:
-        expr = F.when(test, out) if expr is None else expr.when(test, out)
-    return expr.otherwise(F.struct(below.alias("key"), F.lit(1).alias("gap")))
+def _brackets(data: DataFrame, width: int, asked: Sequence[float], by: Sequence[str]) -> tuple[DataFrame, dict]:
+    """The data with edge arrays per column: values surely at or beyond each wanted quantile."""
+    low = [max(0.0, p - BRACKET) for p in asked]
+    high = [min(1.0, p + BRACKET) for p in asked]
+    wide = F.array(*[F.lit(float("-inf"))] * len(asked), *[F.lit(float("inf"))] * len(asked))
+    sketch = [
+        F.when(F.count(F.col(f"_v{i}")) <= KEEP_ALL_ROWS, wide)
+        .otherwise(F.percentile_approx(F.col(f"_v{i}"), low + high, SKETCH_ACCURACY))
+        .alias(f"_q{i}")
+        for i in range(width)
+    ]
+    k = len(asked)
+    if not by:
+        found = fused_agg(data, sketch)
+        return data, {i: [(F.lit(found[f"_q{i}"][j]), F.lit(found[f"_q{i}"][k + j])) for j in range(k)] for i in range(width)}
+    edges = broadcast_if_small(materialize(data.groupBy(*[col(b) for b in by]).agg(*sketch), "edges"))
+    match = None
+    for b in by:
+        test = F.col(f"_l.{b}").eqNullSafe(F.col(f"_r.{b}"))
+        match = test if match is None else match & test
+    joined = data.alias("_l").join(edges.alias("_r"), match).select(
+        "_l.*", *[F.col(f"_r._q{i}") for i in range(width)]
+    )
+    return joined, {i: [(F.col(f"_q{i}")[j], F.col(f"_q{i}")[k + j]) for j in range(k)] for i in range(width)}
 
 
 def exact_quantiles(
@@ -154,82 +177,72 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per (by, column).
 
-    Two narrow scans: a sketch pass for the brackets, and a pass that keeps the
-    values inside them. A bracket holds about 4 in 20,000 of the rows, so the
-    final sort is small even for very large tables.
+    Three narrow scans: a sketch for the brackets, one aggregate that counts
+    the rows below and on the edges, and a pass over the values strictly
+    inside. A bracket holds about 4 in 20,000 of the rows, so what is sorted
+    is small even for very large tables.
     """
-    ordered = sorted(probs.items(), key=lambda kv: kv[1])
-    asked = [p for _, p in ordered]
-    low_p = [max(0.0, p - BRACKET) for p in asked]
-    high_p = [min(1.0, p + BRACKET) for p in asked]
+    labels = list(probs)
     data = df.select(*[col(b) for b in by], *[as_double(df, c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    data, edges = _brackets(data, len(columns), [probs[x] for x in labels], by)
 
-    wide = F.array(*[F.lit(float("-inf"))] * len(asked), *[F.lit(float("inf"))] * len(asked))
-    sketch = [
-        F.when(F.count(F.col(f"_v{i}")) <= KEEP_ALL_ROWS, wide)
-        .otherwise(F.percentile_approx(F.col(f"_v{i}"), low_p + high_p, SKETCH_ACCURACY))
-        .alias(f"_q{i}")
-        for i in range(len(columns))
-    ]
-    if by:
-        edges = data.groupBy(*[col(b) for b in by]).agg(*sketch)
-        edges = materialize(edges, "edges")
-        edges = broadcast_if_small(edges)
-        match = None
-        for b in by:
-            test = F.col(f"_l.{b}").eqNullSafe(F.col(f"_r.{b}"))
-            match = test if match is None else match & test
-        data = data.alias("_l").join(edges.alias("_r"), match).select(
-            "_l.*", *[F.col(f"_r._q{i}") for i in range(len(columns))]
-        )
-        cuts = {i: [F.col(f"_q{i}")[j] for j in range(2 * len(asked))] for i in range(len(columns))}
-    else:
-        found = fused_agg(data, sketch)
-        cuts = {
-            i: [F.lit(v) for v in (found[f"_q{i}"] or [0.0] * (2 * len(asked)))]
-            for i in range(len(columns))
-        }
-
-    keys = []
+    counts, records, cells = [], [], []
     for i, name in enumerate(columns):
-        key = _collapse_key(F.col(f"_v{i}"), cuts[i][: len(asked)], cuts[i][len(asked) :])
-        keys.append(
-            F.when(
-                F.col(f"_v{i}").isNotNull(),
-                F.struct(F.lit(name).alias("column"), key["key"].alias("key"), key["gap"].alias("gap")),
+        v = F.col(f"_v{i}")
+        counts.append(F.count(v).alias(f"_n{i}"))
+        for j, label in enumerate(labels):
+            lo, hi = edges[i][j]
+            key = f"{i}_{j}"
+            counts += [
+                F.count_if(v < lo).alias(f"_b{key}"),
+                F.count_if(v == lo).alias(f"_e{key}"),
+                F.max(lo).alias(f"_l{key}"),
+                F.max(hi).alias(f"_h{key}"),
+            ]
+            records.append(
+                F.struct(
+                    F.lit(name).alias("column"), F.lit(j).alias("_j"), F.lit(probs[label]).alias("_p"),
+                    F.col(f"_n{i}").alias("n"), F.col(f"_b{key}").alias("_below"), F.col(f"_e{key}").alias("_equal"),
+                    F.col(f"_l{key}").alias("_lo"), F.col(f"_h{key}").alias("_hi"),
+                )
             )
-        )
-    long = data.select(*[col(b) for b in by], F.explode(F.array_compact(F.array(*keys))).alias("_c"))
-    counts = long.groupBy(*[col(b) for b in by], "_c.column", "_c.key", "_c.gap").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    # A gap sorts after the bracket edge it follows.
-    running = Window.partitionBy(*by, "column").orderBy("key", "gap").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    whole = Window.partitionBy(*by, "column")
-    placed = counts.withColumn("_cum", F.sum("n").over(running)).withColumn("_all", F.sum("n").over(whole))
-    start = F.col("_cum") - F.col("n")
+            inside = (v > lo) & (v < hi)
+            cells.append(F.when(inside, F.struct(F.lit(name).alias("column"), F.lit(j).alias("_j"), v.alias("_key"))))
+    keys = [col(b) for b in by]
+    wanted = data.groupBy(*keys).agg(*counts).select(*keys, F.inline(F.array(*records))).filter(F.col("n") > 0)
+
+    any_inside = cells[0].isNotNull()
+    for c in cells[1:]:
+        any_inside = any_inside | c.isNotNull()
+    kept = data.filter(any_inside).select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("_c"))
+    values = kept.groupBy(*keys, "_c.column", "_c._j", "_c._key").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.partitionBy(*by, "column", "_j").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = values.withColumn("_cum", F.sum("_n").over(running))
+
+    match = (F.col("_w.column") == F.col("_x.column")) & (F.col("_w._j") == F.col("_x._j"))
+    for b in by:
+        match = match & F.col(f"_w.{b}").eqNullSafe(F.col(f"_x.{b}"))
+    both = wanted.alias("_w").join(values.alias("_x"), match, "left").select("_w.*", "_x._key", "_x._n", "_x._cum")
+    start = F.col("_below") + F.col("_equal")
 
     def at(position: Column) -> Column:
-        hit = (start <= position) & (position < F.col("_cum"))
-        exact = F.when(F.col("gap") == 0, F.col("key")).otherwise(
-            F.raise_error(F.lit("quantile sketch error above its bound")).cast("double")
-        )
-        return F.max(F.when(hit, exact))
-
-    parts = []
-    for label, p in ordered:
-        place = F.lit(p) * (F.col("_all") - 1)
-        parts.append(at(F.floor(place)).alias(f"_lo_{label}"))
-        parts.append(at(F.ceil(place)).alias(f"_hi_{label}"))
-    found = placed.groupBy(*[col(b) for b in by], "column").agg(F.max("_all").alias("n"), *parts)
-    out = []
-    for label, p in probs.items():
-        place = F.lit(p) * (F.col("n") - 1)
-        lo, hi = F.col(f"_lo_{label}"), F.col(f"_hi_{label}")
-        out.append((lo + (hi - lo) * (place - F.floor(place))).alias(label))
-    return found.select(*[col(b) for b in by], "column", "n", *out)
+        hit = (start + F.col("_cum") - F.col("_n") <= position) & (position < start + F.col("_cum"))
+        return F.max(F.when(hit, F.col("_key")))
+
+    place = F.col("_p") * (F.col("n") - 1)
+    facts = ["n", "_p", "_below", "_equal", "_lo", "_hi"]
+    spots = both.groupBy(*keys, "column", "_j", *facts).agg(at(F.floor(place)).alias("_a"), at(F.ceil(place)).alias("_z"))
+
+    def value(position: Column, found: str) -> Column:
+        off = F.raise_error(F.lit("quantile sketch error above its bound")).cast("double")
+        edge = F.when(position < F.col("_below"), off).when(position < start, F.col("_lo")).otherwise(F.col("_hi"))
+        return F.coalesce(F.col(found), edge)
+
+    low, high = value(F.floor(place), "_a"), value(F.ceil(place), "_z")
+    spots = spots.withColumn("_value", low + (high - low) * (place - F.floor(place)))
+    return spots.groupBy(*keys, "column").agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("_j") == j, F.col("_value"))).alias(x) for j, x in enumerate(labels)]
+    )
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float]) -> dict[str, dict[str, float]]:

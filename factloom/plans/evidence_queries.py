@@ -45,8 +45,8 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("T1", f"SELECT doc_id, list_aggregate(list_sort({_tokens_sql('text')}), 'string_agg', ' ') AS words FROM documents WHERE len({_tokens_sql('text')}) > 0")
 def document_tokens(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", F.sort_array(X.tokens(F.col("text"))).alias("w"))
-    return found.filter(F.size("w") > 0).select("doc_id", F.array_join("w", " ").alias("words"))
+    worded = table(spark, sf, "documents").filter(F.col("text").rlike("[a-zA-Z0-9_]{3}"))
+    return worded.select("doc_id", F.array_join(F.sort_array(X.tokens(F.col("text"))), " ").alias("words"))
 
 
 _EXPANDED = " || ".join(

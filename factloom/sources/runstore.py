@@ -19,6 +19,11 @@ SHAPES = {
     "tombstones": "deleted_at timestamp, run_id string",
 }
 CHILDREN = ("charts", "insights", "chat_messages", "predictions")
+SHARDS = 256
+
+
+def shard_of(run_id):
+    return F.pmod(F.xxhash64(run_id), F.lit(SHARDS)).cast("int")
 
 
 def owned(caller: str | None):
@@ -73,16 +78,27 @@ class RunStore:
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def table(self, name: str) -> DataFrame:
-        shape = SHAPES[name]
+    def table(self, name: str, sharded: bool = False) -> DataFrame:
+        shape = SHAPES[name] + (", shard int" if sharded else "")
         try:
             return self.spark.read.schema(shape).parquet(f"{self.path}/{name}")
         except AnalysisException:
             return self.spark.createDataFrame([], shape)
 
     def append(self, name: str, rows: DataFrame) -> None:
+        """Rows go to folders by a hash of the run, so their number does not grow with the runs.
+
+        Rebalancing joins small writes and splits the folder of a run with very many rows.
+        """
         names = [part.strip().split(" ")[0] for part in SHAPES[name].split(",")]
-        rows.select(*names).write.mode("append").partitionBy("run_id").parquet(f"{self.path}/{name}")
+        placed = rows.select(*names, shard_of(F.col("run_id")).alias("shard"))
+        spread = placed.hint("rebalance", F.col("shard"))
+        spread.write.mode("append").partitionBy("shard").parquet(f"{self.path}/{name}")
+
+    def of_run(self, name: str, run_id: str) -> DataFrame:
+        """One run's rows; only its folder is read."""
+        shard = shard_of(F.lit(run_id))
+        return self.table(name, sharded=True).filter((F.col("shard") == shard) & (F.col("run_id") == run_id)).drop("shard")
 
     def save(
         self,
@@ -122,10 +138,10 @@ class RunStore:
 
     def get(self, run_id: str, caller: str | None = None) -> dict[str, DataFrame] | None:
         """The run and its parts as tables pruned to the run; None when absent, deleted or not owned."""
-        runs = visible_runs(self.table("runs").filter(F.col("run_id") == run_id), self.table("tombstones"), caller)
+        runs = visible_runs(self.of_run("runs", run_id), self.of_run("tombstones", run_id), caller)
         if not runs.limit(1).count():
             return None
-        return {"runs": runs, **{n: self.table(n).filter(F.col("run_id") == run_id) for n in CHILDREN}}
+        return {"runs": runs, **{n: self.of_run(n, run_id) for n in CHILDREN}}
 
     def document(self, run_id: str, caller: str | None = None) -> DataFrame | None:
         found = self.get(run_id, caller)
