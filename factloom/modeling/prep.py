@@ -231,25 +231,31 @@ def fold_count(plan: FeaturePlan) -> int:
     return folds
 
 
-def assign_folds(df: DataFrame, folds: int, stratify: str | None, seed: int = SEED) -> DataFrame:
-    """Adds ``_fold``. Small tables: exact strata by hash order; large ones: hash of the row's place.
+def assign_folds(df: DataFrame, folds: int, rows: int, stratify: str | None, name: str = "_fold", seed: int = SEED) -> DataFrame:
+    """Adds a fold number from the stored ``_place`` of a row.
 
-    ``df`` must be read from files so that the place of a row is stable.
+    Small tables get exact strata by hash order; in large ones a plain hash is
+    even enough and needs no shuffle.
     """
-    keyed = df.withColumn("_key", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
-    if df.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
-        order = Window.partitionBy(stratify if stratify else F.lit(0)).orderBy("_key")
-        return keyed.withColumn("_fold", ((F.row_number().over(order) - 1) % folds).cast("int")).drop("_key")
-    return keyed.withColumn("_fold", F.pmod("_key", F.lit(folds)).cast("int")).drop("_key")
+    key = F.xxhash64("_place", F.lit(seed))
+    if rows > SMALL_TABLE:
+        return df.withColumn(name, F.pmod(key, F.lit(folds)).cast("int"))
+    order = Window.partitionBy(stratify if stratify else F.lit(0)).orderBy(key)
+    return df.withColumn(name, ((F.row_number().over(order) - 1) % folds).cast("int"))
 
 
 def training_table(df: DataFrame, plan: FeaturePlan) -> DataFrame:
-    """Features with ``_y``, ``_w``, ``_fold`` and ``_test`` (a fifth of each class), written once."""
+    """Features with ``_y``, ``_w``, ``_place``, ``_fold`` and ``_test`` (a fifth of each class).
+
+    The place of a row is written with it, so folds are the same in every job.
+    """
     data = df.select(*[col(f) for f in plan.features], label_column(df, plan).alias("_y")).filter(
         F.col("_y").isNotNull()
     )
-    data = materialize(data, "train").withColumn("_w", weight_column(plan))
+    data = materialize(data.withColumn("_place", F.monotonically_increasing_id()), "train")
+    data = data.withColumn("_w", weight_column(plan))
     strata = "_y" if plan.problem == "classification" else None
-    tested = assign_folds(data, MAX_FOLDS, strata, SEED + 1).withColumnRenamed("_fold", "_fifth")
-    tested = materialize(tested.withColumn("_test", F.col("_fifth") == 0).drop("_fifth"), "train")
-    return materialize(assign_folds(tested, fold_count(plan), strata), "train")
+    split = assign_folds(data, MAX_FOLDS, plan.rows, strata, "_fifth", SEED + 1)
+    split = split.withColumn("_test", F.col("_fifth") == 0).drop("_fifth")
+    split = assign_folds(split, fold_count(plan), plan.rows, strata)
+    return materialize(split, "train") if plan.rows <= SMALL_TABLE else split

@@ -110,7 +110,7 @@ def calibrated_parts(table: DataFrame, plan: FeaturePlan, names: Sequence[str])
     folds = min(CALIBRATION_FOLDS, min(plan.class_counts))
     if folds < 2:
         return []
-    split = assign_folds(table.drop("_fold"), folds, "_y", seed=7)
+    split = assign_folds(table.drop("_fold"), folds, plan.rows, "_y", seed=7)
 
     def calibrate(fold: int) -> Part:
         part = fit_part(split.filter(F.col("_fold") != fold), plan, names)

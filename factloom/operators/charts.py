@@ -222,9 +222,11 @@ def string_codes(df: DataFrame, name: str, edges: int = 64) -> DataFrame:
     ]
     sample.sort(key=lambda v: v.encode("utf-8"))
     cuts = sample[16::16]
-    bucket = F.lit(0)
-    if cuts:
-        bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value")))
+    if not cuts:
+        # The sample held every value, so there are no more than sixteen.
+        place = F.row_number().over(Window.orderBy("value")) - 1
+        return values.select("value", place.cast("double").alias("code"))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value")))
     values = values.withColumn("_bucket", bucket)
     sizes = values.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -30,6 +30,7 @@ BRACKET = 2.0 / SKETCH_ACCURACY
 # Below this size a bracket would be narrower than two ranks, so all values are kept.
 KEEP_ALL_ROWS = 2 * SKETCH_ACCURACY
 MAX_BROADCAST_GROUPS = 10_000
+MAX_BROADCAST_SUMS = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_GROUPS) -> DataFrame:
@@ -53,6 +54,28 @@ def _bucketed(counts: DataFrame, value: str, rows: int) -> tuple[DataFrame, int]
     return cutter.transform(counts), len(edges) + 1
 
 
+def _with_bases(cut: DataFrame, totals: Sequence[str], by: Sequence[str], buckets: int) -> DataFrame:
+    """Add per row the total of the lower buckets and of all buckets."""
+    sums = cut.groupBy(*by, "_slot").agg(*[F.sum(t).alias(f"_part_{t}") for t in totals])
+    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    sums = sums.select(
+        *by,
+        "_slot",
+        *[F.coalesce(F.sum(f"_part_{t}").over(before), F.lit(0)).alias(f"_base_{t}") for t in totals],
+        *[F.sum(f"_part_{t}").over(whole).alias(f"all_{t}") for t in totals],
+    )
+    groups = cut.select(*by).distinct().limit(MAX_BROADCAST_GROUPS + 1).count() if by else 1
+    if groups <= MAX_BROADCAST_GROUPS and groups * buckets <= MAX_BROADCAST_SUMS:
+        sums = F.broadcast(sums)
+    condition = F.lit(True)
+    for key in [*by, "_slot"]:
+        condition = condition & F.col(f"_l.{key}").eqNullSafe(F.col(f"_r.{key}"))
+    return cut.alias("_l").join(sums.alias("_r"), condition).select(
+        "_l.*", *[F.col(f"_r._base_{t}") for t in totals], *[F.col(f"_r.all_{t}") for t in totals]
+    )
+
+
 def ordered_prefix(
     counts: DataFrame,
     value: str,
@@ -71,26 +94,15 @@ def ordered_prefix(
     cut, buckets = _bucketed(counts, value, size)
     sign = F.lit(-1.0) if descending else F.lit(1.0)
     cut = cut.withColumn("_slot", F.col("_bucket") * sign)
-
-    sums = cut.groupBy(*by, "_slot").agg(*[F.sum(t).alias(f"_part_{t}") for t in totals])
-    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    sums = sums.select(
-        *by,
-        "_slot",
-        *[F.coalesce(F.sum(f"_part_{t}").over(before), F.lit(0)).alias(f"_base_{t}") for t in totals],
-        *[F.sum(f"_part_{t}").over(whole).alias(f"all_{t}") for t in totals],
-    )
-    groups = cut.select(*by).distinct().limit(MAX_BROADCAST_GROUPS + 1).count() if by else 1
-    if groups * buckets <= 1_000_000 and groups <= MAX_BROADCAST_GROUPS:
-        sums = F.broadcast(sums)
-    keys = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in [*by, "_slot"]]
-    condition = keys[0]
-    for key in keys[1:]:
-        condition = condition & key
-    joined = cut.alias("_l").join(sums.alias("_r"), condition).select(
-        "_l.*", *[F.col(f"_r._base_{t}") for t in totals], *[F.col(f"_r.all_{t}") for t in totals]
-    )
+    if buckets == 1:
+        joined = cut.select(
+            "*",
+            *[F.lit(0).alias(f"_base_{t}") for t in totals],
+            *[F.sum(t).over(whole).alias(f"all_{t}") for t in totals],
+        )
+    else:
+        joined = _with_bases(cut, totals, by, buckets)
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = Window.partitionBy(*by, "_slot").orderBy(order).rangeBetween(
         Window.unboundedPreceding, Window.currentRow

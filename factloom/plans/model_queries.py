@@ -9,12 +9,12 @@ from factloom.modeling import metrics as M
 from factloom.modeling import predict as P
 from factloom.modeling.explain import global_drivers, importance_reasons, row_reasons
 from factloom.modeling.prep import ModelingError, class_weights, plan_features
-from factloom.modeling.scoring import FittedModel, train
+from factloom.modeling.scoring import FittedModel, load_model, save_model, train
 from factloom.modeling.tournament import Tournament, run_tournament
 from factloom.operators import features as X
 from factloom.operators import leakage as L
 from factloom.plans.registry import query, r, rounded, table
-from factloom.session import materialize
+from factloom.session import materialize, scratch_path
 
 _LEAK = """d AS (SELECT l_linestatus AS status, l_linestatus AS status_copy, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS open_flag,
   l_quantity, l_tax, l_returnflag FROM lineitem),
@@ -397,6 +397,14 @@ def model_predictions(spark, sf):
     return P.predict_batch(trained(spark, sf)[0], customer_activity(spark, sf))
 
 
+@query("K3 K4")
+def reloaded_model(spark, sf):
+    """The model written, read back, and applied to the whole table."""
+    path = scratch_path(spark, "model")
+    save_model(trained(spark, sf)[0], path, spark)
+    return P.predict_batch(load_model(spark, path), customer_activity(spark, sf)).select("order_count", "probability", "risk_tier")
+
+
 @query("P5")
 def model_drivers(spark, sf):
     return global_drivers(trained(spark, sf)[0], customer_activity(spark, sf))

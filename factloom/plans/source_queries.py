@@ -90,6 +90,17 @@ def json_payload_rows(spark, sf):
     return rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("S6", "SELECT c_acctbal, c_custkey, c_mktsegment FROM customer")
+def json_column_lists(spark, sf):
+    """Objects of lists, a hundred customers in each."""
+    path = scratch_path(spark, "lists") + ".json"
+    batches = table(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("batch")).agg(
+        F.collect_list(F.struct("c_custkey", "c_acctbal", "c_mktsegment")).alias("r")
+    )
+    batches.select("r.c_custkey", "r.c_acctbal", "r.c_mktsegment").write.json(path)
+    return R.unpack_records(spark.read.json(path))
+
+
 @query("S9", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders")
 def parquet_round_trip(spark, sf):
     path = scratch_path(spark, "columns") + ".parquet"

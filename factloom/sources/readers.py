@@ -130,22 +130,26 @@ def _record_lists(schema: T.StructType, prefix: Sequence[str] = ()) -> list[list
 
 
 def _is_column_object(df: DataFrame) -> bool:
-    """A single object whose values are lists of plain values of equal length."""
+    """Objects whose values are all lists of plain values, of equal length within an object."""
     plain = all(
         isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, T.StructType)
         for f in df.schema.fields
     )
-    if not plain or df.limit(2).count() != 1:
+    if not plain:
         return False
-    sizes = df.select(F.array_distinct(F.array(*[F.size(col(c)) for c in df.columns])).alias("s")).first()["s"]
-    return len(sizes) == 1
+    sizes = F.array_distinct(F.array(*[F.size(col(c)) for c in df.columns]))
+    return bool(df.agg(F.bool_and(F.size(sizes) == 1).alias("even")).first()["even"])
+
+
+def unpack_columns(df: DataFrame) -> DataFrame:
+    """Objects of equally long lists to rows, one column per list."""
+    return df.select(F.inline(F.arrays_zip(*[col(c) for c in df.columns]))).toDF(*df.columns)
 
 
 def unpack_records(df: DataFrame) -> DataFrame:
     """The longest embedded list of objects as rows; without one, the objects themselves."""
     if _is_column_object(df):
-        zipped = F.arrays_zip(*[col(c) for c in df.columns])
-        return df.select(F.inline(zipped)).toDF(*df.columns)
+        return unpack_columns(df)
     paths = _record_lists(df.schema)
     if not paths or df.limit(2).count() != 1:
         return flatten(df)

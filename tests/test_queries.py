@@ -10,7 +10,7 @@ from factloom.plans import all_queries
 
 QUERIES = all_queries()
 # These train models; the model tests cover them on smaller fields.
-SLOW = {"model_tournament", "model_card", "model_predictions", "model_drivers", "model_reasons", "regression_tournament", "analysis_findings"}
+SLOW = {"model_tournament", "model_card", "model_predictions", "model_drivers", "model_reasons", "reloaded_model", "regression_tournament", "analysis_findings"}
 
 
 @pytest.fixture(scope="module")
