@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.language import UNKNOWN, identify, train
+from factloom.llm.neardup import near_duplicates
 from factloom.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,8 +24,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(kept).select(*COLUMNS)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id."""
+    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id")
+    return docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
 STAGES = [
     ("language", language),
+    ("near_copies", near_copies),
 ]
 # Networks, trees and best fit can't be stated in SQL; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, percent=80)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.language import held_out, identify, train
 
@@ -23,6 +29,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Runner] = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op9_language_id": op9_language_id,
 }
 SQL: dict[str, str] = {}
