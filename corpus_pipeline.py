@@ -25,9 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id."""
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group stays, the one with the smallest id; rows without an id all stay, repeated rows stay once."""
+    gone = near_duplicates(docs, shingle=5, percent=80).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text", "source", "lang"))
+    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    return left.withColumn("_own", own).dropDuplicates(["doc_id", "_own"]).select(*COLUMNS)
 
 
 STAGES = [

@@ -20,6 +20,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, percent=80)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), size=50)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.language import held_out, identify, train
 
@@ -30,6 +36,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Runner] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_language_id": op9_language_id,
 }
 SQL: dict[str, str] = {}
