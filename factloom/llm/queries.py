@@ -20,12 +20,30 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, percent=80)
 
 
+def op3_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.transducer import encode_and_decode
+
+    return encode_and_decode(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.lengths import encoded_lengths, histogram, length_table
+
+    return length_table(histogram(encoded_lengths(table(spark, sf_dir, "documents", "doc_id", "text"))))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.substring import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), size=50)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.language import held_out, identify, train
 
@@ -34,9 +52,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op10_seekable_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.idfiles import write_and_read
+
+    return write_and_read(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Runner] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_transducer_bpe": op3_transducer_bpe,
+    "op4_token_length_histogram": op4_token_length_histogram,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_language_id": op9_language_id,
+    "op10_seekable_id_files": op10_seekable_id_files,
 }
 SQL: dict[str, str] = {}
