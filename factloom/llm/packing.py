@@ -27,8 +27,9 @@ from factloom.llm.lengths import encoded_lengths
 from factloom.session import materialize
 
 SIZES = (512, 1024, 2048, 4096, 8192)
-# A sequence costs its tokens and a fixed share for being a row of a batch.
+# A sequence costs its tokens, its share of attention, which grows with the square, and a fixed part for being a row of a batch.
 FIXED_COST = 16
+ATTENTION = 1 / 65536
 SHARD_PIECES = 2000
 
 
@@ -72,7 +73,7 @@ def _least_cost(first: int, values: list[int], counts: dict[int, int], sizes: tu
                 used[n] = used.get(n, 0) + take
                 rest -= n * take
             at = min(at - 1, bisect_right(values, rest))
-        rate = (size + fixed) / (size - rest)
+        rate = (size + size * size * ATTENTION + fixed) / (size - rest)
         if best is None or rate < best[0]:
             best = (rate, size)
     return best[1]

@@ -44,6 +44,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.language import held_out, identify, train
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Runner] = {
     "op4_token_length_histogram": op4_token_length_histogram,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_seekable_id_files": op10_seekable_id_files,
 }
