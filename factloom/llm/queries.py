@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=20, every=20)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.neardup import near_duplicates
 
@@ -38,6 +44,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), size=50)
 
 
+def op6_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.maxscore import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=5, scale=256, every=50)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.packing import pack
 
@@ -65,10 +77,12 @@ def op10_seekable_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Runner] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_transducer_bpe": op3_transducer_bpe,
     "op4_token_length_histogram": op4_token_length_histogram,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_maxscore_top_k": op6_maxscore_top_k,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
