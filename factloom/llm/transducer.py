@@ -46,7 +46,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, "text", 4 << 20):
                 flat = pc.ascii_split_whitespace(filled(part.column(0))).flatten()
                 found = pc.value_counts(flat)
                 new = pa.table({"word": found.field("values"), "n": found.field("counts")})
