@@ -42,7 +42,7 @@ ROLL_A, ROLL_B = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 KMERS = "row long, doc_id long, minimiser long, start int, n int"
 PACKED = "row long, doc_id long, minimiser long, salt int, salts int, start int, packed binary"
 FOUND = "row long, doc_id long, start int, n int, minimiser long, sub int, open binary"
-MOST_BYTES = 8 << 20
+MOST_BYTES = 2 << 20
 
 
 def rolls(base: int) -> tuple[Powers, Powers]:

@@ -19,7 +19,7 @@ BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
