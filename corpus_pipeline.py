@@ -11,30 +11,56 @@ from pyspark.sql import functions as F
 
 from factloom.llm.language import UNKNOWN, identify, train
 from factloom.llm.neardup import near_duplicates
+from factloom.llm.packing import pack
+from factloom.llm.secrets import redact
+from factloom.llm.substring import without_repeats
 from factloom.session import materialize
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # A document goes if its language is unknown or the network is hardly above an even guess.
 LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs.select(*COLUMNS), train(docs))
+    """Documents without a letter go, and those for which no language stands out."""
+    found = identify(docs, train(docs))
     kept = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
-    return found.where(kept).select(*COLUMNS)
+    return found.where(kept).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; rows without an id all stay, repeated rows stay once."""
     gone = near_duplicates(docs, shingle=5, percent=80).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text", "source", "lang"))
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    return left.withColumn("_own", own).dropDuplicates(["doc_id", "_own"]).select(*COLUMNS)
+    left = docs.join(gone, "doc_id", "left_anti").withColumn("_own", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    return left.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that a document with a smaller id also has are cut out."""
+    return _counted(without_repeats(docs, size=50))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    return _counted(redact(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: sequence, offset and size."""
+    return pack(docs)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows the text."""
+    count = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    return docs.select(*[count.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 STAGES = [
     ("language", language),
     ("near_copies", near_copies),
+    ("passages", passages),
+    ("secrets", secrets),
+    ("packing", packing),
 ]
 # Networks, trees and best fit can't be stated in SQL; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -191,7 +191,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> ByteNet |
 
 
 def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """All columns of ``docs`` plus ``lang_pred`` and ``lang_score``."""
+    """All columns of ``docs`` plus ``lang_pred`` and ``lang_score``, which replace columns of those names."""
+    docs = docs.drop("lang_pred", "lang_score")
     if net is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0)})
     names = np.array(net.languages, dtype=object)

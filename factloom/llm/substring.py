@@ -265,33 +265,45 @@ def kept_words(text: bytes, spans: list | None, size: int) -> tuple[int, list[by
     return len(words), list(compress(words, (np.cumsum(cover)[:-1] == 0).tolist()))
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, texts: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, and ``kept_sha256`` or, with ``texts``, ``kept_text`` and the other columns."""
-    own = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")] if texts else []
-    spans = materialize(repeated_spans(docs, size), "spans")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("_row"), "text", *[f.name for f in own])
-    marks = spans.select(F.col("row").alias("_row"), F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
-    joined = keyed.join(marks, [keyed["_row"] == marks["_row"], keyed["doc_id"] == marks["_doc"]], "left")
-    joined = joined.select(keyed["doc_id"], "text", "_spans", *[keyed[f.name] for f in own])
-    last = "kept_text" if texts else "kept_sha256"
-    schema = f"doc_id long, n_words long, n_removed long, {last} string"
+def _with_spans(docs: DataFrame, size: int) -> DataFrame:
+    """All columns of ``docs`` and the spans that go, as ``_spans``."""
+    marks = materialize(repeated_spans(docs, size), "spans").select(F.col("row").alias("_row"), F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
+    keyed = docs.withColumns({"_row": F.xxhash64("doc_id", "text"), "_doc": F.col("doc_id").cast("long")})
+    return keyed.join(marks, ["_row", "_doc"], "left").select(*docs.columns, "_spans")
+
+
+def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed and the sha256 of the kept words, joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                total, removed, out = [], [], []
-                for text, spans_ in zip(filled(part.column("text")).cast(pa.large_binary()).to_pylist(), part.column("_spans").to_pylist()):
-                    n, words = kept_words(text, spans_, size)
+                total, removed, digest = [], [], []
+                for text, spans in zip(filled(part.column("text")).cast(pa.large_binary()).to_pylist(), part.column("_spans").to_pylist()):
+                    n, words = kept_words(text, spans, size)
                     total.append(n)
                     removed.append(n - len(words))
-                    joined_words = b" ".join(words)
-                    # A text that loses nothing is handed on as it is.
-                    out.append((text if n == len(words) else joined_words).decode() if texts else hashlib.sha256(joined_words).hexdigest())
+                    digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string()), *[part.column(f.name) for f in own]],
-                    names=["doc_id", "n_words", "n_removed", last, *[f.name for f in own]],
+                    [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())],
+                    names=["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    if own:
-        schema = joined.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(last), *[f.name for f in own]).schema
-    return joined.mapInArrow(run, schema)
+    rows = docs.select("doc_id", "text")
+    kind = dict(rows.dtypes)["doc_id"]
+    return _with_spans(rows, size).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """All rows and columns of ``docs``; a text that loses words keeps the others, joined by one space, and any other text is as it was."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                texts = []
+                for text, spans in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist()):
+                    texts.append(b" ".join(kept_words(text.encode(), spans, size)[1]).decode() if spans and text else text)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names], names=names)
+
+    return _with_spans(docs, size).mapInArrow(run, docs.schema)

@@ -1,0 +1,205 @@
+"""Searches against brute force, the scan and the classifier on labelled cases, and the pipeline as a whole."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from conftest import SF
+from corpus_cases import documents, near_classes, removed, texts
+
+from factloom.llm import language, maxscore, nearest, queries, secrets
+
+INF = float("inf")
+
+
+def vectors(spark, n=1500, dims=12, copies=60, seed=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(20, dims))
+    rows = centres[rng.integers(0, 20, n)] + rng.normal(size=(n, dims)) * 0.3
+    rows[rng.choice(n, copies, replace=False)] = rows[0]
+    cells = [(i, x.tolist(), "a", 1) for i, x in enumerate(rows)]
+    odd = [(n, None, "a", 1), (n + 1, [None] * dims, "a", 1), (n + 2, [float("nan")] * dims, "a", 1), (n + 3, [INF] * dims, "a", 1), (None, rows[1].tolist(), "a", 1), (5, rows[5].tolist(), "a", 1)]
+    zero = [(n + 5, [0.0] * dims, "a", 1)]
+    return rows, cells + odd + zero, n
+
+
+def frame(spark, cells):
+    return spark.createDataFrame(cells, "vec_id long, embedding array<double>, leaf string, shard int").repartition(4)
+
+
+def ranked(found):
+    out: dict = {}
+    for r in found:
+        out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return {q: [(v, s) for _, v, s in sorted(x)] for q, x in out.items()}
+
+
+@pytest.mark.parametrize("shard", [8192, 200])
+def test_maxscore_is_exact(spark, monkeypatch, shard):
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", shard)
+    rows, cells, n = vectors(spark)
+    got = ranked(maxscore.top_products(frame(spark, cells), k=5, scale=256, every=50).collect())
+    whole = {i: np.floor(256 * x).astype(int) for i, x in enumerate(rows)} | {n + 5: np.zeros(rows.shape[1], int)}
+    assert set(got) == {i for i in whole if i % 50 == 0}
+    for q, found in got.items():
+        scores = sorted(((-int(whole[q] @ x), i) for i, x in whole.items() if i != q))[:5]
+        assert found == [(i, -s) for s, i in scores]
+
+
+def test_maxscore_small_tables(spark):
+    assert maxscore.top_products(frame(spark, [])).collect() == []
+    got = ranked(maxscore.top_products(frame(spark, [(0, [1.0, 2.0], "", 1), (1, [1.0], "", 1), (2, [1.0, 2.0], "", 1)]), every=1).collect())
+    assert [v for v, _ in got[0]] == [2, 1] and got[1][0] == (0, 256 * 256)
+
+
+@pytest.mark.parametrize("shard", [4096, 40])
+def test_nearest_recall(spark, monkeypatch, shard):
+    monkeypatch.setattr(nearest, "SHARD_ROWS", shard)
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 30)
+    rows, cells, n = vectors(spark, dims=16)
+    got = ranked(nearest.nearest(frame(spark, cells), k=20, every=20).collect())
+    assert set(got) == set(range(0, n, 20))
+    recall = []
+    for q, found in got.items():
+        scores = rows @ rows[q]
+        order = [i for i in np.lexsort((np.arange(n), -scores)) if i != q][:20]
+        recall.append(len({v for v, _ in found} & set(order)) / 20)
+        for v, s in found:
+            assert s == pytest.approx(scores[v], abs=1e-9)
+        assert found == sorted(found, key=lambda x: (-x[1], x[0]))
+    assert np.mean(recall) >= 0.9
+
+
+def test_nearest_small_tables(spark):
+    assert nearest.nearest(frame(spark, [])).collect() == []
+    got = ranked(nearest.nearest(frame(spark, [(i, [1.0, float(i)], "", 1) for i in range(1, 5)]), every=1).collect())
+    assert [v for v, _ in got[1]] == [4, 3, 2]
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    docs = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    found = language.identify(docs.select("doc_id", "text", "lang"), language.train(docs)).withColumn("held", language.held_out())
+    rows = [r for r in found.collect() if r["held"] and r["lang_pred"] != "und"]
+    assert len(rows) > 100
+    assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
+    assert all(0 <= r["lang_score"] <= 1 for r in rows)
+
+
+def test_language_odd_cases(spark):
+    docs = documents(spark)
+    found = language.identify(docs, language.train(docs))
+    assert found.columns == [*docs.columns, "lang_pred", "lang_score"]
+    for r in found.collect():
+        blank = not any(c.isalpha() for c in r["text"] or "")
+        assert (r["lang_pred"] == "und") == blank
+        assert 0 <= r["lang_score"] <= 1
+    assert language.train(documents(spark, [])) is None
+    assert language.identify(documents(spark, []), None).collect() == []
+
+
+def test_windows_cover_every_byte():
+    import pyarrow as pa
+
+    rows = [t for _, t in texts()]
+    windows, doc, used = language.text_windows(pa.array(rows))
+    for i, t in enumerate(rows):
+        raw = b"".join(w[:u].tobytes() for w, u in zip(windows[doc == i], used[doc == i]))
+        assert raw == (t or "").encode()
+
+
+def secret_rows():
+    rng = random.Random(2)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    upper = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n - 1)) + "7"
+    rows, secret = [], {}
+    for i in range(60):
+        key = [f"AKIA{upper(16)}", hexa(18), hexa(40)][i % 3]
+        rows.append((i, ["some words {} and more text here", "and password={} then on", 'now token = "{}" follows'][i % 3].format(key)))
+        secret[i] = key
+    plain = ["the number 4041894974608795 is here", "see https://example.org/blog/2023-05-12-annual-report-summary for more", "commit 3f786850e387550fdab836ed7e6dc881de23001b was reverted", "id 123e4567-e89b-12d3-a456-426614174000 found", "a file user_profile_image_v12_final_copy is open"]
+    rows += [(100 + i, plain[i % len(plain)]) for i in range(20)]
+    rows += [(200, None), (201, ""), (202, "é" * 3000 + f" password={hexa(20)} " + "long text " * 4000), (203, f"{hexa(40)} and {hexa(40)}"), (0, rows[0][1]), (None, rows[1][1])]
+    return rows, secret
+
+
+def test_secrets_are_found_and_look_alikes_are_not(spark):
+    rows, secret = secret_rows()
+    found = secrets.scan(documents(spark, rows)).collect()
+    by_text = {}
+    for r in found:
+        by_text.setdefault(r["doc_id"], []).append(r)
+    text_of = dict(rows)
+    for i, key in secret.items():
+        assert any(r["is_secret"] and text_of[i][r["start"] : r["start"] + r["length"]] == key for r in by_text[i])
+    assert sum(r["is_secret"] for i in range(100, 120) for r in by_text.get(i, [])) == 0
+    assert len(by_text[0]) == 2 and len(by_text[203]) == 2 and any(r["is_secret"] for r in by_text[202])
+    assert secrets.scan(documents(spark, [])).collect() == []
+
+
+def test_redaction_replaces_only_secrets(spark):
+    rows, secret = secret_rows()
+    docs = documents(spark, rows)
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    clean = {r["doc_id"]: r["text"] for r in out.collect()}
+    text_of = dict(rows)
+    for i, key in secret.items():
+        assert clean[i] == text_of[i].replace(key, secrets.MASK)
+    for i in (*range(100, 120), 200, 201):
+        assert clean[i] == text_of[i]
+
+
+def test_forest_separates_held_out_findings(spark):
+    findings = secrets.labelled_findings(spark, 1200)
+    held = findings.where("pmod(xxhash64(candidate), 4) = 0")
+    forest = secrets.train_forest(findings.where("pmod(xxhash64(candidate), 4) <> 0"))
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = held.select(*[c.alias(n) for n, c in secrets.features().items()], "label")
+    scored = forest.transform(VectorAssembler(inputCols=list(secrets.features()), outputCol="features").transform(rows))
+    assert scored.where("prediction = label").count() / scored.count() > 0.97
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_run_over_whole_tables(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    names = df.columns
+    n = df.count()
+    if "doc_id" in names and name not in ("op7_best_fit_packing", "op8_secret_scan"):
+        assert n == spark.read.parquet(f"{SF}/documents.parquet").count()
+    else:
+        assert n > 0 or name == "op8_secret_scan"
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as pipe
+
+    rows = [(i, t) for i, t in texts() if i != 700] + [(900 + i, t) for i, t in secret_rows()[0] if i is not None and i > 0]
+    docs = documents(spark, rows)
+    stages = dict(pipe.STAGES)
+    assert [n for n, _ in pipe.STAGES] == ["language", "near_copies", "passages", "secrets", "packing"]
+    known = stages["language"](spark, docs, SF)
+    assert known.columns == docs.columns
+    left = {r["doc_id"] for r in known.collect()}
+    assert not left & {500, 501, 502, 503, 508}
+    deduped = stages["near_copies"](spark, docs, SF)
+    wanted = near_classes(rows, 5)
+    assert sorted(r["doc_id"] for r in deduped.collect() if r["doc_id"] is not None) == sorted({c for c in wanted.values()})
+    assert deduped.where("doc_id IS NULL").count() == 2 and deduped.columns == docs.columns
+    cut = {r["doc_id"]: r for r in stages["passages"](spark, docs, SF).collect()}
+    for i, n, kept in removed(rows, 50):
+        if len(kept) < n:
+            assert cut[i]["text"] == " ".join(kept) and cut[i]["n_chars"] == len(" ".join(kept))
+    clean = stages["secrets"](spark, docs, SF)
+    assert clean.columns == docs.columns and clean.where("text LIKE '%[SECRET]%'").count() > 0
+    assert stages["packing"](spark, docs, SF).count() >= len(rows)
+
+
+def test_pipeline_on_nothing(spark):
+    import corpus_pipeline as pipe
+
+    docs = documents(spark, [])
+    for _, stage in pipe.STAGES:
+        assert stage(spark, docs, SF).collect() == []
