@@ -153,8 +153,8 @@ def test_redaction_replaces_only_secrets(spark):
 
 def test_forest_separates_held_out_findings(spark):
     findings = secrets.labelled_findings(spark, 1200)
-    held = findings.where("pmod(xxhash64(candidate), 4) = 0")
-    forest = secrets.train_forest(findings.where("pmod(xxhash64(candidate), 4) <> 0"))
+    held = findings.where("pmod(xxhash64(before, candidate, after), 4) = 0")
+    forest = secrets.train_forest(findings.where("pmod(xxhash64(before, candidate, after), 4) <> 0"))
     from pyspark.ml.feature import VectorAssembler
 
     rows = held.select(*[c.alias(n) for n, c in secrets.features().items()], "label")
