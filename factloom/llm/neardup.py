@@ -8,9 +8,11 @@
 3. A bucket is cut into blocks of bounded size, and a pair of blocks is one group, so no group grows
    with the bucket. In a group the packed bits are compared by counting, the agreement is corrected
    for chance collisions, and members that reach no partner are left out.
-4. The full sets of what is left travel to the groups, where the links are confirmed exactly. A group
-   returns a spanning star of each set of connected members, not its pairs.
-5. Connected components over all stars give the classes.
+4. What the groups leave is joined to candidate components, each cut into pairs of blocks again, so
+   that the full set of a member travels once in all but large components. A component for which the
+   groups of step 3 would send fewer sets keeps those.
+5. In a group the links are confirmed exactly on full sets. A group returns a spanning star of each
+   set of connected members, not its pairs; connected components over all stars give the classes.
 
 Bands: a pair at the threshold 0.8 shares none of 32 bands of 4 minima with probability (1 - 0.8^4)^32
 = 5e-8, and falls under the bound on the estimate with 4.5 standard errors. Sets are compared as
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.links import components
 from factloom.llm.words import Powers, Splitter, mixed, pieces, windows
+from factloom.operators.order import broadcast_if_small
 from factloom.session import materialize
 
 MINIMA = 128
@@ -39,7 +42,9 @@ BAND = 4
 BITS = 4
 STANDARD_ERRORS = 4.5
 # A block of a bucket holds about so many members and shingles.
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS = 256
+# Up to so many ids of candidates are sent to all tasks that read the texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 BLOCK_SHINGLES = 500_000
 ROLL = 0xC2B2AE3D27D4EB4F
 PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits binary"
@@ -122,17 +127,22 @@ def profiles(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PROFILE)
 
 
-def _blocks(buckets: DataFrame, members: DataFrame) -> DataFrame:
-    """(group, id, half): every pair of members of a bucket meets in at least one group of two blocks."""
-    cut = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    sized = members.join(buckets.select("bucket", cut.alias("blocks")), "bucket")
+def _blocks(members: DataFrame) -> DataFrame:
+    """(group, id): every pair of members of a bucket meets in at least one group of two blocks. Input: bucket, id, n_shingles."""
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    spread = sized.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    spread = members.join(_sizes(members).select("bucket", "blocks"), "bucket").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     return spread.select(
         F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "id"
     ).distinct()
 
 
+def _sizes(members: DataFrame) -> DataFrame:
+    """Per bucket its members and the number of blocks it is cut into."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
+    cut = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return sizes.withColumn("blocks", cut)
+
+
 def _pruned(groups: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
     """The members of each group that reach a partner by the estimate, under a new group number for each connected part."""
     chance = 2.0**-BITS
@@ -160,9 +170,9 @@ def _pruned(groups: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
         sizes = np.bincount(label, minlength=n)
         kept = sizes[label] > 1
         number = mixed(np.uint64(group & 0xFFFFFFFFFFFFFFFF) ^ mixed(ids[label].astype(np.uint64)))
-        return pa.table({"group": number.view(np.int64)[kept], "id": ids[kept]})
+        return pa.table({"group": number.view(np.int64)[kept], "id": ids[kept], "head": ids[label][kept]})
 
-    return groups.join(bits, "id").groupBy("group").applyInArrow(run, "group long, id long")
+    return groups.join(bits, "id").groupBy("group").applyInArrow(run, "group long, id long, head long")
 
 
 def agreements(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -174,9 +184,19 @@ def agreements(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return MINIMA - np.bitwise_count(x).sum(axis=1, dtype=np.int64)
 
 
+def _candidate_groups(pruned: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(group, id): blocks of candidate components, or the groups they came from where those are fewer rows."""
+    component = components(pruned.where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    members = materialize(component.join(sizes, "id").select(F.col("component").alias("bucket"), "id", "n_shingles"), "candidate-components")
+    own = _distinct_groups(pruned.select("group", "id")).join(members.select("id", "bucket"), "id")
+    sent = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("sent"))
+    large = _sizes(members).join(sent, "bucket").where(F.col("members") * F.col("blocks") > F.col("sent")).select("bucket")
+    return _blocks(members.join(large, "bucket", "left_anti")).unionByName(own.join(large, "bucket", "left_semi").select("group", "id"))
+
+
 def _distinct_groups(groups: DataFrame) -> DataFrame:
     """One of all groups that have the same members."""
-    seen = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("x"), F.min("id").alias("m"))
+    seen = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("m"))
     kept = seen.groupBy("n", "x", "m").agg(F.min("group").alias("group")).select("group")
     return groups.join(kept, "group")
 
@@ -234,6 +254,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 blobs = [sets[first[i] : first[i + 1]].tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["id", "shingles"])
 
+    wanted = broadcast_if_small(wanted, BROADCAST_IDS)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
     return texts.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
 
@@ -248,18 +269,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         ),
         "classes",
     )
-    rows = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"),
-        F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("x"), F.min("id").alias("m"),
-    ).where("members > 1")
-    buckets = materialize(
-        shared.groupBy("members", "shingles", "x", "m").agg(F.min("bucket").alias("bucket")), "buckets"
-    )
-    groups = _blocks(buckets, rows.select("bucket", "id"))
-    pruned = materialize(_pruned(groups, classes.select("id", "bits"), percent / 100), "pruned")
-    wanted = pruned.select("id").distinct()
-    stars = _confirmed(_distinct_groups(pruned), _sets(docs, wanted, shingle), percent)
+    rows = classes.select("id", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("id")).alias("x")).where("members > 1")
+    buckets = shared.groupBy("members", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = materialize(rows.join(buckets, "bucket"), "buckets")
+    pruned = materialize(_pruned(_blocks(members), classes.select("id", "bits"), percent / 100), "pruned")
+    groups = materialize(_candidate_groups(pruned, classes.select("id", "n_shingles")), "candidates")
+    stars = _confirmed(groups, _sets(docs, pruned.select("id").distinct(), shingle), percent)
     linked = components(materialize(stars, "stars"))
     heads = classes.select("set_a", "set_b", "n_shingles", "id").join(linked, "id", "left")
     heads = heads.select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("_head"))
