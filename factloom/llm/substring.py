@@ -80,9 +80,9 @@ def super_kmers(words, size: int, roll: tuple[Powers, Powers]) -> tuple[np.ndarr
     return doc[head], at[head] - words.first[doc[head]], lengths, least[head].view(np.int64)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash that tells rows of the same id apart, and the text."""
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), "text")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """All columns, the id as ``_doc``, and a hash that tells rows of the same id apart as ``_row``."""
+    return docs.withColumns({"_row": F.xxhash64("doc_id", "text"), "_doc": F.col("doc_id").cast("long")})
 
 
 def _places(rows: DataFrame, size: int) -> DataFrame:
@@ -93,30 +93,31 @@ def _places(rows: DataFrame, size: int) -> DataFrame:
                 doc, start, n, minimiser = super_kmers(splitter(part.column("text")), size, roll)
                 own = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row").take(own), part.column("doc_id").take(own), pa.array(minimiser), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    [part.column("_row").take(own), part.column("_doc").take(own), pa.array(minimiser), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
                     names=["row", "doc_id", "minimiser", "start", "n"],
                 )
 
-    return rows.where("doc_id IS NOT NULL").mapInArrow(run, KMERS)
+    return rows.select("_row", "_doc", "text").mapInArrow(run, KMERS)
 
 
 def _packed(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """The wanted super-k-mers, each with its words packed as one string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             for part in pieces(batch):
                 out = [[], [], [], [], [], [], []]
-                for one in part.to_pylist():
-                    words = one["text"].encode().split()
-                    for w in one["wanted"]:
-                        cells = (one["row"], one["doc_id"], w["minimiser"], w["salt"], w["salts"], w["start"], b" ".join(words[w["start"] : w["start"] + w["n"] + size - 1]))
+                for row, doc, text, own in zip(*(part.column(c).to_pylist() for c in ("_row", "_doc", "text", "_wanted"))):
+                    words = text.encode().split()
+                    for w in own:
+                        cells = (row, doc, w["minimiser"], w["salt"], w["salts"], w["start"], b" ".join(words[w["start"] : w["start"] + w["n"] + size - 1]))
                         for held, cell in zip(out, cells):
                             held.append(cell)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["row", "doc_id", "minimiser", "salt", "salts", "start", "packed"])
 
-    return rows.join(wanted, ["row", "doc_id"]).select("row", "doc_id", "text", "wanted").mapInArrow(run, PACKED)
+    # All columns go in, so that this join and the last one read one and the same exchange of the texts.
+    return rows.join(wanted, ["_row", "_doc"]).mapInArrow(run, PACKED)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], weight: str) -> Iterator[pa.Table]:
@@ -166,6 +167,7 @@ def _spans(row: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
 
 
 def _found(row, doc, at, n, open_keys=(), open_subs=(), blobs=()) -> pa.RecordBatch:
+    """Decided spans, under their row's hash and part -1, and open windows, under their minimiser and part."""
     k, m = len(row), len(blobs)
     none = lambda count, kind: pa.nulls(count, kind)
     join = lambda left, right: pa.concat_arrays([left, right])
@@ -173,7 +175,7 @@ def _found(row, doc, at, n, open_keys=(), open_subs=(), blobs=()) -> pa.RecordBa
         [
             join(pa.array(row, pa.int64()), none(m, pa.int64())), join(pa.array(doc, pa.int64()), none(m, pa.int64())),
             join(pa.array(at, pa.int32()), none(m, pa.int32())), join(pa.array(n, pa.int32()), none(m, pa.int32())),
-            join(none(k, pa.int64()), pa.array(open_keys, pa.int64())), join(none(k, pa.int32()), pa.array(open_subs, pa.int32())),
+            join(pa.array(row, pa.int64()), pa.array(open_keys, pa.int64())), join(pa.array(np.full(k, -1), pa.int32()), pa.array(open_subs, pa.int32())),
             join(none(k, pa.binary()), pa.array(blobs, pa.binary())),
         ],
         names=["row", "doc_id", "start", "n", "minimiser", "sub", "open"],
@@ -219,11 +221,16 @@ def _decided(packed: DataFrame, size: int) -> DataFrame:
     return dealt.mapInArrow(run, FOUND)
 
 
-def _closed(opened: DataFrame) -> DataFrame:
-    """The windows that were left open, sorted per (minimiser, part of the window hashes)."""
+def _closed(decided: DataFrame) -> DataFrame:
+    """All spans: the decided ones as they are, and those of open windows, sorted per (minimiser, part of the window hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["minimiser", "sub"], "open"):
+            parts = table.column("sub").to_numpy()
+            yield from table.filter(pa.array(parts < 0)).to_batches()
+            table = table.filter(pa.array(parts >= 0))
+            if not table.num_rows:
+                continue
             blobs = table.column("open").to_pylist()
             lengths = np.array([len(x) // 40 for x in blobs])
             group = np.cumsum(np.append(True, (np.diff(table.column("minimiser").to_numpy()) != 0) | (np.diff(table.column("sub").to_numpy()) != 0)))
@@ -234,23 +241,20 @@ def _closed(opened: DataFrame) -> DataFrame:
             again = order[doc > least]
             yield _found(*_spans(record[again, 3], record[again, 2], record[again, 4]))
 
-    return opened.repartition("minimiser", "sub").sortWithinPartitions("minimiser", "sub").mapInArrow(run, FOUND)
+    return decided.repartition("minimiser", "sub").sortWithinPartitions("minimiser", "sub").mapInArrow(run, FOUND)
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(row, doc_id, spans): per document the runs of windows (start, n) that a smaller document also has."""
-    rows = _rows(docs)
+def _repeated_spans(rows: DataFrame, size: int) -> DataFrame:
+    """(_row, _doc, _spans): per document the runs of windows (start, n) that a smaller document also has."""
     places = materialize(_places(rows, size), "super-kmers")
     shared = places.groupBy("minimiser").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("members")
     ).where("low < high").select("minimiser", F.ceil(F.col("members") / BUCKET_ROWS).cast("int").alias("salts"))
     hits = places.join(shared, "minimiser").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
     # A list per document is no longer than the document.
-    wanted = hits.groupBy("row", "doc_id").agg(F.collect_list(F.struct("minimiser", "salt", "salts", "start", "n")).alias("wanted"))
-    decided = materialize(_decided(_packed(rows, wanted, size), size), "windows")
-    closed = _closed(decided.where("open IS NOT NULL").select("minimiser", "sub", "open"))
-    spans = decided.where("row IS NOT NULL").select("row", "doc_id", "start", "n").unionByName(closed.select("row", "doc_id", "start", "n"))
-    return spans.groupBy("row", "doc_id").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    wanted = hits.groupBy(F.col("row").alias("_row"), F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("minimiser", "salt", "salts", "start", "n")).alias("_wanted"))
+    spans = _closed(_decided(_packed(rows, wanted, size), size))
+    return spans.groupBy(F.col("row").alias("_row"), F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("start", "n")).alias("_spans"))
 
 
 def kept_words(text: bytes, spans: list | None, size: int) -> tuple[int, list[bytes]]:
@@ -267,9 +271,10 @@ def kept_words(text: bytes, spans: list | None, size: int) -> tuple[int, list[by
 
 def _with_spans(docs: DataFrame, size: int) -> DataFrame:
     """All columns of ``docs`` and the spans that go, as ``_spans``."""
-    marks = materialize(repeated_spans(docs, size), "spans").select(F.col("row").alias("_row"), F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumns({"_row": F.xxhash64("doc_id", "text"), "_doc": F.col("doc_id").cast("long")})
-    return keyed.join(marks, ["_row", "_doc"], "left").select(*docs.columns, "_spans")
+    keyed = _keyed(docs)
+    known = keyed.where("_doc IS NOT NULL")
+    marked = known.join(_repeated_spans(known, size), ["_row", "_doc"], "left").select(*docs.columns, "_spans")
+    return marked.unionByName(keyed.where("_doc IS NULL").select(*docs.columns, F.lit(None).cast(marked.schema["_spans"].dataType).alias("_spans")))
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
