@@ -102,6 +102,8 @@ def fused_agg(df: DataFrame, exprs: Sequence[Column]) -> dict[str, object]:
 
 def long_values(df: DataFrame, names: Sequence[str], cast: str, keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., column, value): the named columns unpivoted with a common type, nulls dropped."""
+    if not names:
+        return df.select(*[col(k) for k in keep], F.lit(None).cast("string").alias("column"), F.lit(None).cast(cast).alias("value")).where(F.lit(False))
     cells = [clean_value(n, df.schema[n].dataType).cast(cast).alias(n) for n in names]
     wide = df.select(*[col(k) for k in keep], *cells)
     return (

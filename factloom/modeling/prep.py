@@ -25,7 +25,7 @@ ID_SUFFIXES = ("id", "uuid", "guid", "key")
 MIN_ROWS, MAX_CLASSES, MAX_FOLDS, MINORITY_LIMIT = 15, 10, 5, 0.20
 SEED = 42
 MAX_LEVELS, OTHER_LEVEL = 100, "__OTHER__"
-SMALL_TABLE = 100_000
+ROWS_PER_BUCKET = 100_000
 
 
 class ModelingError(ValueError):
@@ -232,16 +232,22 @@ def fold_count(plan: FeaturePlan) -> int:
 
 
 def assign_folds(df: DataFrame, folds: int, rows: int, stratify: str | None, name: str = "_fold", seed: int = SEED) -> DataFrame:
-    """Adds a fold number from the stored ``_place`` of a row.
+    """Adds a fold number: the rank of a row's hashed ``_place`` within its class, modulo the folds.
 
-    Small tables get exact strata by hash order; in large ones a plain hash is
-    even enough and needs no shuffle.
+    Hashes are even, so ranges of them cut a class into buckets of known size, and a row's rank is its
+    rank in its bucket after the rows of the lower ones. The number of buckets spreads the work and
+    does not change the ranks. Classes differ by at most one row between folds.
     """
-    key = F.xxhash64("_place", F.lit(seed))
-    if rows > SMALL_TABLE:
-        return df.withColumn(name, F.pmod(key, F.lit(folds)).cast("int"))
-    order = Window.partitionBy(stratify if stratify else F.lit(0)).orderBy(key)
-    return df.withColumn(name, ((F.row_number().over(order) - 1) % folds).cast("int"))
+    buckets = max(1, -(-rows // ROWS_PER_BUCKET))
+    by = [stratify] if stratify else []
+    order = F.shiftrightunsigned(F.xxhash64("_place", F.lit(seed)), 1)
+    marked = df.withColumn("_order", order).withColumn("_bucket", F.floor(F.col("_order") / F.lit(2.0**63) * buckets).cast("int"))
+    lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = marked.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = sizes.select(*by, "_bucket", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_order", "_place")
+    ranked = marked.withColumn("_rank", F.row_number().over(inside)).join(ahead, [*by, "_bucket"])
+    return ranked.select(*[col(c) for c in df.columns], ((F.col("_rank") - 1 + F.col("_ahead")) % folds).cast("int").alias(name))
 
 
 def training_table(df: DataFrame, plan: FeaturePlan) -> DataFrame:
@@ -258,4 +264,4 @@ def training_table(df: DataFrame, plan: FeaturePlan) -> DataFrame:
     split = assign_folds(data, MAX_FOLDS, plan.rows, strata, "_fifth", SEED + 1)
     split = split.withColumn("_test", F.col("_fifth") == 0).drop("_fifth")
     split = assign_folds(split, fold_count(plan), plan.rows, strata)
-    return materialize(split, "train") if plan.rows <= SMALL_TABLE else split
+    return materialize(split, "train")

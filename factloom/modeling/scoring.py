@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.columns import col
 from factloom.modeling import metrics as M
-from factloom.modeling.prep import SMALL_TABLE, FeaturePlan, assign_folds, prep_pipeline
+from factloom.modeling.prep import FeaturePlan, assign_folds, prep_pipeline
 from factloom.modeling.tournament import Tournament, candidate, predict_with, run_tournament, verdict
 from factloom.operators.leakage import leakage_messages, leakage_warnings
 from factloom.session import run_jobs
@@ -124,8 +124,7 @@ def calibrated_parts(table: DataFrame, plan: FeaturePlan, names: Sequence[str])
             held.unpersist()
         return part
 
-    together = folds if plan.rows <= SMALL_TABLE else 1
-    return run_jobs(table.sparkSession, calibrate, range(folds), together)
+    return run_jobs(table.sparkSession, calibrate, range(folds), folds)
 
 
 def _calibrated(p: Column, part: Part, plan: FeaturePlan) -> Column:

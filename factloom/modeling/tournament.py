@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from factloom.modeling import metrics as M
 from factloom.modeling.prep import (
     MINORITY_LIMIT,
-    SMALL_TABLE,
     FeaturePlan,
     fold_count,
     plan_features,
@@ -220,9 +219,7 @@ def out_of_fold(table: DataFrame, plan: FeaturePlan, names: Sequence[str], paral
                 held = held.withColumn(slots[name], F.lit(None).cast(kind))
         return materialize(held.select("_y", "_fold", "base", *slots.values()), "held")
 
-    # Small tables leave the executors idle, so their folds run side by side.
-    together = parallel if plan.rows <= SMALL_TABLE else 1
-    parts = run_jobs(spark, hold_out, range(fold_count(plan)), together)
+    parts = run_jobs(spark, hold_out, range(fold_count(plan)), parallel)
     return reduce(DataFrame.unionByName, parts), slots, errors
 
 

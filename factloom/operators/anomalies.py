@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.columns import as_double, col, fused_agg, numeric_columns
 from factloom.operators.order import column_quantiles
-from factloom.session import materialize, spread_small
+from factloom.session import materialize
 
 # Limits of the detectors.
 EXTREME_Z, MAD_SCALE = 8.0, 1.4826
@@ -96,21 +96,12 @@ def _forest_sample(data: DataFrame, rows: int, names: Sequence[str]) -> tuple[Da
     task runs again; copies of one row are drawn independently.
     """
     size = min(SAMPLE_PER_TREE, rows)
-    pool_size = TREES * SAMPLE_PER_TREE
     keyed = data.select(*[col(n) for n in names], F.monotonically_increasing_id().alias("_key"))
-    if rows > 2 * pool_size:
-        step = 2**62
-        share = 1.5 * pool_size / rows
-        keyed = keyed.filter(F.pmod(F.xxhash64("_key", F.lit("pool")), F.lit(step)) < F.lit(int(share * step)))
-        pool = 1.5 * pool_size
-    else:
-        pool = rows
-    share = min(1.0, 2.0 * size / pool + 40.0 / pool)
+    share = min(1.0, 2.0 * size / rows + 40.0 / rows)
     step = 2**62
-    picked = keyed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn(
-        "_pick", F.xxhash64("_key", "tree")
-    )
-    picked = picked.filter(F.pmod("_pick", F.lit(step)) < F.lit(int(share * step)))
+    # A row is copied only for the trees that draw it.
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.pmod(F.xxhash64("_key", t), F.lit(step)) < F.lit(int(share * step)))
+    picked = keyed.withColumn("tree", F.explode(drawn)).withColumn("_pick", F.xxhash64("_key", "tree"))
     order = Window.partitionBy("tree").orderBy("_pick", "_key")
     picked = picked.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= size)
     return picked, size
@@ -176,7 +167,7 @@ def anomalies(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame |
     rows = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if not names or rows < MIN_ROWS:
         return None
-    base = materialize(spread_small(robust_z(df, names), rows), "robust")
+    base = materialize(robust_z(df, names), "robust")
     scored = materialize(isolation_scores(base, names), "anomaly")
     cut = column_quantiles(scored, ["anomaly_score"], {"cut": 1 - CONTAMINATION})["anomaly_score"]["cut"]
     return scored.withColumn("is_anomaly", (F.col("anomaly_score") > F.lit(cut)) | F.col("extreme"))

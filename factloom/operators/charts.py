@@ -25,9 +25,8 @@ from factloom.operators.profile import few_valued
 from factloom.operators.segments import segment_labels
 from factloom.session import materialize
 
-# Chart limits and positive words.
+# Bins and positive words.
 BINS = 30
-MAX_HISTOGRAMS, MAX_CORRELATED, MAX_CATEGORIES, MAX_BOXES = 6, 10, 4, 4
 POSITIVE_VALUES = ("yes", "true", "1", "churn", "positive", "y", "default", "attrition")
 TIER_ORDER = ("High", "Medium", "Low")
 
@@ -95,7 +94,7 @@ def correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, target: str | None = None) -> DataFrame:
-    names = numeric_columns(df, [target] if target else [])[:MAX_CORRELATED]
+    names = numeric_columns(df, [target] if target else [])
     if target and is_numeric(df.schema[target].dataType):
         names = [*names, target]
     return correlations(df, names)
@@ -104,7 +103,7 @@ def correlation_matrix(df: DataFrame, target: str | None = None) -> DataFrame:
 def strong_pairs(df: DataFrame, names: Sequence[str], limit: int = 2, floor: float = 0.5) -> DataFrame:
     """The most correlated pairs above ``floor`` in absolute value."""
     return (
-        correlations(df, list(names)[:15])
+        correlations(df, list(names))
         .filter(F.abs("r") > floor)
         .orderBy(F.desc(F.abs("r")), F.desc("left"), F.desc("right"))
         .limit(limit)
@@ -140,13 +139,13 @@ def target_as_number(df: DataFrame, target: str) -> Column:
 
 
 def category_rates(df: DataFrame, target: str) -> DataFrame:
-    """Mean of the target per category value, times 100, for up to four categorical columns."""
+    """Mean of the target per category value, times 100, for the few-valued categorical columns."""
     texts = [c for c in categorical_columns(df, [target]) if isinstance(df.schema[c].dataType, T.StringType)]
     counts = few_valued(df, texts)
-    chosen = [c for c in texts if 2 <= counts.get(c, 0) <= 20][:MAX_CATEGORIES]
+    chosen = [c for c in texts if 2 <= counts.get(c, 0) <= 20]
     if not chosen:
         # A column outside the few-valued ones has more than one value for sure.
-        chosen = [c for c in texts if counts.get(c, 2) > 1][:MAX_CATEGORIES]
+        chosen = [c for c in texts if counts.get(c, 2) > 1]
     data = df.withColumn("_y", target_as_number(df, target)).filter(F.col("_y").isNotNull())
     return (
         long_values(data, chosen, "string", ["_y"])
@@ -156,8 +155,8 @@ def category_rates(df: DataFrame, target: str) -> DataFrame:
 
 
 def box_stats(df: DataFrame, target: str, names: Sequence[str] | None = None) -> DataFrame:
-    """Quartiles and 1.5-IQR whiskers per target value for up to four numeric columns."""
-    names = list(names) if names is not None else numeric_columns(df, [target])[:MAX_BOXES]
+    """Quartiles and 1.5-IQR whiskers per target value for numeric columns."""
+    names = list(names) if names is not None else numeric_columns(df, [target])
     data = df.select(col(target).cast("string").alias("_target"), *[col(n) for n in names])
     boxes = exact_quantiles(data, names, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=["_target"])
     boxes = materialize(boxes, "boxes")
@@ -264,7 +263,7 @@ def exploratory_tables(df: DataFrame, target: str | None) -> dict[str, DataFrame
     numbers = numeric_columns(df, [target] if target else [])
     out: dict[str, DataFrame] = {}
     if numbers:
-        out["histograms"] = histograms(df, numbers[:MAX_HISTOGRAMS])
+        out["histograms"] = histograms(df, numbers)
     if len(numbers) >= 2:
         out["correlations"] = correlation_matrix(df, target)
     if target:

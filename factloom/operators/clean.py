@@ -57,6 +57,7 @@ class CleanPlan:
     columns: int
     numeric: list[str] = field(default_factory=list)
     dates: list[str] = field(default_factory=list)
+    layouts: dict[str, str] = field(default_factory=dict)
     trimmed: list[str] = field(default_factory=list)
     fills: dict[str, object] = field(default_factory=dict)
     filled_nulls: dict[str, int] = field(default_factory=dict)
@@ -64,12 +65,39 @@ class CleanPlan:
     steps: list[str] = field(default_factory=list)
 
 
-def parse_timestamp(value: Column) -> Column:
-    """Text to timestamp over a fixed list of layouts, null when none fits."""
+ISO = "iso"
+
+
+def parse_layout(value: Column, layout: str) -> Column:
+    """Text to timestamp in one layout, null where it does not fit."""
     text = F.trim(value.cast("string"))
-    iso = F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?"), text.try_cast("timestamp_ntz"))
-    others = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in DATE_LAYOUTS]
-    return F.coalesce(iso, *others)
+    if layout == ISO:
+        return F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?"), text.try_cast("timestamp_ntz"))
+    return F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz")
+
+
+def parse_timestamp(value: Column) -> Column:
+    """Text to timestamp over the fixed list of layouts, null when none fits; for the test whether a value is a date at all."""
+    return F.coalesce(*[parse_layout(value, p) for p in (ISO, *DATE_LAYOUTS)])
+
+
+def _layout_counts(names: list[str]) -> list[Column]:
+    return [F.count(parse_layout(col(c), p)).alias(f"_ts{i}_{k}") for i, c in enumerate(names) for k, p in enumerate((ISO, *DATE_LAYOUTS))]
+
+
+def _layouts_from(seen: dict, names: list[str]) -> dict[str, tuple[str, int]]:
+    """Per column the layout that fits most values, the first of equals, and how many it fits."""
+    out = {}
+    for i, c in enumerate(names):
+        fits = [(seen[f"_ts{i}_{k}"], -k) for k in range(len(DATE_LAYOUTS) + 1)]
+        n, k = max(fits)
+        out[c] = ((ISO, *DATE_LAYOUTS)[-k], n)
+    return out
+
+
+def best_layouts(df: DataFrame, names: list[str]) -> dict[str, tuple[str, int]]:
+    """One layout per column, so that a column is never read in two orders of day and month."""
+    return _layouts_from(fused_agg(df, _layout_counts(names)), names) if names else {}
 
 
 def date_named(name: str) -> bool:
@@ -94,7 +122,7 @@ def _coerced(name: str, dtype: T.DataType, plan: CleanPlan) -> Column:
         return to_number(col(name))
     if name in plan.dates:
         if isinstance(dtype, T.StringType):
-            return parse_timestamp(col(name))
+            return parse_layout(col(name), plan.layouts[name])
         return col(name).cast("timestamp_ntz") if isinstance(dtype, T.DateType) else col(name)
     if isinstance(dtype, T.StringType):
         return F.trim(col(name))
@@ -113,9 +141,9 @@ def plan_cleaning(df: DataFrame, rows_before: int, rows_after: int) -> CleanPlan
         if f.name in texts:
             if not looks_like_id(f.name, CLEAN_ID_SUFFIXES):
                 aggs.append(F.count(to_number(col(f.name))).alias(f"num{i}"))
-            if date_named(f.name):
-                aggs.append(F.count(parse_timestamp(col(f.name))).alias(f"ts{i}"))
-    seen = fused_agg(df, aggs)
+    dated = [c for c in texts if date_named(c)]
+    seen = fused_agg(df, aggs + _layout_counts(dated))
+    layouts = _layouts_from(seen, dated)
 
     non_null: dict[str, int] = {}
     late_steps: list[str] = []
@@ -139,10 +167,12 @@ def plan_cleaning(df: DataFrame, rows_before: int, rows_after: int) -> CleanPlan
             non_null[f.name] = parsed
             continue
         plan.trimmed.append(f.name)
-        if f"ts{i}" in seen and rows_after and seen[f"ts{i}"] / rows_after > DATE_SHARE:
+        layout, fitting = layouts.get(f.name, (ISO, 0))
+        if rows_after and fitting / rows_after > DATE_SHARE:
             plan.dates.append(f.name)
+            plan.layouts[f.name] = layout
             late_steps.append(f"Converted '{f.name}' to datetime")
-            non_null[f.name] = seen[f"ts{i}"]
+            non_null[f.name] = fitting
     plan.steps += late_steps
 
     types = {f.name: f.dataType for f in df.schema.fields}

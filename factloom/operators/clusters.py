@@ -1,4 +1,4 @@
-"""Segmentation: feature matrix, k-means, traits of each segment, and a scatter sample."""
+"""Segmentation: feature matrix, k-means, traits of each segment, and their places on two axes."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ from factloom.session import materialize, run_jobs
 # Limits of the segmentation.
 MAX_LEVELS, RARE_SHARE, RARE_LEVEL = 15, 0.02, "__RARE__"
 MIN_ROWS, MAX_K = 50, 6
-SILHOUETTE_SAMPLE, SCATTER_SAMPLE, TRAITS = 4000, 2000, 3
+TRAITS = 3
 
 
 def usable_categories(df: DataFrame, names: Sequence[str]) -> list[str]:
@@ -65,17 +65,6 @@ def feature_matrix(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
     return Pipeline(stages=stages).fit(ready).transform(ready).select(*[col(c) for c in df.columns], "features")
 
 
-def _sample(data: DataFrame, rows: int, size: int, salt: str) -> DataFrame:
-    """A fixed-size sample by a hash of the row's place in a materialized table."""
-    if rows <= size:
-        return data
-    step = 2**62
-    place = F.xxhash64(F.monotonically_increasing_id(), F.lit(salt))
-    chosen = data.withColumn("_pick", F.pmod(place, F.lit(step)))
-    near = chosen.filter(F.col("_pick") < F.lit(int(min(1.0, 1.5 * size / rows) * step)))
-    return near.orderBy("_pick").limit(size).drop("_pick")
-
-
 def segmentation(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_k: int = MAX_K
 ) -> tuple[DataFrame, dict[str, object]] | None:
@@ -85,21 +74,21 @@ def segmentation(
     if rows < MIN_ROWS or not (numeric or categorical):
         return None
     data = materialize(feature_matrix(df, numeric, categorical), "matrix")
-    sample = _sample(data, rows, SILHOUETTE_SAMPLE, "silhouette").select("features").persist()
+    points = data.select("features").persist()
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="segment")
     def judge_k(k: int) -> float:
-        labelled = KMeans(k=k, seed=0, featuresCol="features", predictionCol="segment").fit(sample).transform(sample)
+        labelled = KMeans(k=k, seed=0, featuresCol="features", predictionCol="segment").fit(points).transform(points)
         return judge.evaluate(labelled) if labelled.select("segment").distinct().count() > 1 else -1.0
 
     try:
-        sample.count()
+        points.count()
         tried = list(range(2, max_k + 1))
         scores = run_jobs(df.sparkSession, judge_k, tried, len(tried))
+        best_score = max(scores)
+        best_k = tried[scores.index(best_score)]
+        model = KMeans(k=best_k, seed=0, featuresCol="features", predictionCol="segment").fit(points)
     finally:
-        sample.unpersist()
-    best_score = max(scores)
-    best_k = tried[scores.index(best_score)]
-    model = KMeans(k=best_k, seed=0, featuresCol="features", predictionCol="segment").fit(data)
+        points.unpersist()
     return model.transform(data), {"k": best_k, "silhouette": round(best_score, 3), "rows": rows}
 
 
@@ -173,10 +162,9 @@ def segment_traits(
     )
 
 
-def segment_scatter(segmented: DataFrame, rows: int) -> DataFrame:
-    """Two centred principal axes for up to 2,000 rows: (x, y, segment)."""
+def segment_scatter(segmented: DataFrame) -> DataFrame:
+    """Two centred principal axes for every row: (x, y, segment)."""
     centred = StandardScaler(inputCol="features", outputCol="_centred", withMean=True, withStd=False)
     axes = Pipeline(stages=[centred, PCA(k=2, inputCol="_centred", outputCol="_axes")]).fit(segmented)
-    points = axes.transform(_sample(segmented, rows, SCATTER_SAMPLE, "scatter"))
     xy = vector_to_array("_axes")
-    return points.select(F.round(xy[0], 3).alias("x"), F.round(xy[1], 3).alias("y"), "segment")
+    return axes.transform(segmented).select(F.round(xy[0], 3).alias("x"), F.round(xy[1], 3).alias("y"), "segment")

@@ -15,7 +15,9 @@ from factloom.operators.order import broadcast_if_small
 PROMPT_CHARS = 16_000
 MIN_OVERLAP = 2
 MIN_ROOM, JOINER = 80, 4
-HISTORY_TURNS, MAX_TURN_CHARS, MAX_QUESTION_CHARS = 8, 1000, 1000
+# Stored insights, chart facts and stored tests hold text from outside.
+FILTERED_PRIORITIES = (2, 3)
+HISTORY_TURNS, MAX_TURN_CHARS = 8, 1000
 RECENT_PREDICTIONS = 5
 SMALL_QUESTION_WORDS = 200_000
 # Two different words of three characters and a gap between them.
@@ -96,12 +98,14 @@ def retrieve_evidence(questions: DataFrame, evidence: DataFrame, cap: int = PROM
 def build_context(evidence: DataFrame, cap: int) -> DataFrame:
     """Evidence per run in priority order, cut with '...' and closed when under 80 characters are left.
 
-    ``evidence``: run_id, priority, item_id, source, content. Each line uses
-    more than the joiner, so only the first ``cap // joiner`` lines can enter.
+    ``evidence``: run_id, priority, item_id, source, content. Instruction-like insights, chart facts
+    and tests do not enter. Each line uses more than the joiner, so only the first ``cap // joiner``
+    lines can enter.
     """
+    foreign = F.col("priority").isin(*FILTERED_PRIORITIES) & X.is_instruction_like(F.col("content"))
     order = Window.partitionBy("run_id").orderBy("priority", "item_id")
     first = (
-        evidence.filter(F.trim("content") != "")
+        evidence.filter((F.trim("content") != "") & ~F.coalesce(foreign, F.lit(False)))
         .withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= cap // JOINER)
         .withColumn("used", F.length("source") + F.length("content") + JOINER)
@@ -134,10 +138,10 @@ def recent_turns(messages: DataFrame, run: str, order: Sequence[str], role: str
     return kept.withColumn("position", F.row_number().over(oldest)).drop("_back")
 
 
-def bounded_history(turns: DataFrame, run: str, room: int, content: str = "text") -> DataFrame:
-    """Newest turns first, cut at 1,000 characters each, until one does not fit the room."""
+def bounded_history(turns: DataFrame, run: str, room: int, content: str = "text", most: int = MAX_TURN_CHARS) -> DataFrame:
+    """Newest turns first, cut at ``most`` characters each, until one does not fit the room."""
     newest = Window.partitionBy(run).orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = turns.withColumn(content, F.substring(content, 1, MAX_TURN_CHARS))
+    cut = turns.withColumn(content, F.substring(content, 1, most))
     return cut.withColumn("_used", F.sum(F.length(content)).over(newest)).filter(F.col("_used") <= room).drop("_used")
 
 

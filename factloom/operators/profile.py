@@ -288,7 +288,7 @@ def describe_numeric(df: DataFrame, names: Sequence[str] | None = None) -> DataF
     )
 
 
-def column_facts(df: DataFrame, max_columns: int = 40, digits: int = 2) -> DataFrame:
+def column_facts(df: DataFrame, max_columns: int | None = None, digits: int = 2) -> DataFrame:
     """One evidence line per column: ranges for numbers with over 12 values, else top-6 shares."""
     names = [f.name for f in df.schema.fields if not is_nested(f.dataType)][:max_columns]
     numeric = [n for n in names if is_numeric(df.schema[n].dataType)]

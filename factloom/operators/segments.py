@@ -13,7 +13,6 @@ from factloom.operators.profile import SURELY_MANY, few_valued
 
 # Segment limits.
 MAX_LEVELS_AS_IS = 8
-MAX_DRIVERS = 6
 MIN_SEGMENT_ROWS, MIN_SEGMENT_SHARE = 30, 0.02
 HIGH_LIFT, LOW_LIFT = 1.15, 0.85
 QUARTILES = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}
@@ -65,7 +64,7 @@ def driver_segments(df: DataFrame, importance: Mapping[str, float], outcome: Col
     ``outcome`` is 0/1 for a rate or a number for a mean. All columns are
     unpivoted and grouped in a single aggregate.
     """
-    chosen = [c for c in list(importance)[:MAX_DRIVERS] if c in df.columns]
+    chosen = [c for c in importance if c in df.columns]
     labels = _labels(df, chosen)
     data = df.select(*[labels[c].alias(c) for c in chosen], outcome.cast("double").alias("_y"))
     totals = data.agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("y")).first()

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.columns import col
+from factloom.functions.columns import clean_value, col
 from factloom.modeling.explain import global_drivers
 from factloom.modeling.predict import contract_categories, predict_batch, schema_contract
 from factloom.modeling.prep import ModelingError
@@ -16,8 +16,9 @@ from factloom.modeling.scoring import FittedModel, train
 from factloom.operators import anomalies as A
 from factloom.operators import charts, clusters, facts, forecast, segments
 from factloom.operators.clean import CleanPlan, clean, clean_report
+from factloom.operators.leakage import leaking_columns
 from factloom.operators.order import column_quantiles, top_share
-from factloom.operators.profile import column_facts, inspect
+from factloom.operators.profile import column_facts, high_missing, inspect
 from factloom.operators.relevance import relevance
 from factloom.operators.semantic import profile
 from factloom.session import materialize
@@ -64,10 +65,15 @@ def analyze(
     verdict = score.first()
     if gate and verdict["verdict"] == "not_business":
         raise NotBusinessData(f"No business-related columns found. Detected columns: {', '.join(df.columns[:8])}")
+    _, first = profile(df, analysis_type, target)
+    gaps = [r["column"] for r in high_missing(df).collect()]
+    if first["target"]:
+        # A row without an outcome teaches nothing, and a filled one would teach the fill.
+        df = df.where(clean_value(first["target"], df.schema[first["target"]].dataType).isNotNull())
     cleaned, plan = clean(df)
     cleaned = materialize(cleaned, "cleaned")
     run = Run(inspection, score, cleaned, plan, {})
-    cleaned, run.info = profile(cleaned, analysis_type, inspection["target"])
+    cleaned, run.info = profile(cleaned, analysis_type, known=first)
     info = run.info
     if gate and verdict["verdict"] == "borderline":
         run.warnings.append("The table has few business indicators; results may be less specific.")
@@ -82,11 +88,15 @@ def analyze(
         said.extend(pair[0])
         advised.extend(pair[1])
 
+    leaking: list[str] = []
     if goal:
+        found = leaking_columns(cleaned, goal, info["kinds"], info["problem"])
+        leaking = sorted({r["column"] for r in found.select("column").distinct().collect()})
+        usable = cleaned.drop(*leaking)
         try:
-            run.model, game = train(cleaned, goal, candidates)
+            run.model, game = train(usable, goal, candidates)
             run.leaderboard = game.leaderboard()
-            _supervised(run, cleaned, goal, kind, add)
+            _supervised(run, usable, goal, kind, add)
         except ModelingError as exc:
             run.warnings.append(f"Prediction skipped: {exc}")
     if not goal or run.model is None:
@@ -96,7 +106,7 @@ def analyze(
             names = clusters.usable_categories(cleaned, info["categorical"])
             run.tables["segmented"] = table.drop("features")
             run.tables["traits"] = clusters.segment_traits(table, "segment", info["numeric"], names)
-            run.tables["scatter"] = clusters.segment_scatter(table, about["rows"])
+            run.tables["scatter"] = clusters.segment_scatter(table)
             add(facts.cluster_facts(about, run.tables["traits"].collect()))
         said.extend(facts.correlation_facts(charts.strong_pairs(cleaned, info["numeric"]).collect() if len(info["numeric"]) >= 2 else []))
     flagged = A.anomalies(cleaned, info["numeric"])
@@ -106,6 +116,7 @@ def analyze(
         add(facts.anomaly_facts(A.anomaly_summary(flagged).first(), first["reason"]))
     if "forecast" in info["plan"]:
         _forecast(run, cleaned, add)
+    run.warnings.extend(facts.card_facts(info, run.model.card if run.model else None, leaking, gaps))
     run.findings = facts.rank_findings(said, spark)
     run.recommendations = facts.rank_advice(advised, spark)
     return run
@@ -131,14 +142,16 @@ def _supervised(run: Run, cleaned: DataFrame, goal: str, kind: str, add) -> None
         ready = scored.withColumn("prediction_score", risk).withColumn("_hit", hit.cast("int"))
         run.tables["scored"] = ready.drop("_hit")
         add(facts.capture_facts(goal, label, segments.top_capture(ready, "prediction_score", "_hit").first(), kind))
-        picks = segments.segment_findings(segments.driver_segments(cleaned, ranked, hit)).collect() if ranked else []
-        add(facts.segment_facts(picks, goal, label, model.plan.rows, kind))
+        if ranked:
+            picks = segments.segment_findings(segments.driver_segments(cleaned, ranked, hit))
+            add(facts.segment_facts(picks, goal, label, model.plan.rows, kind))
     elif model.plan.problem == "regression":
         stats = cleaned.agg(F.avg(col(goal)).alias("m")).first()
         median = column_quantiles(cleaned, [goal], {"median": 0.5})[goal]["median"]
         add(facts.regression_facts(goal, stats["m"], median, top_share(cleaned, goal, 0.2).first()))
-        picks = segments.segment_findings(segments.driver_segments(cleaned, ranked, col(goal))).collect() if ranked else []
-        add(facts.segment_facts(picks, goal, None, model.plan.rows, kind))
+        if ranked:
+            picks = segments.segment_findings(segments.driver_segments(cleaned, ranked, col(goal)))
+            add(facts.segment_facts(picks, goal, None, model.plan.rows, kind))
 
 
 def _forecast(run: Run, cleaned: DataFrame, add) -> None:

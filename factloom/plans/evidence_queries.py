@@ -102,15 +102,17 @@ def packed_evidence(spark, sf):
 
 @query(
     "T4",
-    f"""WITH {_TURNS}, e AS (SELECT conv_id, turn, role || ' turn ' || turn AS source, text FROM turns WHERE turn > 0 AND trim(text) <> ''),
-    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position,
-      2000 - coalesce(sum(length(source) + length(text) + 4) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - length(source) - 4 AS room FROM e),
-    c AS (SELECT *, coalesce(max(CASE WHEN room < 80 OR length(text) > room THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM r)
+    f"""WITH {_TURNS}, e AS (SELECT conv_id, turn, role || ' turn ' || turn AS source, text, turn % 4 AS priority FROM turns
+      WHERE turn > 0 AND trim(text) <> '' AND NOT (turn % 4 IN (2, 3) AND regexp_matches(text, {_BAD}, 'i'))),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY priority, turn) AS position,
+      2000 - coalesce(sum(length(source) + length(text) + 4) OVER (PARTITION BY conv_id ORDER BY priority, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - length(source) - 4 AS room FROM e),
+    c AS (SELECT *, coalesce(max(CASE WHEN room < 80 OR length(text) > room THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY priority, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM r)
     SELECT conv_id AS run_id, CAST(position AS INTEGER) AS position, source, CASE WHEN length(text) <= room THEN text ELSE rtrim(text[1:CAST(room AS BIGINT)], ' ') || '...' END AS content FROM c WHERE closed = 0 AND room >= 80""",
 )
 def packed_context(spark, sf):
+    """Turns as lines of four priorities; instruction-like ones of the two foreign kinds stay out."""
     lines = turns(spark, sf).filter("turn > 0").select(
-        F.col("conv_id").alias("run_id"), F.lit(1).alias("priority"), F.col("turn").alias("item_id"),
+        F.col("conv_id").alias("run_id"), (F.col("turn") % 4).alias("priority"), F.col("turn").alias("item_id"),
         F.concat("role", F.lit(" turn "), F.col("turn").cast("string")).alias("source"), F.col("text").alias("content"),
     )
     return E.build_context(lines, 2000)
@@ -118,7 +120,13 @@ def packed_context(spark, sf):
 
 @query(
     "T6",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN false ELSE true END AS grounded FROM orders""",
+    """WITH a AS (SELECT o_orderkey, printf('%.2f', o_totalprice) AS total, o_orderkey % 1000 AS m, o_orderkey % 3 = 0 AS foreign_number FROM orders),
+    e AS (SELECT *, 'It came to ' || total || ', or ' || CASE WHEN m > 0 THEN printf('%.1f', m / 10) || '% of all' ELSE '0 in part' END || ', top 10, run v2' || CASE WHEN foreign_number THEN ' and 987654321' ELSE '' END AS answer,
+      'Order total ' || total || ', share ' || printf('%.3f', m / 1000) AS evidence FROM a),
+    n AS (SELECT o_orderkey, unnest(regexp_extract_all(regexp_replace(answer, '[A-Za-z][0-9]+', '', 'g'), '[0-9]+(?:[.][0-9]+)?%?')) AS said,
+      regexp_extract_all(evidence, '[0-9]+(?:[.][0-9]+)?') AS held FROM e)
+    SELECT o_orderkey, bool_and(said IN ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9', '10') OR list_contains(held, said)
+      OR (ends_with(said, '%') AND len(list_filter(held, lambda h: CAST(h AS DOUBLE) <= 1 AND printf('%.1f', CAST(h AS DOUBLE) * 100) || '%' = said)) > 0)) AS grounded FROM n GROUP BY o_orderkey""",
 )
 def grounding_checks(spark, sf):
     """Answers that round or rescale the evidence are grounded; a foreign number is not."""

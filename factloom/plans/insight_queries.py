@@ -70,8 +70,7 @@ def customer_segments(spark, sf):
 
 @query("U4")
 def segment_scatter(spark, sf):
-    segmented, about = _segmented(spark, sf)
-    return K.segment_scatter(segmented, about["rows"])
+    return K.segment_scatter(_segmented(spark, sf)[0])
 
 
 @query(
@@ -149,13 +148,44 @@ def trend_summary(spark, sf):
     )
 
 
-@query("F1")
+def _fit_sql(name: str, rows: str) -> str:
+    """Level, slope and effects of ridge regression from sums per season phase, for the rows of z that meet a condition."""
+    return f"""{name}p AS (SELECT k, season, CASE WHEN season > 0 THEN t % season ELSE 0 END AS p, CAST(count(*) AS DOUBLE) AS c, CAST(sum(t) AS DOUBLE) AS st, sum(y) AS sy,
+      CAST(sum(t * t) AS DOUBLE) AS stt, sum(t * y) AS sty FROM z WHERE {rows} GROUP BY ALL),
+    {name}w AS (SELECT *, CASE WHEN season > 0 THEN 1 / (c + 1.0) ELSE 0 END AS part FROM {name}p),
+    {name}g AS (SELECT k, sum((1 - c * part) * c) AS aa, sum((1 - c * part) * st) AS ab, sum((1 - c * part) * sy) AS a1,
+      sum(stt - st * st * part) + 1 AS bb, sum(sty - st * sy * part) AS b1 FROM {name}w GROUP BY k),
+    {name}s AS (SELECT *, (aa * b1 - ab * a1) / (aa * bb - ab * ab) AS slope FROM {name}g),
+    {name}f AS (SELECT k, slope, (a1 - slope * ab) / aa AS lvl FROM {name}s),
+    {name}e AS (SELECT {name}w.k, p, lvl, slope, (sy - lvl * c - slope * st) * part AS effect FROM {name}w JOIN {name}f USING (k))"""
+
+
+_MONTHS = f"{_ORDER_SERIES}, z AS (SELECT *, CASE WHEN n < 24 THEN 0 ELSE 12 END AS season FROM s), {_fit_sql('m', 'true')}"
+_DAYS = f"""{_EVENT_SERIES}, z AS (SELECT *, CASE WHEN n < 14 THEN 0 ELSE 7 END AS season, least(greatest(3, n // 5), 12) AS h FROM s), {_fit_sql('d', 't < n - h')}"""
+
+
+@query(
+    "F1",
+    f"""{_MONTHS}, v AS (SELECT z.k, stddev_pop(y - (lvl + slope * t + effect)) AS spread, max(period) AS last, max(n) AS n, max(z.season) AS season
+      FROM z JOIN me ON me.k = z.k AND p = CASE WHEN season > 0 THEN t % season ELSE 0 END GROUP BY z.k),
+    a AS (SELECT v.*, i, n + i - 1 AS pos, mf.lvl, mf.slope FROM v JOIN mf USING (k), (VALUES (1), (2), (3)) AS x(i))
+    SELECT a.k AS o_orderstatus, strftime(last + to_months(CAST(i AS INTEGER)), '%Y-%m-%d') AS period, round(a.lvl + a.slope * pos + coalesce(effect, 0), 2) AS forecast,
+    round(a.lvl + a.slope * pos + coalesce(effect, 0) - 1.96 * spread, 2) AS lower, round(a.lvl + a.slope * pos + coalesce(effect, 0) + 1.96 * spread, 2) AS upper
+    FROM a LEFT JOIN me ON me.k = a.k AND p = CASE WHEN season > 0 THEN pos % season ELSE 0 END""",
+)
 def ridge_forecasts(spark, sf):
     series = W.period_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", ["o_orderstatus"])
-    return W.forecast_points(W.ridge_forecast(series, ["o_orderstatus"]), ["o_orderstatus"])
+    points = W.forecast_points(W.ridge_forecast(series, ["o_orderstatus"]), ["o_orderstatus"])
+    return points.withColumn("period", F.date_format("period", "yyyy-MM-dd"))
 
 
-@query("F1")
+@query(
+    "F1",
+    f"""{_DAYS}, r AS (SELECT z.*, max(CASE WHEN t = n - h - 1 THEN y END) OVER (PARTITION BY k) AS naive FROM z),
+    m AS (SELECT r.k, abs(df.lvl + df.slope * t + coalesce(effect, 0) - y) AS miss, abs(naive - y) AS plain, y FROM r JOIN df ON df.k = r.k
+      LEFT JOIN de ON de.k = r.k AND p = CASE WHEN season > 0 THEN t % season ELSE 0 END WHERE t >= n - h)
+    SELECT k AS event_type, round(avg(miss), 2) AS mae, round(avg(plain), 2) AS naive_mae, round(avg(miss / greatest(abs(y), 1e-9)) * 100, 1) AS mape_pct, avg(miss) < avg(plain) AS beats_naive FROM m GROUP BY k""",
+)
 def forecast_backtests(spark, sf):
     series = W.period_series(table(spark, sf, "events"), "ts", "value", ["event_type"])
     return W.ridge_forecast(series, ["event_type"]).select("event_type", "mae", "naive_mae", "mape_pct", "beats_naive")
@@ -175,13 +205,26 @@ def ranked_findings(spark, sf):
     return N.rank_findings([*said, *more, *trend], spark)
 
 
-@query("F6")
+@query(
+    "F6",
+    """WITH r AS (SELECT l_returnflag AS run_id, format('{:,}', count(*)) AS n, regr_r2(l_extendedprice, l_quantity) AS q, regr_r2(l_extendedprice, l_discount) AS d FROM lineitem GROUP BY 1),
+    f AS (SELECT *, CASE WHEN q >= d THEN 'l_quantity' ELSE 'l_discount' END AS driver, format('{:.4f}', greatest(q, d)) AS score FROM r)
+    SELECT run_id, 1 AS position, 'Executive Summary' AS section, n || ' rows, 11 columns. Linear Regression explains l_extendedprice best: R2 ' || score || '.' AS text FROM f
+    UNION ALL SELECT run_id, 2, 'Top 3 Key Findings', '1. l_extendedprice depends most on ' || driver || '. 2. R2 is ' || score || '. 3. It rests on ' || n || ' rows.' FROM f
+    UNION ALL SELECT run_id, 3, 'Top 3 Business Recommendations', '1. For orders above the threshold: more stock and sales time. 2. Follow ' || driver || '. 3. Fit again when new rows arrive.' FROM f
+    UNION ALL SELECT run_id, 4, 'Risk Assessment', 'If ' || driver || ' shifts, the scores no longer hold.' FROM f
+    UNION ALL SELECT run_id, 5, 'Predicted Impact', 'Not measured: compare orders with and without the step.' FROM f""",
+)
 def narratives(spark, sf):
-    """One narrative per market segment, as if each were a run."""
-    runs = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("run_id")).agg(F.count(F.lit(1)).alias("rows"))
+    """One narrative per return flag, as if each were a run: the better of two simple regressions of the price."""
+    lines = table(spark, sf, "lineitem")
+    runs = lines.groupBy(F.col("l_returnflag").alias("run_id")).agg(
+        F.count(F.lit(1)).alias("rows"), F.regr_r2("l_extendedprice", "l_quantity").alias("q"), F.regr_r2("l_extendedprice", "l_discount").alias("d")
+    )
     ready = runs.select(
-        "run_id", F.lit("churn").alias("analysis_type"), "rows", F.lit(5).alias("columns"), F.lit("c_acctbal").alias("target"),
-        F.lit("Ridge").alias("best_model"), F.lit("R2").alias("metric"), F.lit(0.5).alias("score"), F.lit("c_nationkey").alias("driver"),
+        "run_id", F.lit("sales").alias("analysis_type"), "rows", F.lit(len(lines.columns)).alias("columns"), F.lit("l_extendedprice").alias("target"),
+        F.lit("Linear Regression").alias("best_model"), F.lit("R2").alias("metric"), F.greatest("q", "d").alias("score"),
+        F.when(F.col("q") >= F.col("d"), "l_quantity").otherwise("l_discount").alias("driver"),
     )
     return N.narrative(ready)
 
@@ -192,8 +235,18 @@ def report_tables(spark, sf):
     return N.report_tables(inspect(raw), clean(raw)[1], None, spark)
 
 
-@query("F5 I14 E6 U2 U6 F1")
+@query("F5 I14 U6 F1")
 def analysis_findings(spark, sf):
-    """The full flow on events, a table without an outcome column."""
+    """The full flow on events with a numeric outcome."""
     events = table(spark, sf, "events").drop("props")
     return analyze(spark, events, target="value", candidates=("Ridge", "Decision Tree", "Lasso")).findings
+
+
+@query("I12 U2 E6 F5", "SELECT 'correlation' AS kind FROM orders HAVING corr(o_totalprice, o_totalprice * 0.9 + o_custkey % 7) > 0.5 UNION ALL SELECT 'segments' UNION ALL SELECT 'anomalies'")
+def findings_without_outcome(spark, sf):
+    """The full flow on orders, where no column stands out as an outcome: segments, linked columns, unusual rows."""
+    net = (F.col("o_totalprice") * 0.9 + F.col("o_custkey") % 7).alias("o_net")
+    run = analyze(spark, table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", net), gate=False)
+    if run.info["target"] is not None or run.model is not None:
+        raise AssertionError("An outcome was made up.")
+    return run.findings.select("kind").distinct()

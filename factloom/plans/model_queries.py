@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.modeling import metrics as M
 from factloom.modeling import predict as P
 from factloom.modeling.explain import global_drivers, importance_reasons, row_reasons
-from factloom.modeling.prep import ModelingError, class_weights, plan_features
+from factloom.modeling.prep import ModelingError, assign_folds, class_weights, plan_features
 from factloom.modeling.scoring import FittedModel, load_model, save_model, train
 from factloom.modeling.tournament import Tournament, run_tournament
 from factloom.operators import features as X
@@ -381,6 +381,56 @@ def trained(spark: SparkSession, sf: str) -> tuple[FittedModel, Tournament]:
     return _TRAINED[key]
 
 
+@query(
+    "M8",
+    """WITH c AS (SELECT l_returnflag, count(*) AS m FROM lineitem GROUP BY 1) SELECT l_returnflag, CAST(f AS INTEGER) AS fold, m // 5 + CASE WHEN f < m % 5 THEN 1 ELSE 0 END AS n
+    FROM c, (VALUES (0), (1), (2), (3), (4)) AS x(f)""",
+)
+def stratified_folds(spark, sf):
+    """Each class in five folds that differ by one row at most, at any size."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_place"))
+    lines = materialize(lines, "lines")
+    folded = assign_folds(lines, 5, lines.count(), "l_returnflag", "fold")
+    return folded.groupBy("l_returnflag", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "K3 K4 P2 M13",
+    """SELECT 'rows' AS item, count(*) AS n FROM customer UNION ALL SELECT 'probabilities from 0 to 1', count(*) FROM customer
+    UNION ALL SELECT 'tier and decision set', count(*) FROM customer UNION ALL SELECT 'same after reload', count(*) FROM customer""",
+)
+def prediction_invariants(spark, sf):
+    """What must hold for every predicted row, whatever the model."""
+    model = trained(spark, sf)[0]
+    path = scratch_path(spark, "model")
+    save_model(model, path, spark)
+    data = customer_activity(spark, sf)
+    first = P.predict_batch(model, data)
+    again = P.predict_batch(load_model(spark, path), data)
+    facts = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("probability").between(0, 1)).alias("p"), F.count(F.col("risk_tier")).alias("t"))
+    keys = ["c_acctbal", "order_count", "average_order", "probability", "risk_tier"]
+    common = first.select(*keys).exceptAll(again.select(*keys)).agg(F.count(F.lit(1)).alias("lost"))
+    found = facts(first).join(common)
+    items = [("rows", F.col("n")), ("probabilities from 0 to 1", F.col("p")), ("tier and decision set", F.col("t")), ("same after reload", F.col("n") - F.col("lost"))]
+    return found.select(F.inline(F.array(*[F.struct(F.lit(k).alias("item"), v.alias("n")) for k, v in items])))
+
+
+@query(
+    "M9 M10 M12 M16",
+    """SELECT 'winner above baseline' AS item, true AS holds UNION ALL SELECT 'scores from 0 to 1', true UNION ALL SELECT 'all candidates scored', true UNION ALL SELECT 'a fifth held out', true""",
+)
+def tournament_invariants(spark, sf):
+    model, game = trained(spark, sf)
+    card = model.card
+    means = [s["mean"] for s in card["cv_scores"].values() if "mean" in s]
+    rows = card["train_rows"] + card["test_rows"]
+    found = [
+        ("winner above baseline", card["winning_score"] > card["baseline_score"]), ("scores from 0 to 1", all(0 <= m <= 1 for m in means)),
+        ("all candidates scored", set(SMALL_FIELD) <= {n for n, s in card["cv_scores"].items() if "mean" in s}), ("a fifth held out", abs(card["test_rows"] - rows / 5) <= 2),
+    ]
+    return spark.createDataFrame([(k, bool(v)) for k, v in found], "item string, holds boolean")
+
+
 @query("M6 M8 M9 M10 M10a M10c M10d M12 M16")
 def model_tournament(spark, sf):
     return trained(spark, sf)[1].leaderboard()
@@ -430,7 +480,7 @@ def modeling_guards(spark, sf):
         "absent": (customer, "nothing"),
         "one value": (customer.withColumn("same", F.lit("x")), "same"),
         "texts": (customer, "c_name"),
-        "few rows": (customer.limit(10), "c_acctbal"),
+        "few rows": (table(spark, sf, "region"), "r_name"),
     }
     rows = []
     for name, (df, target) in tries.items():

@@ -73,15 +73,3 @@ def run_jobs(spark: SparkSession, work: Callable, items: Iterable, parallel: int
     with ThreadPool(min(parallel, len(todo))) as pool:
         return pool.map(inheritable_thread_target(spark)(work), todo)
 
-
-SPREAD_ROWS = 5_000_000
-
-
-def spread_small(df: DataFrame, rows: int) -> DataFrame:
-    """A small table often arrives in one split; spread it before work that keeps a core busy.
-
-    Large tables already have many splits and are left alone.
-    """
-    if rows > SPREAD_ROWS:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.columns import clean_value, col, fused_agg, nan_to_null
-from factloom.operators.clean import parse_timestamp
+from factloom.operators.clean import best_layouts, parse_layout
 
 # Extensions, delimiters, and limits of the upload check.
 DELIMITED = (".csv", ".tsv", ".txt")
@@ -22,7 +22,6 @@ SUPPORTED = (
 UPLOAD_EXTENSIONS = (".csv", ".xlsx", ".xls", ".json")
 UPLOAD_BYTES = 20 * 1024 * 1024
 DELIMITERS = (",", ";", "\t", "|")
-SNIFF_LINES = 200
 EXTRA = "_extra_field"
 
 
@@ -34,29 +33,40 @@ def extension_of(path: str) -> str:
     return os.path.splitext(path.rstrip("/").lower())[1]
 
 
-def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """The delimiter whose field count is most even over the first lines; comma when unclear."""
-    lines = spark.read.option("encoding", encoding).text(path).filter(F.trim("value") != "").limit(SNIFF_LINES)
-    counts = [
-        F.struct(F.lit(d).alias("d"), (F.size(F.split("value", re.escape(d))) - 1).alias("n")) for d in DELIMITERS
-    ]
+# Quoted cells, a doubled quote inside them standing for one.
+QUOTES = {"quote": '"', "escape": '"'}
+# A doubled quote ends one quoted part and begins the next, so one class without alternatives is enough.
+QUOTED_CELL = r'"[^"]*"'
+
+
+def delimited_shape(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[str, bool]:
+    """(delimiter, whether records may span lines), from one aggregate over all lines.
+
+    The delimiter is the one whose field count outside quotes is most even; comma when unclear. Only a
+    line with an odd number of quotes can open or close a record that spans lines, and without such a
+    line a file can be split between tasks.
+    """
+    lines = spark.read.option("encoding", encoding).text(path).filter(F.trim("value") != "")
+    bare = F.regexp_replace("value", QUOTED_CELL, "")
+    counts = [F.struct(F.lit(d).alias("d"), (F.size(F.split(bare, re.escape(d))) - 1).alias("n")) for d in DELIMITERS]
+    odd = (F.length("value") - F.length(F.translate("value", '"', ""))) % 2
     rows = (
-        lines.select(F.explode(F.array(*counts)).alias("c"))
+        lines.select(odd.alias("odd"), F.explode(F.array(*counts)).alias("c"))
         .groupBy("c.d", "c.n")
-        .agg(F.count(F.lit(1)).alias("lines"))
-        .filter("n > 0")
+        .agg(F.count(F.lit(1)).alias("lines"), F.max("odd").alias("odd"))
         .collect()
     )
-    best = max(rows, key=lambda r: (r["lines"], r["n"], -DELIMITERS.index(r["d"])), default=None)
-    return best["d"] if best else ","
+    best = max((r for r in rows if r["n"] > 0), key=lambda r: (r["lines"], r["n"], -DELIMITERS.index(r["d"])), default=None)
+    return best["d"] if best else ",", any(r["odd"] for r in rows)
 
 
 def read_delimited(
     spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", infer: bool = True
 ) -> DataFrame:
     """Delimited text with a header. Rows with too many fields go, short rows are padded with nulls."""
-    sep = sep or ("\t" if extension_of(path) == ".tsv" else sniff_delimiter(spark, path, encoding))
-    options = {"sep": sep, "header": True, "encoding": encoding, "multiLine": False, "mode": "PERMISSIVE"}
+    found, spans = delimited_shape(spark, path, encoding)
+    sep = sep or ("\t" if extension_of(path) == ".tsv" else found)
+    options = {"sep": sep, "header": True, "encoding": encoding, "multiLine": spans, "mode": "PERMISSIVE", **QUOTES}
     head = spark.read.options(**options, inferSchema=False).csv(path)
     if not head.columns:
         raise SourceError("The delimited file is empty.")
@@ -146,31 +156,52 @@ def unpack_columns(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.arrays_zip(*[col(c) for c in df.columns]))).toDF(*df.columns)
 
 
-def unpack_records(df: DataFrame) -> DataFrame:
-    """The longest embedded list of objects as rows; without one, the objects themselves."""
+def unpack_records(df: DataFrame, documents: bool = True) -> DataFrame:
+    """The longest embedded list of objects as rows; without one, the objects themselves.
+
+    With ``documents`` every row is a document of its own; otherwise rows are records, which stay rows.
+    """
     if _is_column_object(df):
         return unpack_columns(df)
     paths = _record_lists(df.schema)
-    if not paths or df.limit(2).count() != 1:
+    if not paths or not documents:
         return flatten(df)
     sizes = fused_agg(df, [F.sum(F.size(_path(p))).alias(f"s{i}") for i, p in enumerate(paths)])
     best = max(range(len(paths)), key=lambda i: (sizes[f"s{i}"] or 0, -i))
     return flatten(df.select(F.inline(_path(paths[best]))))
 
 
-def read_json(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A JSON document: a list of records, an object of columns, or records nested anywhere inside."""
-    raw = spark.read.option("multiLine", True).option("encoding", encoding).json(path)
-    if not raw.columns or raw.columns == ["_corrupt_record"]:
-        raise SourceError("Invalid JSON format or empty document.")
-    return unpack_records(raw)
+CORRUPT = "_unreadable_json"
 
 
-def read_json_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    raw = spark.read.option("encoding", encoding).json(path)
-    if not raw.columns or raw.columns == ["_corrupt_record"]:
+def _json(spark: SparkSession, path: str, encoding: str, bad: str, **options: bool) -> DataFrame:
+    """Parsed objects. ``bad``: 'raise' on a malformed one, or 'drop' it."""
+    raw = spark.read.options(encoding=encoding, columnNameOfCorruptRecord=CORRUPT, **options).json(path)
+    if CORRUPT not in raw.columns:
+        found = raw
+    elif bad == "drop" and len(raw.columns) > 1:
+        # Spark wants other columns read beside the malformed text, hence the schema without it and the mode.
+        shape = T.StructType([f for f in raw.schema.fields if f.name != CORRUPT])
+        found = spark.read.options(encoding=encoding, mode="DROPMALFORMED", **options).schema(shape).json(path)
+    else:
+        raise SourceError("Invalid JSON format: at least one record cannot be parsed.")
+    if not found.columns:
         raise SourceError("Invalid JSON format or empty document.")
-    return flatten(raw)
+    return found
+
+
+def read_json(spark: SparkSession, path: str, encoding: str = "UTF-8", bad: str = "raise") -> DataFrame:
+    """JSON documents: a list of records, an object of columns, or records nested anywhere inside.
+
+    A folder in which every file is one object holds documents, whose records are stacked.
+    """
+    raw = _json(spark, path, encoding, bad, multiLine=True)
+    files = raw.select(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("file").alias("files")).first()
+    return unpack_records(raw, files["rows"] == files["files"])
+
+
+def read_json_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", bad: str = "raise") -> DataFrame:
+    return flatten(_json(spark, path, encoding, bad))
 
 
 def payload_shape(payloads: DataFrame, column: str) -> str:
@@ -297,4 +328,5 @@ def union_same_schema_or_largest(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def parse_date_column(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, parse_timestamp(col(name)))
+    """A text column to timestamps, in the one layout that fits most of its values."""
+    return df.withColumn(name, parse_layout(col(name), best_layouts(df, [name])[name][0]))

@@ -14,7 +14,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         cells = [
             (F.to_json(col(f.name)) if is_nested(f.dataType) else col(f.name)).alias(f.name) for f in df.schema.fields
         ]
-        df.select(*cells).write.option("header", True).csv(path)
+        # Doubled quotes and untouched white space, as other readers expect.
+        plain = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        df.select(*cells).write.options(**plain).csv(path)
     else:
         df.write.format(fmt).save(path)
 

@@ -64,7 +64,7 @@ def compare(spark, con, name: str, sf: str) -> tuple[str, str]:
 def main(sf: str, wanted: list[str]) -> int:
     from factloom.session import build_session
 
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"})
     spark.sparkContext.setLogLevel("OFF")
     con = duck(sf)
     bad = 0

@@ -180,3 +180,40 @@ def test_reading_a_run_prunes_folders(spark, tmp_path):
     one = store.of_run("insights", "7")
     assert one.count() == 1 and len(one.inputFiles()) > 0
     assert "PartitionFilters: [isnotnull(shard" in one._jdf.queryExecution().toString()
+
+
+def test_quoted_cells_survive_both_ways(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('id,name,n\n1,"a ""x"", b",20\n2,"say ""hi""",21\n3,"two\nlines",22\n4,plain,23\n5,a,b,c\n')
+    df = readers.read_delimited(spark, str(path))
+    assert sorted(map(tuple, df.collect())) == [(1, 'a "x", b', 20), (2, 'say "hi"', 21), (3, "two\nlines", 22), (4, "plain", 23)]
+    out = str(tmp_path / "out.csv")
+    sinks.write_table(df, out, "csv")
+    assert sorted(readers.read_any(spark, out).collect()) == sorted(df.collect())
+    import csv
+    import glob
+
+    cells = [row for part in glob.glob(f"{out}/part-*") for row in csv.reader(open(part, newline=""))]
+    assert ["1", 'a "x", b', "20"] in cells and ["3", "two\nlines", "22"] in cells
+
+
+def test_a_malformed_record_is_refused(spark, tmp_path):
+    path = tmp_path / "m.jsonl"
+    path.write_text('{"a": 1}\n{"a": 2\n{"a": 3}\n')
+    with pytest.raises(readers.SourceError, match="cannot be parsed"):
+        readers.read_json_lines(spark, str(path))
+    assert sorted(r["a"] for r in readers.read_json_lines(spark, str(path), bad="drop").collect()) == [1, 3]
+
+
+def test_a_folder_of_documents_is_unpacked(spark, tmp_path):
+    folder = tmp_path / "docs.json"
+    folder.mkdir()
+    for i in range(2):
+        (folder / f"{i}.json").write_text(json.dumps(tickets(2 + i)))
+    assert readers.read_json(spark, str(folder)).count() == 5
+
+
+def test_one_layout_for_a_date_column(spark):
+    df = spark.createDataFrame([("13/02/2024",), ("03/02/2024",), ("28/03/2024",), ("junk",), (None,)], "d string")
+    found = [r["d"] for r in readers.parse_date_column(df, "d").collect()]
+    assert [None if x is None else (x.day, x.month) for x in found] == [(13, 2), (3, 2), (28, 3), None, None]

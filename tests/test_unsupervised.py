@@ -124,4 +124,43 @@ def test_planted_segments(spark):
     assert {r["count"] for r in table.groupBy("segment", "plan").count().collect()} == {100}
     traits = clusters.segment_traits(table, "segment", ["spend", "visits"], ["plan"]).collect()
     assert len(traits) == 6 and any("plan = gold (100% vs 50% overall)" == t["trait"] for t in traits)
-    assert clusters.segment_scatter(table, about["rows"]).count() == 200
+    assert clusters.segment_scatter(table).count() == 200
+
+
+@pytest.mark.parametrize("per_bucket", [100_000, 150, 7])
+def test_folds_are_the_same_however_the_work_is_cut(spark, monkeypatch, per_bucket):
+    from factloom.modeling import prep
+
+    df = materialize(spark.range(1000).select(F.col("id").alias("_place"), (F.col("id") % 100 == 0).cast("int").alias("y")), "folds")
+    whole = {r["_place"]: r["_fold"] for r in prep.assign_folds(df, 5, 1000, "y").collect()}
+    monkeypatch.setattr(prep, "ROWS_PER_BUCKET", per_bucket)
+    cut = {r["_place"]: r["_fold"] for r in prep.assign_folds(df, 5, 1000, "y").collect()}
+    assert cut == whole
+    sizes = pd.Series(cut).groupby([pd.Series({k: int(k % 100 == 0) for k in cut}), pd.Series(cut)]).size()
+    assert set(sizes[0]) == {198} and set(sizes[1]) == {2}
+
+
+def test_a_table_without_an_outcome_is_not_modelled(spark):
+    from factloom.plans.analyze import analyze
+
+    rng = np.random.default_rng(1)
+    sales = pd.DataFrame({
+        "date": pd.date_range("2025-01-01", periods=400), "region": rng.choice(["N", "S", "W"], 400),
+        "units": rng.poisson(20, 400), "revenue": rng.gamma(5, 40, 400),
+    })
+    run = analyze(spark, spark.createDataFrame(sales), gate=False)
+    assert run.info["target"] is None and run.model is None
+    kinds = {r["kind"] for r in run.findings.collect()}
+    assert {"segments", "trend", "forecast"} <= kinds
+    assert run.info["metric"] == "revenue"
+
+
+def test_rows_without_an_outcome_are_left_out(spark):
+    from factloom.plans.analyze import analyze
+
+    rng = np.random.default_rng(2)
+    df = pd.DataFrame({"spend": rng.normal(50, 9, 240), "visits": rng.poisson(5, 240)})
+    df["churn"] = np.where(df["spend"] + rng.normal(0, 3, 240) > 50, "Yes", "No")
+    df.loc[::6, "churn"] = None
+    run = analyze(spark, spark.createDataFrame(df), "churn", gate=False, candidates=("Logistic Regression",))
+    assert run.model is not None and run.model.plan.rows == 200
