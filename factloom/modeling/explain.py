@@ -95,26 +95,30 @@ def _path_contributions(values: np.ndarray, trees: Sequence[Mapping[str, np.ndar
 
 
 def with_contributions(model: FittedModel, df: DataFrame) -> tuple[DataFrame, str]:
-    """Adds ``_contrib`` (array, one entry per model feature); the text says how it was made."""
+    """Adds ``_contrib`` (array, one entry per model feature); the text says how it was made.
+
+    The members of an ensemble weigh the same: each adds its part divided by their number.
+    """
     part = model.raw
     ready = part.prep.transform(df).select(*[col(c) for c in df.columns], "features")
-    linear = [(_coefficients(m)) for _, m in part.members]
-    if all(c is not None for c in linear):
-        mean = np.mean(np.array(linear, dtype=float), axis=0)
-        x = vector_to_array("features")
-        means = model.plan.feature_means
+    linear = [c for c in (_coefficients(m) for _, m in part.members) if c is not None]
+    slopes = None
+    if linear:
+        mean = np.sum(np.array(linear, dtype=float), axis=0) / len(part.members)
         pairs = F.arrays_zip(
-            x.alias("x"),
+            vector_to_array("features").alias("x"),
             F.array(*[F.lit(float(v)) for v in mean]).alias("c"),
-            F.array(*[F.lit(float(v)) for v in means]).alias("m"),
+            F.array(*[F.lit(float(v)) for v in model.plan.feature_means]).alias("m"),
         )
-        return ready.withColumn("_contrib", F.transform(pairs, lambda p: p["c"] * (p["x"] - p["m"]))), "linear attribution"
+        slopes = F.transform(pairs, lambda p: p["c"] * (p["x"] - p["m"]))
+    if len(linear) == len(part.members):
+        return ready.withColumn("_contrib", slopes), "linear attribution"
     members = [m for _, m in part.members if _coefficients(m) is None]
     trees: list = []
     for m in members:
         for inner in getattr(m, "models", [m]):
             trees += tree_nodes(inner)
-    shared = df.sparkSession.sparkContext.broadcast((trees, float(len(members))))
+    shared = df.sparkSession.sparkContext.broadcast((trees, float(len(part.members))))
 
     @F.pandas_udf("array<double>")
     def contributions(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -123,7 +127,10 @@ def with_contributions(model: FittedModel, df: DataFrame) -> tuple[DataFrame, st
             values = np.vstack(cells.to_numpy()) if len(cells) else np.zeros((0, 0))
             yield pd.Series(list(_path_contributions(values, nodes) / count))
 
-    return ready.withColumn("_contrib", contributions(vector_to_array("features"))), "decision path attribution, not SHAP"
+    ready = ready.withColumn("_contrib", contributions(vector_to_array("features")))
+    if slopes is None:
+        return ready, "decision path attribution, not SHAP"
+    return ready.withColumn("_contrib", F.zip_with("_contrib", slopes, lambda a, b: a + b)), "decision path and linear attribution, not SHAP"
 
 
 def global_drivers(model: FittedModel, df: DataFrame, top: int = TOP_DRIVERS) -> DataFrame:

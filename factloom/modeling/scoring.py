@@ -177,7 +177,8 @@ def feature_importance(part: Part, plan: FeaturePlan, top: int = TOP_FEATURES) -
         if hasattr(model, "featureImportances"):
             values = list(model.featureImportances.toArray())
         elif hasattr(model, "coefficientMatrix"):
-            values = [abs(v) for v in model.coefficientMatrix.toArray()[0]]
+            # One row per class, or one for two classes.
+            values = [float(v) for v in abs(model.coefficientMatrix.toArray()).mean(axis=0)]
         elif hasattr(model, "coefficients"):
             values = [abs(v) for v in model.coefficients.toArray()]
         else:
