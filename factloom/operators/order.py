@@ -29,6 +29,8 @@ SKETCH_ACCURACY = 20_000
 BRACKET = 2.0 / SKETCH_ACCURACY
 # Below this size a bracket would be narrower than two ranks, so all values are kept.
 KEEP_ALL_ROWS = 2 * SKETCH_ACCURACY
+# Parts into which the values of a bracket are cut, so that no task sorts a whole one.
+BRACKET_PARTS = 256
 MAX_BROADCAST_GROUPS = 10_000
 MAX_BROADCAST_SUMS = 1_000_000
 
@@ -191,8 +193,8 @@ def exact_quantiles(
 
     Three narrow scans: a sketch for the brackets, one aggregate that counts
     the rows below and on the edges, and a pass over the values strictly
-    inside. A bracket holds about 4 in 20,000 of the rows, so what is sorted
-    is small even for very large tables.
+    inside. A bracket holds about 4 in 20,000 of the rows and is sorted in
+    parts, each after the count of the lower ones.
     """
     labels = list(probs)
     data = df.select(*[col(b) for b in by], *[as_double(df, c).alias(f"_v{i}") for i, c in enumerate(columns)])
@@ -219,7 +221,10 @@ def exact_quantiles(
                 )
             )
             inside = (v > lo) & (v < hi)
-            cells.append(F.when(inside, F.struct(F.lit(name).alias("column"), F.lit(j).alias("_j"), v.alias("_key"))))
+            # Equal parts of the bracket, in the order of the values; a bracket that holds a whole small column is one part.
+            part = F.floor((v - lo) / (hi - lo) * BRACKET_PARTS)
+            slot = F.when((lo > float("-inf")) & (hi < float("inf")), F.greatest(F.lit(0), F.least(F.lit(BRACKET_PARTS - 1), part))).otherwise(0)
+            cells.append(F.when(inside, F.struct(F.lit(name).alias("column"), F.lit(j).alias("_j"), slot.cast("int").alias("_slot"), v.alias("_key"))))
     keys = [col(b) for b in by]
     wanted = data.groupBy(*keys).agg(*counts).select(*keys, F.inline(F.array(*records))).filter(F.col("n") > 0)
 
@@ -227,9 +232,16 @@ def exact_quantiles(
     for c in cells[1:]:
         any_inside = any_inside | c.isNotNull()
     kept = data.filter(any_inside).select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("_c"))
-    values = kept.groupBy(*keys, "_c.column", "_c._j", "_c._key").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(*by, "column", "_j").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    values = values.withColumn("_cum", F.sum("_n").over(running))
+    values = kept.groupBy(*keys, "_c.column", "_c._j", "_c._slot", "_c._key").agg(F.count(F.lit(1)).alias("_n"))
+    lower = Window.partitionBy(*by, "column", "_j").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = values.groupBy(*keys, "column", "_j", "_slot").agg(F.sum("_n").alias("_held"))
+    ahead = sizes.select(*keys, "column", "_j", "_slot", F.coalesce(F.sum("_held").over(lower), F.lit(0)).alias("_ahead"))
+    same = (F.col("_v.column") == F.col("_a.column")) & (F.col("_v._j") == F.col("_a._j")) & (F.col("_v._slot") == F.col("_a._slot"))
+    for b in by:
+        same = same & F.col(f"_v.{b}").eqNullSafe(F.col(f"_a.{b}"))
+    values = values.alias("_v").join(ahead.alias("_a"), same).select("_v.*", "_a._ahead")
+    running = Window.partitionBy(*by, "column", "_j", "_slot").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = values.withColumn("_cum", F.col("_ahead") + F.sum("_n").over(running))
 
     match = (F.col("_w.column") == F.col("_x.column")) & (F.col("_w._j") == F.col("_x._j"))
     for b in by:

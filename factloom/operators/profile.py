@@ -20,7 +20,8 @@ from factloom.functions.columns import (
     long_values,
     numeric_columns,
 )
-from factloom.operators.order import exact_quantiles
+from factloom.operators.order import broadcast_if_small, exact_quantiles
+from factloom.session import materialize
 
 # Name rules that results depend on.
 ID_SUFFIXES = ("id", "uuid", "guid", "key", "index")
@@ -36,6 +37,8 @@ FALLBACK_TARGET_NAMES = ["churn", "fraud", "attrition", "sales", "revenue"]
 
 # A sketch above this estimate cannot hide a true count of 50 or fewer.
 SURELY_MANY = 1_000
+# So many pairs of hashes of repeated rows may be sent to all tasks.
+SHARED_HASHES = 1_000_000
 
 
 def looks_like_id(name: str, suffixes: Sequence[str] = ID_SUFFIXES) -> bool:
@@ -96,13 +99,21 @@ def duplicate_summary(df: DataFrame) -> dict[str, int]:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """rows, distinct rows and duplicates (nulls compare equal)."""
+    """rows, distinct rows and duplicates (nulls compare equal).
+
+    Sixteen bytes per row are grouped first. Equal rows have equal hashes, so rows whose hash is alone
+    are distinct, and only rows that share one are compared as a whole.
+    """
+    a, b = row_hashes(df)
     cells = [clean_value(f.name, f.dataType).alias(f.name) for f in df.schema.fields]
-    groups = df.select(*cells).groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
-        F.count(F.lit(1)).alias("distinct_rows"),
-    ).withColumn("duplicates", F.col("row_count") - F.col("distinct_rows"))
+    hashed = df.select(F.struct(*cells).alias("_row"), a.alias("_a"), b.alias("_b"))
+    counts = materialize(hashed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")), "hashes")
+    alone = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.count_if(F.col("_n") == 1).alias("_alone"))
+    shared = broadcast_if_small(counts.where("_n > 1").select("_a", "_b"), SHARED_HASHES)
+    compared = hashed.join(shared, ["_a", "_b"], "left_semi").groupBy("_row").agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)).alias("_groups"))
+    # Two tables of one row each.
+    both = alone.join(F.broadcast(compared)).withColumn("distinct_rows", F.col("_alone") + F.col("_groups"))
+    return both.select("row_count", "distinct_rows", (F.col("row_count") - F.col("distinct_rows")).alias("duplicates"))
 
 
 def distinct_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
