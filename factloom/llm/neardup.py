@@ -41,11 +41,13 @@ MINIMA = 128
 BAND = 4
 BITS = 4
 STANDARD_ERRORS = 4.5
-# A block of a bucket holds about so many members and shingles.
-BLOCK_MEMBERS = 256
+# A block of a bucket holds about so many members while packed bits are compared,
+BITS_MEMBERS = 4096
+# and so many members and shingles while full sets are.
+SET_MEMBERS = 256
+SET_SHINGLES = 500_000
 # Up to so many ids of candidates are sent to all tasks that read the texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-BLOCK_SHINGLES = 500_000
 ROLL = 0xC2B2AE3D27D4EB4F
 PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits binary"
 
@@ -127,22 +129,15 @@ def profiles(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PROFILE)
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """(group, id): every pair of members of a bucket meets in at least one group of two blocks. Input: bucket, id, n_shingles."""
+def _blocks(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(group, id): every pair of members of a bucket meets in at least one group of two blocks."""
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    spread = members.join(_sizes(members).select("bucket", "blocks"), "bucket").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    spread = members.join(blocks.select("bucket", "blocks"), "bucket").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     return spread.select(
         F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "id"
     ).distinct()
 
 
-def _sizes(members: DataFrame) -> DataFrame:
-    """Per bucket its members and the number of blocks it is cut into."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
-    cut = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    return sizes.withColumn("blocks", cut)
-
-
 def _pruned(groups: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
     """The members of each group that reach a partner by the estimate, under a new group number for each connected part."""
     chance = 2.0**-BITS
@@ -190,8 +185,10 @@ def _candidate_groups(pruned: DataFrame, sizes: DataFrame) -> DataFrame:
     members = materialize(component.join(sizes, "id").select(F.col("component").alias("bucket"), "id", "n_shingles"), "candidate-components")
     own = _distinct_groups(pruned.select("group", "id")).join(members.select("id", "bucket"), "id")
     sent = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("sent"))
-    large = _sizes(members).join(sent, "bucket").where(F.col("members") * F.col("blocks") > F.col("sent")).select("bucket")
-    return _blocks(members.join(large, "bucket", "left_anti")).unionByName(own.join(large, "bucket", "left_semi").select("group", "id"))
+    cut = F.greatest(F.ceil(F.col("members") / SET_MEMBERS), F.ceil(F.col("shingles") / SET_SHINGLES)).cast("int")
+    blocks = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")).withColumn("blocks", cut)
+    large = blocks.join(sent, "bucket").where(F.col("members") * F.col("blocks") > F.col("sent")).select("bucket")
+    return _blocks(members.join(large, "bucket", "left_anti"), blocks).unionByName(own.join(large, "bucket", "left_semi").select("group", "id"))
 
 
 def _distinct_groups(groups: DataFrame) -> DataFrame:
@@ -269,11 +266,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         ),
         "classes",
     )
-    rows = classes.select("id", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode("bands").alias("bucket"))
+    rows = classes.select("id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("id")).alias("x")).where("members > 1")
-    buckets = shared.groupBy("members", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = materialize(rows.join(buckets, "bucket"), "buckets")
-    pruned = materialize(_pruned(_blocks(members), classes.select("id", "bits"), percent / 100), "pruned")
+    buckets = shared.groupBy("members", "x").agg(F.min("bucket").alias("bucket"))
+    buckets = materialize(buckets.select("bucket", F.ceil(F.col("members") / BITS_MEMBERS).cast("int").alias("blocks")), "buckets")
+    pruned = materialize(_pruned(_blocks(rows, buckets), classes.select("id", "bits"), percent / 100), "pruned")
     groups = materialize(_candidate_groups(pruned, classes.select("id", "n_shingles")), "candidates")
     stars = _confirmed(groups, _sets(docs, pruned.select("id").distinct(), shingle), percent)
     linked = components(materialize(stars, "stars"))

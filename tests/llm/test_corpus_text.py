@@ -35,7 +35,8 @@ def test_components_of_chains_and_stars(spark):
 
 @pytest.mark.parametrize("block", [256, 4])
 def test_near_copies(spark, monkeypatch, block):
-    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(neardup, "BITS_MEMBERS", block)
+    monkeypatch.setattr(neardup, "SET_MEMBERS", block)
     rows = texts()
     wanted = near_classes(rows, 4)
     sizes = {i: len(shingles(t, 4)) for i, t in rows}
