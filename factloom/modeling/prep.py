@@ -71,8 +71,11 @@ class FeaturePlan:
         return names
 
 
-def plan_features(df: DataFrame, target: str) -> FeaturePlan:
-    """Guards, problem type, usable features, fills and levels, from a few aggregates."""
+def plan_features(df: DataFrame, target: str, max_levels: int = MAX_LEVELS) -> FeaturePlan:
+    """Guards, problem type, usable features, fills and levels, from a few aggregates.
+
+    A text column keeps its ``max_levels`` most frequent levels, which come to the driver; the others share one.
+    """
     if not target or target not in df.columns:
         raise ModelingError(f"Target column '{target}' not present in dataframe.")
     data = df.filter(clean_value(target, df.schema[target].dataType).isNotNull())
@@ -118,15 +121,15 @@ def plan_features(df: DataFrame, target: str) -> FeaturePlan:
         top = (
             value_counts(data, plan.categorical)
             .withColumn("_rn", F.row_number().over(order))
-            .filter(F.col("_rn") <= MAX_LEVELS + 1)
+            .filter(F.col("_rn") <= max_levels + 1)
         )
         for r in top.orderBy("column", "_rn").collect():
             plan.levels.setdefault(r["column"], []).append(r["value"])
             plan.shares.setdefault(r["column"], {})[r["value"]] = r["share"]
         for c, found in plan.levels.items():
-            if len(found) > MAX_LEVELS:
+            if len(found) > max_levels:
                 plan.shares[c].pop(found[-1])
-                found = [*sorted(found[:MAX_LEVELS]), OTHER_LEVEL]
+                found = [*sorted(found[:max_levels]), OTHER_LEVEL]
             plan.levels[c] = found if OTHER_LEVEL in found else sorted(found)
         plan.categorical = [c for c in plan.categorical if c in plan.levels]
     return plan
