@@ -472,7 +472,13 @@ def regression_tournament(spark, sf):
     return run_tournament(data, "average_order", field).leaderboard()
 
 
-@query("I14 M1")
+@query(
+    "I14 M1",
+    """SELECT 'absent' AS attempt, 'Target column ''nothing'' not present in dataframe.' AS message
+    UNION ALL SELECT 'one value', 'Target column ''same'' has only 1 unique value. Modeling requires at least 2 distinct classes or variance.'
+    UNION ALL SELECT 'texts', CASE WHEN count(DISTINCT c_name) > 10 THEN 'Target column ''c_name'' has more than 10 text values; use a numeric target.' ELSE 'accepted' END FROM customer
+    UNION ALL SELECT 'few rows', 'Insufficient sample size (' || count(*) || ' rows) for supervised modeling.' FROM region""",
+)
 def modeling_guards(spark, sf):
     """What the guards say for targets that cannot be modelled."""
     customer = table(spark, sf, "customer")
