@@ -90,12 +90,14 @@ def test_validation(spark, signal):
         assert sum(part in m for m in messages) == 1, part
 
 
-def test_large_category_lists_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(predict, "INLINE_CATEGORIES", 2)
-    base = spark.createDataFrame([("a",), ("b",), ("c",)], "c string")
-    new = spark.createDataFrame([("a",), ("z",)], "c string")
+@pytest.mark.parametrize("n", [3, 40])
+def test_categories_are_joined_and_the_first_are_named(spark, n):
+    known = [f"v{i:02d}" for i in range(n)]
+    base = spark.createDataFrame([(v,) for v in known], "c string")
+    new = spark.createDataFrame([(known[-1],), ("z",)], "c string")
     checked = predict.validate_rows(new, predict.schema_contract(base), predict.contract_categories(base)).collect()
-    assert {r["c"]: r["violation"] for r in checked} == {"a": None, "z": "Unknown category 'z' for field 'c'."}
+    told = f"Unknown category 'z' for field 'c'. Allowed categories: {', '.join(known[:25])}"
+    assert {r["c"]: r["violation"] for r in checked} == {known[-1]: None, "z": told}
 
 
 def test_ridge_equals_closed_form(spark):
