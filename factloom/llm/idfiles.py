@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.encoding import shared_encoder, tokenizer_text
-from factloom.llm.words import pieces
+from factloom.llm.words import bounded, pieces
 from factloom.session import materialize, scratch_path
 
 END_ID = 1
@@ -138,7 +138,7 @@ class IdReader:
 def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
     """Write all documents; gives the list of files (file, name, docs, tokens), in the order of ids."""
     definition = tokenizer_text(path)
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = bounded(docs).select(F.col("doc_id").cast("long"), "text")
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(definition)  # a tokenizer file, of fixed size
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.words import filled, pieces
+from factloom.llm.words import bounded, filled, pieces
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -192,7 +192,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> ByteNet |
 
 def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """All columns of ``docs`` plus ``lang_pred`` and ``lang_score``, which replace columns of those names."""
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = bounded(docs).drop("lang_pred", "lang_score")
     if net is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0)})
     names = np.array(net.languages, dtype=object)

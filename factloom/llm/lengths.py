@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.encoding import shared_encoder, tokenizer_text
-from factloom.llm.words import pieces
+from factloom.llm.words import bounded, pieces
 from factloom.session import materialize
 
 BLOCK = 32
@@ -27,7 +27,7 @@ BLOCK = 32
 def encoded_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of every row."""
     definition = tokenizer_text(path)
-    rows = docs.select("doc_id", "text")
+    rows = bounded(docs).select("doc_id", "text")
     shared = rows.sparkSession.sparkContext.broadcast(definition)  # a tokenizer file, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

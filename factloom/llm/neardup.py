@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.links import components
-from factloom.llm.words import Powers, Splitter, mixed, pieces, windows
+from factloom.llm.words import Powers, Splitter, bounded, mixed, pieces, windows
 from factloom.operators.order import broadcast_if_small
 from factloom.session import materialize
 
@@ -258,7 +258,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and kept."""
-    found = materialize(profiles(docs, shingle), "profiles")
+    found = materialize(profiles(bounded(docs), shingle), "profiles")
     known = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(
         known.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "bits")).alias("r")).select(

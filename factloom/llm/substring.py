@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.words import Powers, Splitter, filled, mixed, pieces, runs, windows
+from factloom.llm.words import Powers, Splitter, bounded, filled, mixed, pieces, runs, windows
 from factloom.session import materialize
 
 SIZE = 50
@@ -271,7 +271,7 @@ def kept_words(text: bytes, spans: list | None, size: int) -> tuple[int, list[by
 
 def _with_spans(docs: DataFrame, size: int) -> DataFrame:
     """All columns of ``docs`` and the spans that go, as ``_spans``."""
-    keyed = _keyed(docs)
+    keyed = _keyed(bounded(docs))
     known = keyed.where("_doc IS NOT NULL")
     marked = known.join(_repeated_spans(known, size), ["_row", "_doc"], "left").select(*docs.columns, "_spans")
     return marked.unionByName(keyed.where("_doc IS NULL").select(*docs.columns, F.lit(None).cast(marked.schema["_spans"].dataType).alias("_spans")))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.encoding import LETTER_OF, Encoder, Ragged, kept_by_worker, split, tokenizer_text
-from factloom.llm.words import filled, pieces, runs
+from factloom.llm.words import bounded, filled, pieces, runs
 from factloom.session import materialize
 
 LEXICON_WORDS = 60_000
@@ -37,7 +37,7 @@ LEXICON_WORD_BYTES = 48
 NEVER = np.int64(1) << 40
 LONG_WORD = 192
 CELLS = 1 << 20
-COUNTED_AT_ONCE = 600_000
+COUNTED_AT_ONCE = 250_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", 2 << 20):
                 flat = pc.ascii_split_whitespace(filled(part.column(0))).flatten()
                 found = pc.value_counts(flat)
                 new = pa.table({"word": found.field("values"), "n": found.field("counts")})
@@ -319,7 +319,7 @@ class TransducerEncoder:
 def encode_and_decode(docs: DataFrame, path: str | None = None, most: int = LEXICON_WORDS, ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``ids`` also the ids and the decoded text."""
     definition = tokenizer_text(path)
-    rows = docs.select("doc_id", "text")
+    rows = bounded(docs).select("doc_id", "text")
     words = frequent_words(rows, most)
     found, lengths = Encoder(definition).merge_chunks(words)
     context = rows.sparkSession.sparkContext

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
 # Odd base of the polynomial over bytes and its inverse modulo 2^64.
@@ -20,6 +21,9 @@ BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 PIECE_BYTES = 1 << 20
+# Bytes of one batch between Spark and a Python worker; ten thousand long texts in one batch would fill a worker.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -100,6 +104,14 @@ class Splitter:
         return Words(data, start, end, np.searchsorted(start, edges), hashes)
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """The same rows, in a session whose batches are bounded in bytes unless it sets its own bound."""
+    settings = rows.sparkSession.conf
+    if settings.get(BATCH_SETTING, None) is None:
+        settings.set(BATCH_SETTING, str(BATCH_BYTES))
+    return rows
+
+
 def filled(texts: pa.Array) -> pa.Array:
     """Large-string array in one piece, null as empty."""
     if isinstance(texts, pa.ChunkedArray):
