@@ -185,18 +185,19 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     result = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], result)
-    tree = spark.sparkContext.broadcast(_tree(vectors, dims, total))  # at most SAMPLE centres
+    # At most SAMPLE centres; it travels inside the functions, so executors need no copy of this package.
+    tree = _tree(vectors, dims, total)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = tree.value.assign(matrix(batch.column(1), dims))
+            leaf = tree.assign(matrix(batch.column(1), dims))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], names=[*batch.schema.names, "leaf"])
 
     roles = with_roles(vectors, F.col("vec_id") % every == 0, k + 1)
     placed = materialize(roles.mapInArrow(place, "vec_id long, vector array<double>, candidate boolean, query boolean, leaf long"), "placed")
     sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per leaf
     base, chunks, shard, held = [], [], 0, 0
-    for leaf in range(tree.value.leaves):
+    for leaf in range(tree.leaves):
         n = sizes.get(leaf, 0)
         if held and held + n > SHARD_ROWS:
             shard, held = shard + 1, 0
@@ -207,7 +208,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             shard, held = shard + parts, 0
         else:
             held += n
-    most = _calibrated(placed, tree.value, dims, total, k)
+    most = _calibrated(placed, tree, dims, total, k)
     layout = spark.sparkContext.broadcast((np.array(base), np.array(chunks)))  # one entry per leaf
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,9 +237,9 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             for i in range(batch.num_rows):
                 ids = np.frombuffer(batch.column("q_ids")[i].as_py(), np.int64)
                 queries = np.frombuffer(batch.column("q_vectors")[i].as_py()).reshape(-1, dims)
-                seen = np.zeros((len(ids), tree.value.leaves), dtype=bool)
+                seen = np.zeros((len(ids), tree.leaves), dtype=bool)
                 for j, query in enumerate(queries):
-                    seen[j, tree.value.visits(query, most)] = True
+                    seen[j, tree.visits(query, most)] = True
                 for target in sorted({int(s) for leaf in np.flatnonzero(seen.any(axis=0)) for s in range(first[leaf], first[leaf] + parts[leaf])}):
                     there = np.flatnonzero((first <= target) & (target < first + parts))
                     some = np.flatnonzero(seen[:, there].any(axis=1))
