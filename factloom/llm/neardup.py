@@ -10,7 +10,7 @@
    for chance collisions, and members that reach no partner are left out.
 4. What the groups leave is joined to candidate components, each cut into pairs of blocks again, so
    that the full set of a member travels once in all but large components. A component for which the
-   groups of step 3 would send fewer sets keeps those.
+   groups of step 3 would send fewer sets keeps those, cut in the same way by members and shingles.
 5. In a group the links are confirmed exactly on full sets. A group returns a spanning star of each
    set of connected members, not its pairs; connected components over all stars give the classes.
 
@@ -180,15 +180,19 @@ def agreements(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _candidate_groups(pruned: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(group, id): blocks of candidate components, or the groups they came from where those are fewer rows."""
+    """(group, id): blocks of candidate components, or blocks of the groups they came from where those are fewer rows."""
     component = components(pruned.where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")))
     members = materialize(component.join(sizes, "id").select(F.col("component").alias("bucket"), "id", "n_shingles"), "candidate-components")
-    own = _distinct_groups(pruned.select("group", "id")).join(members.select("id", "bucket"), "id")
-    sent = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("sent"))
+    own = _distinct_groups(pruned.select("group", "id")).join(members, "id")
     cut = F.greatest(F.ceil(F.col("members") / SET_MEMBERS), F.ceil(F.col("shingles") / SET_SHINGLES)).cast("int")
-    blocks = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")).withColumn("blocks", cut)
+    bounds = [F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")]
+    blocks = members.groupBy("bucket").agg(*bounds).withColumn("blocks", cut)
+    # A group lies in one component.
+    parts = own.groupBy("bucket", "group").agg(*bounds).withColumn("blocks", cut)
+    sent = parts.groupBy("bucket").agg(F.sum(F.col("members") * F.col("blocks")).alias("sent"))
     large = blocks.join(sent, "bucket").where(F.col("members") * F.col("blocks") > F.col("sent")).select("bucket")
-    return _blocks(members.join(large, "bucket", "left_anti"), blocks).unionByName(own.join(large, "bucket", "left_semi").select("group", "id"))
+    kept = own.join(large, "bucket", "left_semi").select(F.col("group").alias("bucket"), "id")
+    return _blocks(members.join(large, "bucket", "left_anti"), blocks).unionByName(_blocks(kept, parts.select(F.col("group").alias("bucket"), "blocks")))
 
 
 def _distinct_groups(groups: DataFrame) -> DataFrame:

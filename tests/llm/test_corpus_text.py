@@ -229,3 +229,19 @@ def test_id_file_reads_one_document_and_notices_damage(tmp_path):
 def test_id_files_of_nothing(spark, tmp_path):
     folder = str(tmp_path / "none")
     assert idfiles.read_ids(spark, folder, idfiles.write_ids(documents(spark, []), folder)).collect() == []
+
+
+@pytest.mark.parametrize("bound", ["SET_MEMBERS", "SET_SHINGLES"])
+def test_full_sets_are_bounded_in_groups_that_a_component_keeps(spark, monkeypatch, bound):
+    monkeypatch.setattr(neardup, bound, 8 if bound == "SET_MEMBERS" else 80)
+    spans = {1: range(0, 200), 2: range(199, 400)}
+    pruned = spark.createDataFrame([(g, i, s[0]) for g, s in spans.items() for i in s], "group long, id long, head long")
+    sizes = spark.createDataFrame([(i, 10) for i in range(400)], "id long, n_shingles long")
+    groups: dict = {}
+    for r in neardup._candidate_groups(pruned, sizes).collect():
+        groups.setdefault(r["group"], set()).add(r["id"])
+    assert max(map(len, groups.values())) <= 48
+    # Fewer rows than blocks of the component would send, and every pair of a group still meets.
+    assert sum(map(len, groups.values())) < 400 * 50
+    met = {(a, b) for g in groups.values() for a in g for b in g}
+    assert all((a, b) in met for s in spans.values() for a in s for b in s)
