@@ -184,7 +184,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> ByteNet |
         return train(docs, per_language * 4) if per_language < max(counts.values()) * 4 else None
     texts = filled(rows.column("span"))
     windows, doc, used = text_windows(texts)
-    full = used > WINDOW // 4
+    # A short last window is left out, but not the only window of a short text.
+    full = (used > WINDOW // 4) | np.append(True, doc[1:] != doc[:-1])
     codes = {name: i for i, name in enumerate(languages)}
     labels = np.array([codes[x] for x in rows.column("lang").to_pylist()], dtype=np.int64)
     return ByteNet(languages).fit(windows[full], labels[doc[full]])

@@ -99,6 +99,16 @@ def test_language_odd_cases(spark):
     assert language.identify(documents(spark, []), None).collect() == []
 
 
+def test_language_is_learned_from_short_texts(spark):
+    words = {"de": "der hund und die katze schlafen nicht".split(), "en": "the dog with that cat was sleeping".split()}
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.sample(words[x], 4)), x) for i in range(300) for x in [("de", "en")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert max(len(t) for _, t, _ in rows) <= language.WINDOW // 4
+    found = language.identify(docs, language.train(docs)).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.95
+
+
 def test_windows_cover_every_byte():
     import pyarrow as pa
 
