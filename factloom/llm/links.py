@@ -16,7 +16,8 @@ from factloom.session import materialize
 def _star(links: DataFrame, larger_only: bool) -> DataFrame:
     """Link the neighbours of each node to the smallest of them."""
     pairs = links if larger_only else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # Written, so that both sides of the join are plain exchanges and the neighbours of a hub can be split over tasks.
+    least = materialize(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     joined = pairs.join(least, "a")
     if larger_only:  # neighbours below the node, and the node itself
         moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))

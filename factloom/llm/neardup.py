@@ -57,10 +57,11 @@ def shingle_sets(splitter: Splitter, rolls: tuple[Powers, Powers], texts: pa.Arr
     words = splitter(texts)
     n = len(words.first) - 1
     counts = np.diff(words.first)
-    hashes, _, doc = windows(words.hashes, words.first, size, rolls)
+    own = words.hashes
+    hashes, _, doc = windows(own, words.first, size, rolls)
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
-        whole = np.array([_sequence(words.hashes[words.first[i] : words.first[i + 1]]) for i in short], dtype=np.uint64)
+        whole = np.array([_sequence(own[words.first[i] : words.first[i + 1]]) for i in short], dtype=np.uint64)
         hashes, doc = np.concatenate([hashes, whole]), np.concatenate([doc, short])
     # Sorted by hash first, then stably by text: the second sort sees mostly small numbers.
     order = np.argsort(hashes, kind="stable")

@@ -76,6 +76,24 @@ def op10_seekable_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.periodic import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents", "doc_id", "text"), planted=True)
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.simhash import near_by_simhash
+
+    return near_by_simhash(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, bits=4)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.aligned import alignment_table
+
+    return alignment_table(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Runner] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -87,5 +105,8 @@ QUERIES: dict[str, Runner] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_seekable_id_files": op10_seekable_id_files,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 SQL: dict[str, str] = {}

@@ -13,7 +13,7 @@ it also starts in a document with a smaller id.
    first occurrence of each window in each bucket, is dealt again by window hash and sorted there.
 3. The removed windows come back per document and the words they cover are left out.
 
-Windows are compared within a minimiser by two 64-bit hashes of their words.
+Windows are compared within a minimiser by two 64-bit hashes, each built on another hash of the words' bytes.
 
 Defined cases: null or blank text has no words and keeps an empty text; a document shorter than a
 window loses nothing; rows with the same id never remove each other's words and each is cut by its
@@ -45,6 +45,11 @@ FOUND = "row long, doc_id long, start int, n int, minimiser long, sub int, open
 MOST_BYTES = 2 << 20
 
 
+def _second(word: bytes) -> int:
+    """A hash of a word's bytes that shares nothing with the first one."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
 def rolls(base: int) -> tuple[Powers, Powers]:
     return Powers(base), Powers(pow(base, -1, 1 << 64))
 
@@ -66,10 +71,11 @@ def super_kmers(words, size: int, roll: tuple[Powers, Powers]) -> tuple[np.ndarr
     if not len(at):
         empty = np.empty(0, dtype=np.int64)
         return empty, empty, empty, empty
-    n = len(words.hashes)
+    hashes = words.hashes
+    n = len(hashes)
     up, down = roll[0].upto(n + 1), roll[1].upto(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(words.hashes * up[:n], out=sums[1:])
+    np.cumsum(hashes * up[:n], out=sums[1:])
     seeds = mixed((sums[SEED:] - sums[:-SEED]) * down[: n - SEED + 1])
     least = sliding_minimum(seeds, size - SEED + 1)[at]
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -190,7 +196,7 @@ def _decided(packed: DataFrame, size: int) -> DataFrame:
         for table in whole_groups(batches, ["minimiser", "salt"], "packed"):
             words = splitter(table.column("packed").combine_chunks().cast(pa.large_binary()).cast(pa.large_string()))
             a, at, unit = windows(words.hashes, words.first, size, roll_a)
-            b, _, _ = windows(words.hashes, words.first, size, roll_b)
+            b, _, _ = windows(words.hashed(_second), words.first, size, roll_b)
             cell = {c: table.column(c).to_numpy() for c in ("row", "doc_id", "minimiser", "salt", "salts", "start")}
             place = at - words.first[unit] + cell["start"][unit]
             doc, row, salts = cell["doc_id"][unit], cell["row"][unit], cell["salts"][unit]

@@ -1,21 +1,21 @@
-"""Words of a batch of texts as numpy arrays: places, document numbers and 64-bit hashes.
+"""Words of a batch of texts as numpy arrays: places, document numbers, codes and 64-bit hashes.
 
 A word is a longest run of bytes other than space, tab, line feed, vertical tab, form feed and
-carriage return, in UTF-8. All work is done on the batch's one byte buffer, never word by word.
+carriage return, in UTF-8. Places come from the batch's one byte buffer. Codes number the distinct
+words of the batch, compared byte by byte, and only these are hashed (XXH64).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 U = np.uint64
-# Odd base of the polynomial over bytes and its inverse modulo 2^64.
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -62,19 +62,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    data: np.ndarray  # bytes of all texts
-    start: np.ndarray  # of each word
-    end: np.ndarray
+    data: np.ndarray  # bytes of all words, one after another
+    ends: np.ndarray  # of each word in these bytes
     first: np.ndarray  # per document the number of its first word, one more at the end
-    hashes: np.ndarray
+    codes: np.ndarray  # number of each word's value among the distinct ones
+    distinct: pa.Array
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.hashed(xxhash.xxh64_intdigest)
+
+    def hashed(self, digest: Callable[[bytes], int]) -> np.ndarray:
+        values = self.distinct.to_pylist()
+        return np.fromiter(map(digest, values), U, len(values))[self.codes]
+
+    def spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words with one space behind each, and where each begins (one more at the end)."""
+        n = len(self.ends)
+        lengths = np.diff(self.ends, prepend=0)
+        out = np.full(len(self.data) + n, 0x20, dtype=np.uint8)
+        out[np.arange(len(self.data)) + np.repeat(np.arange(n), lengths)] = self.data
+        return out, np.concatenate([[0], self.ends + np.arange(1, n + 1)]).astype(np.int64)
 
 
 class Splitter:
-    """Turns string arrays into words; keeps its power tables between batches."""
+    """Turns string arrays into words."""
 
     def __init__(self, lower: bool = False):
         self.lower = lower
-        self.up, self.down = Powers(BASE), Powers(INVERSE)
 
     def __call__(self, texts: pa.Array) -> Words:
         texts = filled(texts)
@@ -95,13 +110,11 @@ class Splitter:
         before[1:] = solid[:n]
         start = np.flatnonzero(solid & (~before | first))
         end = np.flatnonzero(before & (~solid | first))
-        up, down = self.up.upto(n + 1), self.down.upto(n + 1)
-        sums = np.empty(n + 1, dtype=U)
-        sums[0] = 0
-        np.cumsum((data.astype(U) + U(1)) * up[:n], out=sums[1:])
-        hashes = (sums[end] - sums[start]) * down[start]
-        hashes = mixed(hashes + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
-        return Words(data, start, end, np.searchsorted(start, edges), hashes)
+        packed = np.ascontiguousarray(data[solid[:n]])
+        ends = np.cumsum(end - start)
+        places = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, places, pa.py_buffer(packed)]).dictionary_encode()
+        return Words(packed, ends, np.searchsorted(start, edges), coded.indices.to_numpy(), coded.dictionary)
 
 
 def bounded(rows: DataFrame) -> DataFrame:

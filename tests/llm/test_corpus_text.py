@@ -245,3 +245,15 @@ def test_full_sets_are_bounded_in_groups_that_a_component_keeps(spark, monkeypat
     assert sum(map(len, groups.values())) < 400 * 50
     met = {(a, b) for g in groups.values() for a in g for b in g}
     assert all((a, b) in met for s in spans.values() for a in s for b in s)
+
+
+def thue_morse(letters: str) -> str:
+    return "".join(letters[n.bit_count() % 2] for n in range(1024))
+
+
+def test_long_words_alike_to_a_polynomial_are_told_apart(spark):
+    one, other = thue_morse("ab"), thue_morse("ba")
+    copies = documents(spark, [(1, f"{one} same words here"), (2, f"{other} same words here"), (3, one), (4, other)])
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(copies, 4).collect()} == {i: i for i in range(1, 5)}
+    passages = documents(spark, [(1, " ".join([one, *map(str, range(60))])), (2, " ".join([other, *map(str, range(49))]))])
+    assert {r["n_removed"] for r in substring.remove_repeats(passages, 50).collect()} == {0}
