@@ -95,15 +95,16 @@ class Tree:
             moving = after
         return node
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of a best-bin-first walk."""
+    def visits(self, query: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves of a best-bin-first walk, and further ones until they hold ``least`` candidates."""
         worth = (self.centres @ query).tolist()
-        queue, out = [(-worth[0], 0)], []
-        while queue and len(out) < most:
+        queue, out, found = [(-worth[0], 0)], [], 0
+        while queue and (len(out) < most or found < least):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not len(kids):
                 out.append(self.leaf_of[node])
+                found += int(held[out[-1]]) if held is not None else 0
             for kid in kids:
                 heapq.heappush(queue, (-worth[kid], kid))
         return out
@@ -195,7 +196,11 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     roles = with_roles(vectors, F.col("vec_id") % every == 0, k + 1)
     placed = materialize(roles.mapInArrow(place, "vec_id long, vector array<double>, candidate boolean, query boolean, leaf long"), "placed")
-    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per leaf
+    counted = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.count_if("candidate").alias("candidates")).collect()  # one row per leaf
+    sizes = {r["leaf"]: r["n"] for r in counted}
+    filled = np.zeros(tree.leaves, dtype=np.int64)
+    for r in counted:
+        filled[r["leaf"]] = r["candidates"]
     base, chunks, shard, held = [], [], 0, 0
     for leaf in range(tree.leaves):
         n = sizes.get(leaf, 0)
@@ -209,10 +214,10 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         else:
             held += n
     most = _calibrated(placed, tree, dims, total, k)
-    layout = spark.sparkContext.broadcast((np.array(base), np.array(chunks)))  # one entry per leaf
+    layout = spark.sparkContext.broadcast((np.array(base), np.array(chunks), filled))  # one entry per leaf
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, parts = layout.value
+        first, parts, _ = layout.value
         for batch in batches:
             leaf, ids = batch.column(4).to_numpy(), batch.column(0).to_numpy()
             own = first[leaf] + (ids * 0x9E3779B1 >> 7) % parts[leaf]
@@ -232,14 +237,14 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The queries of a shard, packed for every shard that has a leaf they visit."""
-        first, parts = layout.value
+        first, parts, candidates = layout.value
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = np.frombuffer(batch.column("q_ids")[i].as_py(), np.int64)
                 queries = np.frombuffer(batch.column("q_vectors")[i].as_py()).reshape(-1, dims)
                 seen = np.zeros((len(ids), tree.leaves), dtype=bool)
                 for j, query in enumerate(queries):
-                    seen[j, tree.visits(query, most)] = True
+                    seen[j, tree.visits(query, most, candidates, k + 1)] = True
                 for target in sorted({int(s) for leaf in np.flatnonzero(seen.any(axis=0)) for s in range(first[leaf], first[leaf] + parts[leaf])}):
                     there = np.flatnonzero((first <= target) & (target < first + parts))
                     some = np.flatnonzero(seen[:, there].any(axis=1))
