@@ -19,7 +19,8 @@ Bands: a pair at the threshold 0.8 shares none of 32 bands of 4 minima with prob
 64-bit hashes of shingles.
 
 Defined cases: null or blank text has an empty set and is linked with nothing; a text of fewer words
-than a shingle is one shingle; equal ids are rows of their own with the same component; rows with a
+than a shingle is one shingle; rows of one id are rows of their own, share a component and are linked
+by what any of their texts is linked with; rows with a
 null id form no links and come back with a null component; extra columns are ignored.
 """
 
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,11 +256,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             for part in pieces(batch):
                 sets, first = shingle_sets(splitter, rolls, part.column(1), shingle)
                 blobs = [sets[first[i] : first[i + 1]].tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["id", "shingles"])
+                marks = [xxhash.xxh64_intdigest(b) - (1 << 63) for b in blobs]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "mark", "shingles"])
 
     wanted = broadcast_if_small(wanted, BROADCAST_IDS)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    return texts.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    # Rows of one id with unlike texts keep their own sets.
+    return texts.mapInArrow(run, "id long, mark long, shingles binary").dropDuplicates(["id", "mark"]).drop("mark")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
