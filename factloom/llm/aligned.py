@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.encoding import BYTE_OF, kept_by_worker, tokenizer_file, tokenizer_text
-from factloom.llm.words import bounded, filled, pieces, runs
+from factloom.llm.words import bounded, filled, pieces, runs, values_of
 from factloom.session import materialize
 
 HELD_PAIRS = 1_000_000
@@ -192,7 +192,7 @@ class Aligner:
         """Columns of TEXT_ROWS but row and doc_id, for texts of which none is null or empty."""
         coded, first, starts = cut(texts)
         codes = coded.indices.to_numpy().astype(np.int64)
-        chunks = coded.dictionary.to_pylist()
+        chunks = values_of(coded.dictionary)
         plain = np.array([len(c) > 1 and SOLID[c[1]] and c[-1] != SPACE and BLANK_MARK not in c for c in chunks], dtype=bool)
         ids_a, count_a, good_a = _encoded(self.a, chunks, plain)
         ids_b, count_b, good_b = _encoded(self.b, chunks, plain)

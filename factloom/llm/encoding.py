@@ -14,21 +14,21 @@ import sys
 import types
 import unicodedata
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 
-from factloom.llm.words import filled, runs
+from factloom.llm.words import Splitter, runs, values_of
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_OF_WORD = "</w>"
-# Chunks and pieces that a worker remembers before it starts afresh.
+# Chunks that a worker remembers before it lets go of the rarer ones, and pieces before it starts afresh.
 MOST_HELD = 400_000
 PIECES_AT_ONCE = 100
 # Up to this code point all Unicode versions agree on case and classes; other chunks go to the library whole.
-PLAIN_UPTO = 0x052F
+PLAIN_LAST = "\u052f"
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -100,16 +100,34 @@ class Encoder:
         size = max([*self.vocab.values(), *self.special.values()]) + 1
         self.closes = np.zeros(size, dtype=bool)
         self.closes[[i for t, i in self.vocab.items() if t.endswith(END_OF_WORD)]] = True
-        self.pattern = regex.compile(PATTERN)
+        self.pattern = regex.compile(PATTERN + r"|\n")  # chunks stand on lines of their own
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.forget()
 
     def forget(self) -> None:
         self.chunks: dict[str, int] = {}
         self.lists = Ragged()
+        self.uses = np.zeros(1 << 14, dtype=np.int64)
+        self.forget_pieces()
+
+    def forget_pieces(self) -> None:
         self.known: dict[str, int] = {}
         self.piece_lists = Ragged()
 
+    def forget_rare(self) -> None:
+        """Keep the chunks of most batches, half of what may be held at most."""
+        uses = self.uses[: self.lists.count]
+        least = max(2, int(np.partition(uses, -(MOST_HELD // 2))[-(MOST_HELD // 2)]) + 1) if len(uses) > MOST_HELD // 2 else 2
+        kept = [(c, i) for c, i in self.chunks.items() if uses[i] >= least]
+        numbers = np.array([i for _, i in kept], dtype=np.int64)
+        ids, lengths = self.lists.gather(numbers)
+        self.lists = Ragged()
+        self.lists.extend(ids, lengths)
+        self.chunks = {c: i for i, (c, _) in enumerate(kept)}
+        aged = uses[numbers] // 2
+        self.uses = np.zeros(len(self.lists.start), dtype=np.int64)
+        self.uses[: len(aged)] = aged
+
     def _library_merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lines = [" ".join(words[i : i + PIECES_AT_ONCE]) for i in range(0, len(words), PIECES_AT_ONCE)]
         found = self.pieces.encode_batch_fast(lines, add_special_tokens=False)
@@ -119,13 +137,14 @@ class Encoder:
 
     def _new_chunks(self, chunks: list[str]) -> None:
         """Encode chunks that are seen for the first time."""
-        strange = [c for c in chunks if max(c) > chr(PLAIN_UPTO) or "<|" in c]
+        strange = [c for c in chunks if "<|" in c or not c.isascii() and max(c) > PLAIN_LAST]
         odd = set(strange)
         plain = [c for c in chunks if c not in odd] if odd else chunks
         if plain:
             joined = unicodedata.normalize("NFC", "\n".join(plain)).replace("Σ", "σ").lower()
-            found = [self.pattern.findall(line) for line in joined.split("\n")]
-            flat = [w for line in found for w in line]
+            flat = self.pattern.findall(joined + "\n")
+            breaks = np.array([i for i, w in enumerate(flat) if w == "\n"], dtype=np.int64)
+            flat = [w for w in flat if w != "\n"]
             fresh = [w for w in dict.fromkeys(flat) if w not in self.known]
             if fresh:
                 ids, lengths = self.merge(fresh)
@@ -133,10 +152,8 @@ class Encoder:
                 self.known.update(zip(fresh, range(first, first + len(fresh))))
             numbers = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
             ids, lengths = self.piece_lists.gather(numbers)
-            counts = np.fromiter(map(len, found), np.int64, len(found))
             sums = np.concatenate([[0], np.cumsum(lengths)])
-            ends = np.cumsum(counts)
-            first = self.lists.extend(ids, sums[ends] - sums[ends - counts])
+            first = self.lists.extend(ids, np.diff(sums[breaks - np.arange(len(breaks))], prepend=0))
             self.chunks.update(zip(plain, range(first, first + len(plain))))
         for chunk in strange:
             ids = self._strange(chunk)
@@ -161,12 +178,20 @@ class Encoder:
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """List numbers of distinct chunks."""
-        if len(self.chunks) > MOST_HELD or len(self.known) > MOST_HELD:
-            self.forget()
-        new = [c for c in chunks if c not in self.chunks]
-        if new:
+        if len(self.chunks) > MOST_HELD:
+            self.forget_rare()
+        if len(self.known) > MOST_HELD:
+            self.forget_pieces()
+        found = np.array(list(map(self.chunks.get, chunks, repeat(-1))), dtype=np.int64)
+        missed = np.flatnonzero(found < 0)
+        if len(missed):
+            new = [chunks[i] for i in missed.tolist()]
             self._new_chunks(new)
-        return np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+            found[missed] = np.fromiter(map(self.chunks.__getitem__, new), np.int64, len(new))
+        if len(self.uses) < self.lists.count:
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.lists.start) - len(self.uses), dtype=np.int64)])
+        self.uses[found] += 1
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's ids begin (one more at the end)."""
@@ -187,16 +212,8 @@ class Encoder:
 
 def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Chunks of all texts as codes into their distinct values, and where each text's chunks begin."""
-    lists = pc.ascii_split_whitespace(filled(texts))
-    flat = lists.flatten()
-    offsets = lists.offsets.to_numpy()
-    solid = pc.not_equal(pc.binary_length(flat), 0)
-    if not pc.all(solid).as_py():  # white space at the ends gives empty chunks
-        kept = solid.to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
-        flat = flat.filter(solid)
-    coded = flat.dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), offsets
+    words = Splitter()(texts)
+    return words.codes, values_of(words.distinct.cast(pa.large_string())), words.first
 
 
 def _byte_letters() -> dict[str, int]:

@@ -24,19 +24,20 @@ from factloom.session import materialize
 BLOCK = 32
 
 
-def encoded_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) of every row."""
+def encoded_lengths(docs: DataFrame, path: str | None = None, digest: bool = False) -> DataFrame:
+    """(doc_id, n_tokens) of every row; with ``digest`` also ``text_hash``."""
     definition = tokenizer_text(path)
-    rows = bounded(docs).select("doc_id", "text")
+    rows = bounded(docs).select("doc_id", "text", *([F.xxhash64("text").alias("text_hash")] if digest else []))
     shared = rows.sparkSession.sparkContext.broadcast(definition)  # a tokenizer file, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(shared.value)
         for batch in batches:
             for part in pieces(batch, "text", 2 << 20):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.lengths(part.column(1)), pa.int64())], names=["doc_id", "n_tokens"])
+                own = [c for k, c in enumerate(part.columns) if k != 1]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(encoder.lengths(part.column(1)), pa.int64())], names=["doc_id", "text_hash", "n_tokens"] if digest else ["doc_id", "n_tokens"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {'text_hash long, ' if digest else ''}n_tokens long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

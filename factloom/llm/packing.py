@@ -10,7 +10,7 @@ Pieces are dealt over shards of bounded size by a hash of document and piece, an
 packed in one task. The only loss against one global packing is the last few sequences of a shard.
 
 Defined cases: null and empty texts have no tokens and come back with piece 0 and no sequence; equal
-ids are rows of their own, told apart by ``copy``; an empty table gives no rows; extra columns are
+ids are rows of their own, told apart by ``text_hash`` and, if their texts are the same, by ``copy``; an empty table gives no rows; extra columns are
 ignored.
 """
 
@@ -80,20 +80,23 @@ def _least_cost(first: int, values: list[int], counts: dict[int, int], sizes: tu
 
 
 def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, path: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, copy, piece, first token, tokens, sequence, offset in it, and its size."""
+    """One row per piece: doc_id, text_hash, copy, piece, first token, tokens, sequence, offset in it, and its size."""
     sizes = tuple(sorted(sizes))
     most = sizes[-1]
-    lengths = materialize(encoded_lengths(docs, path).withColumn("copy", F.monotonically_increasing_id()), "lengths")
+    # Rows are told apart by their text's hash, and rows that are the same by a number, whatever the layout of the files.
+    rows = encoded_lengths(docs, path, digest=True).groupBy("doc_id", "text_hash", "n_tokens").agg(F.count(F.lit(1)).alias("_rows"))
+    lengths = materialize(rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1))).drop("_rows"), "lengths")
     count = F.greatest(F.ceil(F.col("n_tokens") / most), F.lit(1)).cast("int")
     cut = lengths.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
     cut = cut.withColumn("first", F.col("piece").cast("long") * most).withColumn("tokens", F.least(F.lit(most).cast("long"), F.col("n_tokens") - F.col("first")))
     total = lengths.agg(F.sum(count)).first()[0] or 0
     shards = max(1, -(-total // SHARD_PIECES))
     kind = dict(lengths.dtypes)["doc_id"]
-    dealt = cut.where("tokens > 0").select("doc_id", "copy", "piece", "first", "tokens", F.pmod(F.xxhash64("copy", "piece"), F.lit(shards)).alias("shard"))
+    own = ("doc_id", "text_hash", "copy", "piece")
+    dealt = cut.where("tokens > 0").select(*own, "first", "tokens", F.pmod(F.xxhash64(*own), F.lit(shards)).alias("shard"))
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("tokens", "descending"), ("copy", "ascending"), ("piece", "ascending")])
+        part = part.sort_by([("tokens", "descending"), *((c, "ascending") for c in own)])
         tokens = part.column("tokens").to_pylist()
         place, size = best_fit(tokens, sizes)
         offset, used = [], [0] * len(size)
@@ -101,8 +104,8 @@ def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, path: str | None = Non
             offset.append(used[number])
             used[number] += n
         number = np.array(place, dtype=np.int64) + (part.column("shard")[0].as_py() << 32)
-        return pa.table({**{c: part.column(c) for c in ("doc_id", "copy", "piece", "first", "tokens")}, "sequence": number, "offset": pa.array(offset, pa.int64()), "size": pa.array([size[k] for k in place], pa.int32())})
+        return pa.table({**{c: part.column(c) for c in (*own, "first", "tokens")}, "sequence": number, "offset": pa.array(offset, pa.int64()), "size": pa.array([size[k] for k in place], pa.int32())})
 
-    packed = dealt.groupBy("shard").applyInArrow(run, f"doc_id {kind}, copy long, piece int, first long, tokens long, sequence long, offset long, size int")
-    none = cut.where("tokens <= 0").select("doc_id", "copy", "piece", "first", "tokens", F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("int").alias("size"))
+    packed = dealt.groupBy("shard").applyInArrow(run, f"doc_id {kind}, text_hash long, copy long, piece int, first long, tokens long, sequence long, offset long, size int")
+    none = cut.where("tokens <= 0").select(*own, "first", "tokens", F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("int").alias("size"))
     return packed.unionByName(none)

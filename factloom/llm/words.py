@@ -73,8 +73,7 @@ class Words:
         return self.hashed(xxhash.xxh64_intdigest)
 
     def hashed(self, digest: Callable[[bytes], int]) -> np.ndarray:
-        values = self.distinct.to_pylist()
-        return np.fromiter(map(digest, values), U, len(values))[self.codes]
+        return np.fromiter(map(digest, values_of(self.distinct)), U, len(self.distinct))[self.codes]
 
     def spaced(self) -> tuple[np.ndarray, np.ndarray]:
         """The words with one space behind each, and where each begins (one more at the end)."""
@@ -125,6 +124,11 @@ def bounded(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def values_of(values: pa.Array) -> list:
+    """Strings or bytes as Python objects, without a scalar for each on the way."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def filled(texts: pa.Array) -> pa.Array:
     """Large-string array in one piece, null as empty."""
     if isinstance(texts, pa.ChunkedArray):
