@@ -16,22 +16,28 @@ from factloom.llm.secrets import redact
 from factloom.llm.substring import without_repeats
 from factloom.session import materialize
 
-# A document goes if its language is unknown or the network is hardly above an even guess.
-LEAST_LANGUAGE_SCORE = 0.3
+# A document goes if its score covers less than this share of the way from an even guess to certainty.
+LEAST_CERTAINTY = 1 / 15
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those for which no language stands out."""
-    found = identify(docs, train(docs))
-    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
-    return found.where(kept).select(*docs.columns)
+    """Documents without a letter go, and those for which no language stands out; without any labelled document only the former."""
+    net = train(docs)
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    guess = 1 / len(net.languages)
+    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= guess + (1 - guess) * LEAST_CERTAINTY - 1e-9)
+    return identify(docs, net).where(kept).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; rows without an id all stay, repeated rows stay once."""
+    """One document of each group stays, the one with the smallest id; of rows with one id and the same text one stays.
+
+    Rows of one id with unlike texts stay together or go together; rows without an id all stay.
+    """
     gone = near_duplicates(docs, shingle=5, percent=80).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_own", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    return left.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    left = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("_own", F.xxhash64("text"))
+    return left.dropDuplicates(["doc_id", "_own"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
