@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
-from factloom.operators.order import broadcast_if_small
+from factloom.session import materialize
 
 # Packing limits.
 PROMPT_CHARS = 16_000
@@ -29,13 +29,14 @@ def safe_evidence(evidence: DataFrame, content: str = "content") -> DataFrame:
     return evidence.filter((F.trim(content) != "") & ~X.is_instruction_like(F.col(content)))
 
 
-def question_overlap(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+def question_overlap(questions: DataFrame, evidence: DataFrame, small: int = SMALL_QUESTION_WORDS) -> DataFrame:
     """(run_id, question_id, item_id, source, content, overlap) for items sharing two words or more.
 
     ``questions``: run_id, question_id, question. ``evidence``: run_id, item_id,
     source, content. Words are joined by equality within a run, so the work is
     the length of the matching word lists, and the text itself is not shuffled
-    until the matches are known.
+    until the matches are known. Up to ``small`` question words are sent to the
+    items; more are joined by shuffle, without the commonest word of each question.
     """
     asked = questions.select(
         "run_id", "question_id", F.explode(X.expand_synonyms(X.query_tokens(F.col("question")))).alias("word")
@@ -44,17 +45,43 @@ def question_overlap(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     held = items.select(
         "run_id", "item_id", F.explode(X.tokens(F.concat_ws(" ", "source", "content"))).alias("word")
     )
-    # The words of few questions are sent to the evidence, so its words need no shuffle
-    # and all matches of an item are counted where the item is.
-    overlap = (
-        held.join(broadcast_if_small(asked, SMALL_QUESTION_WORDS), ["run_id", "word"])
-        .groupBy("run_id", "question_id", "item_id")
-        .agg(F.count(F.lit(1)).alias("overlap"))
-        .filter(F.col("overlap") >= MIN_OVERLAP)
-    )
+    if asked.limit(small + 1).count() <= small:
+        # The words of few questions are sent to the evidence, so its words need no shuffle
+        # and all matches of an item are counted where the item is.
+        matched = held.join(F.broadcast(asked), ["run_id", "word"]).groupBy("run_id", "question_id", "item_id")
+        overlap = matched.agg(F.count(F.lit(1)).alias("overlap"))
+    else:
+        overlap = _prefix_overlap(asked, held)
+    overlap = overlap.filter(F.col("overlap") >= MIN_OVERLAP)
     return overlap.join(items.select("run_id", "item_id", "source", "content"), ["run_id", "item_id"])
 
 
+def _prefix_overlap(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(run_id, question_id, item_id, overlap) of all pairs that share a word besides the question's commonest one.
+
+    Two shared words are one at least besides the commonest, so no pair that counts is lost. The
+    commonest word is then looked up per item, under a key that no two items share.
+    """
+    asked, held = materialize(asked, "asked"), materialize(held, "held-words")
+    common = held.groupBy("run_id", "word").agg(F.count(F.lit(1)).alias("_items"))
+    order = Window.partitionBy("run_id", "question_id").orderBy(F.desc("_items"), "word")
+    # Written, so that the join with the items' words is between two plain exchanges, whose large parts can be split.
+    ranked = materialize(
+        asked.join(common, ["run_id", "word"])
+        .withColumns({"_place": F.row_number().over(order), "_hot": F.first("word").over(order)}),
+        "question-words",
+    )
+    rare = ranked.filter("_place > 1").select("run_id", "question_id", "word", "_hot")
+    found = (
+        held.join(rare, ["run_id", "word"])
+        .groupBy("run_id", "question_id", "item_id", "_hot")
+        .agg(F.count(F.lit(1)).alias("_shared"))
+    )
+    also = held.select("run_id", "item_id", F.col("word").alias("_hot"), F.lit(1).alias("_has"))
+    joined = found.join(also, ["run_id", "item_id", "_hot"], "left")
+    return joined.select("run_id", "question_id", "item_id", (F.col("_shared") + F.coalesce("_has", F.lit(0))).alias("overlap"))
+
+
 def _pack(cap: int):
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["overlap", "item_id"], ascending=[False, True])

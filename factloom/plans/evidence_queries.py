@@ -86,6 +86,13 @@ def evidence_overlap(spark, sf):
     return E.question_overlap(questions(spark, sf), evidence(spark, sf)).select("run_id", "item_id", "overlap")
 
 
+@query("T3", f"WITH {_OVERLAP} SELECT conv_id AS run_id, turn AS item_id, overlap FROM k")
+def prefix_filtered_overlap(spark, sf):
+    """The same by shuffle: all words of a question but its commonest are joined, that one is looked up per item."""
+    found = E.question_overlap(questions(spark, sf), evidence(spark, sf), small=0)
+    return found.select("run_id", "item_id", "overlap")
+
+
 @query(
     "T3",
     f"""WITH RECURSIVE {_OVERLAP}, walk AS (

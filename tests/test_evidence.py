@@ -118,3 +118,15 @@ def test_foreign_instructions_stay_out_of_the_context(spark):
     lines = [("r", p, p, f"S{p}", bad) for p in range(1, 6)] + [("r", 2, 9, "T", "Churn is 42%")]
     df = spark.createDataFrame(lines, "run_id string, priority int, item_id bigint, source string, content string")
     assert [r["source"] for r in evidence.build_context(df, 10_000).orderBy("position").collect()] == ["S1", "T", "S4", "S5"]
+
+
+def test_prefix_filter_loses_no_match(spark):
+    rnd = random.Random(4)
+    vocabulary = ["churn", "price", "region", "tenure", "margin", "offer", "discount", "quality"]
+    rows = [(f"r{i % 3}", i, f"s{i % 5}", " ".join(["churn", *rnd.choices(vocabulary, k=rnd.randint(0, 4))])) for i in range(400)]
+    items = spark.createDataFrame(rows, "run_id string, item_id bigint, source string, content string")
+    asked = [(f"r{k % 3}", k, q) for k, q in enumerate(["Is churn linked to price?", "churn", "churn and margin", "Which offer and discount?", "", None, "quality of region and tenure"])]
+    questions = spark.createDataFrame(asked, "run_id string, question_id bigint, question string")
+    cells = ("run_id", "question_id", "item_id", "overlap")
+    one, two = (sorted(evidence.question_overlap(questions, items, small).select(*cells).collect()) for small in (10_000, 0))
+    assert one == two and len(one) > 50
