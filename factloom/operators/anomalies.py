@@ -89,6 +89,20 @@ def _grow(values: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
     return nodes
 
 
+def _draw_limits(share: float) -> list[float]:
+    """Below the k-th limit an even number from 0 to 1 means at most k draws of all trees, each with probability ``share``."""
+    if share >= 1:
+        return [0.0] * TREES
+    limits, chance, total = [], (1 - share) ** TREES, 0.0
+    for k in range(TREES):
+        total += chance
+        limits.append(total)
+        chance *= (TREES - k) / (k + 1) * share / (1 - share)
+        if chance < 1e-15 and total > 0.5:
+            break
+    return limits
+
+
 def _forest_sample(data: DataFrame, rows: int, names: Sequence[str]) -> tuple[DataFrame, int]:
     """(tree, features): up to 256 rows per tree, drawn by a hash of the row's place.
 
@@ -98,10 +112,18 @@ def _forest_sample(data: DataFrame, rows: int, names: Sequence[str]) -> tuple[Da
     size = min(SAMPLE_PER_TREE, rows)
     keyed = data.select(*[col(n) for n in names], F.monotonically_increasing_id().alias("_key"))
     share = min(1.0, 2.0 * size / rows + 40.0 / rows)
-    step = 2**62
-    # A row is copied only for the trees that draw it.
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.pmod(F.xxhash64("_key", t), F.lit(step)) < F.lit(int(share * step)))
-    picked = keyed.withColumn("tree", F.explode(drawn)).withColumn("_pick", F.xxhash64("_key", "tree"))
+    # One hash says how many trees draw a row (a binomial number), two more which ones: a walk through all trees by a step that has
+    # no divisor in common with their number. A row is copied only for the trees that draw it.
+    least = F.array(*[F.lit(x) for x in _draw_limits(share)])
+    even = F.shiftrightunsigned(F.xxhash64("_key"), 11) / F.lit(2.0**53)
+    draws = F.size(F.filter(least, lambda x: F.col("_even") >= x))
+    steps = [k for k in range(1, TREES) if math.gcd(k, TREES) == 1]
+    step = F.element_at(F.array(*[F.lit(k) for k in steps]), (F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(len(steps))) + 1).cast("int"))
+    start = F.pmod(F.xxhash64("_key", F.lit(2)), F.lit(TREES))
+    drawn = keyed.withColumn("_even", even).withColumn("_draws", draws).filter("_draws > 0").withColumns({"_start": start, "_step": step})
+    picked = drawn.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.col("_draws") - 1)))
+    picked = picked.withColumn("tree", ((F.col("_start") + F.col("_draw") * F.col("_step")) % TREES).cast("int")).drop("_even", "_draws", "_start", "_step", "_draw")
+    picked = picked.withColumn("_pick", F.xxhash64("_key", "tree"))
     order = Window.partitionBy("tree").orderBy("_pick", "_key")
     picked = picked.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= size)
     return picked, size
@@ -126,37 +148,93 @@ def isolation_trees(data: DataFrame, rows: int, names: Sequence[str]) -> tuple[p
     return nodes, size
 
 
+def leaf_masks(nodes: pd.DataFrame, features: int) -> tuple[list, list, list, list]:
+    """What ``mean_path`` needs of all trees: leaf paths, masks, and cuts.
+
+    The leaves of a tree are numbered from left to right. A node whose test fails rules out the
+    leaves of its left side. Per tree and feature the cuts are sorted, and entry k of the masks is what
+    the k lowest cuts leave when they fail; the first bit left by all features is the row's leaf. The
+    cuts of all trees are sorted together once per feature, so a value is searched for once.
+    """
+    paths, masks, cuts = [], [], [[] for _ in range(features)]
+    for _, part in nodes.groupby("tree"):
+        feature, cut, left, right, path = (part.sort_values("node")[c].to_numpy() for c in ("feature", "cut", "left", "right", "path"))
+        span, leaves = _leaf_spans(feature, left, right)
+        words = -(-len(leaves) // 64)
+        tables = []
+        for f in range(features):
+            inner = np.flatnonzero(feature == f)
+            inner = inner[np.argsort(cut[inner], kind="stable")]
+            table = np.full((len(inner) + 1, words), ~np.uint64(0))
+            for k, node in enumerate(inner.tolist()):
+                low, high = span[left[node]]
+                gone = ((1 << (high - low)) - 1) << low
+                table[k + 1] = table[k] & ~np.array([gone >> 64 * w & 0xFFFFFFFFFFFFFFFF for w in range(words)], dtype=np.uint64)
+            tables.append(table)
+            cuts[f].append(cut[inner])
+        paths.append(path[leaves])
+        masks.append(tables)
+    every = [np.sort(np.concatenate(c)) for c in cuts]
+    # How many of a tree's cuts lie below each place among all cuts of the feature.
+    below = [[np.searchsorted(own, np.append(together, np.inf), side="left").astype(np.uint16) for own in c] for c, together in zip(cuts, every)]
+    return paths, masks, every, below
+
+
+def mean_path(forest: tuple[list, list, list, list], values: np.ndarray) -> np.ndarray:
+    """Mean path of each row by bit vectors over the leaves of each tree, without walking it."""
+    paths, masks, every, below = forest
+    ranks = [np.searchsorted(together, values[:, f], side="left") for f, together in enumerate(every)]
+    total = np.zeros(len(values))
+    for t, (path, tables) in enumerate(zip(paths, masks)):
+        left = None
+        for f, table in enumerate(tables):
+            if len(table) > 1:
+                own = table[below[f][t][ranks[f]]]
+                left = own if left is None else left & own
+        total += path[_first_bit(left)] if left is not None else path[0]
+    return total / len(paths)
+
+
+def _leaf_spans(feature: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[dict[int, tuple[int, int]], list[int]]:
+    """Per node the range of its leaves, and the nodes that are leaves, from left to right."""
+    span, leaves, todo = {}, [], [(0, False)]
+    while todo:
+        node, done = todo.pop()
+        if feature[node] < 0:
+            span[node] = (len(leaves), len(leaves) + 1)
+            leaves.append(node)
+        elif done:
+            span[node] = (span[left[node]][0], span[right[node]][1])
+        else:
+            todo += [(node, True), (int(right[node]), False), (int(left[node]), False)]
+    return span, leaves
+
+
+def _first_bit(rows: np.ndarray) -> np.ndarray:
+    """Number of the lowest set bit of each row of words."""
+    out = np.zeros(len(rows), dtype=np.int64)
+    open_ = np.ones(len(rows), dtype=bool)
+    for w in range(rows.shape[1]):
+        word = rows[:, w]
+        here = open_ & (word != 0)
+        out[here] = 64 * w + np.bitwise_count((word[here] & (~word[here] + np.uint64(1))) - np.uint64(1))
+        open_ &= ~here
+    return out
+
+
 def isolation_scores(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Adds ``anomaly_score`` in (0, 1); larger is easier to isolate. Reads a materialized table."""
     rows = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     nodes, size = isolation_trees(df, rows, names)
-    tables = []
-    for _, part in nodes.groupby("tree"):
-        part = part.sort_values("node")
-        tables.append(
-            tuple(part[c].to_numpy() for c in ("feature", "cut", "left", "right", "path"))
-        )
-    shared = df.sparkSession.sparkContext.broadcast((tables, _expected_path(size)))
+    shared = df.sparkSession.sparkContext.broadcast((leaf_masks(nodes, len(names)), _expected_path(size)))  # at most TREES trees of 511 nodes
     columns = list(names)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        trees, norm = shared.value
+        forest, norm = shared.value
         for cells in parts:
             values = np.column_stack([c.to_numpy(dtype=float) for c in cells])
-            index = np.arange(len(values))
-            depth = np.zeros(len(values))
-            for feature, cut, left, right, path in trees:
-                at = np.zeros(len(values), dtype=np.int64)
-                while True:
-                    split = feature[at]
-                    inner = split >= 0
-                    if not inner.any():
-                        break
-                    goes_left = values[index, np.maximum(split, 0)] <= cut[at]
-                    at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
-                depth += path[at]
-            yield pd.Series(np.power(2.0, -(depth / len(trees)) / (norm or 1.0)))
+            yield pd.Series(np.power(2.0, -mean_path(forest, values) / (norm or 1.0)))
 
     return df.withColumn("anomaly_score", score(*[col(c) for c in columns]))
 

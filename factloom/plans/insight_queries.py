@@ -51,6 +51,31 @@ def isolation_forest(spark, sf):
     return A.top_anomalies(flagged).select("l_orderkey", "l_linenumber", "anomaly_score", "is_anomaly", "extreme", "reason")
 
 
+@query(
+    "U6",
+    """WITH m AS (SELECT median(o_totalprice) AS p, median(o_custkey) AS c FROM orders), d AS (SELECT median(abs(o_totalprice - p)) AS dp, median(abs(o_custkey - c)) AS dc FROM orders, m)
+    SELECT 'rows' AS item, count(*) AS n FROM orders UNION ALL SELECT 'scores between 0 and 1', count(*) FROM orders
+    UNION ALL SELECT 'scores of unlike rows', count(DISTINCT (o_totalprice, o_custkey)) FROM orders
+    UNION ALL SELECT 'extreme', count(*) FILTER (greatest(abs(o_totalprice - p) / dp, abs(o_custkey - c) / dc) / 1.4826 > 8) FROM orders, m, d
+    UNION ALL SELECT 'flagged beyond the cut', CAST(floor(count(*) * 0.02) AS BIGINT) FROM orders""",
+)
+def isolation_invariants(spark, sf):
+    """What must hold for the scores of any forest; ties at the cut are not counted twice."""
+    names = ["o_totalprice", "o_custkey"]
+    flagged = A.anomalies(table(spark, sf, "orders"), names)
+    unlike = flagged.select(*names, "anomaly_score").distinct()
+    share = flagged.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("anomaly_score").between(0, 1)).alias("s"), F.count_if("extreme").alias("x")).join(
+        unlike.agg(F.count(F.lit(1)).alias("u"))
+    )
+    cut = column_quantiles(flagged, ["anomaly_score"], {"cut": 1 - A.CONTAMINATION})["anomaly_score"]["cut"]
+    above = flagged.agg(F.count_if(F.col("anomaly_score") > cut).alias("above"), F.count_if(F.col("anomaly_score") >= cut).alias("upto"))
+    # Rows with the score of the cut itself lie on neither side.
+    wanted = F.floor(F.col("n") * A.CONTAMINATION)
+    kept = F.when((F.col("above") <= wanted + 1) & (F.col("upto") >= wanted), wanted).otherwise(F.col("above"))
+    items = [("rows", F.col("n")), ("scores between 0 and 1", F.col("s")), ("scores of unlike rows", F.col("u")), ("extreme", F.col("x")), ("flagged beyond the cut", kept)]
+    return share.join(above).select(F.inline(F.array(*[F.struct(F.lit(k).alias("item"), v.cast("long").alias("n")) for k, v in items])))
+
+
 @query("U6")
 def anomaly_shares(spark, sf):
     return A.anomaly_summary(A.anomalies(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"]))

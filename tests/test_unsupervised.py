@@ -164,3 +164,39 @@ def test_rows_without_an_outcome_are_left_out(spark):
     df.loc[::6, "churn"] = None
     run = analyze(spark, spark.createDataFrame(df), "churn", gate=False, candidates=("Logistic Regression",))
     assert run.model is not None and run.model.plan.rows == 200
+
+
+def test_bit_vectors_give_the_scores_of_the_walk(spiked):
+    base = materialize(anomalies.robust_z(spiked, ["a", "b"]))
+    nodes, size = anomalies.isolation_trees(base, base.count(), ["a", "b"])
+    values = base.select("a", "b").toPandas().to_numpy()
+    values = np.concatenate([values, nodes["cut"].to_numpy()[:400].reshape(-1, 2), [[np.nan, 1.0], [np.inf, -np.inf]]])
+    depth = np.zeros(len(values))
+    for _, tree in nodes.groupby("tree"):
+        tree = tree.sort_values("node")
+        for i, row in enumerate(values):
+            at = 0
+            while tree["feature"].iat[at] >= 0:
+                at = tree["left"].iat[at] if row[tree["feature"].iat[at]] <= tree["cut"].iat[at] else tree["right"].iat[at]
+            depth[i] += tree["path"].iat[at]
+        if tree["tree"].iat[0] == 11:
+            break
+    few = nodes[nodes["tree"] <= 11]
+    assert few["tree"].nunique() == 12
+    assert np.allclose(anomalies.mean_path(anomalies.leaf_masks(few, 2), values), depth / 12)
+
+
+def test_draws_follow_the_binomial_numbers():
+    limits = anomalies._draw_limits(0.01)
+    assert limits[0] == pytest.approx(0.99**200) and limits == sorted(limits) and limits[-1] == pytest.approx(1)
+    assert anomalies._draw_limits(1.0) == [0.0] * 200
+
+
+def test_every_tree_gets_its_rows(spark):
+    data = materialize(spark.range(3000).selectExpr("CAST(id AS DOUBLE) AS x"))
+    sample, size = anomalies._forest_sample(data, 3000, ["x"])
+    counts = [r["count"] for r in sample.groupBy("tree").count().collect()]
+    assert size == 256 and len(counts) == 200 and set(counts) == {256}
+    assert sample.groupBy("tree", "_key").count().where("count > 1").count() == 0
+    tiny, _ = anomalies._forest_sample(materialize(spark.range(60).selectExpr("CAST(id AS DOUBLE) AS x")), 60, ["x"])
+    assert tiny.count() == 60 * 200
