@@ -119,3 +119,10 @@ def long_rows(wide: DataFrame, records: Sequence[tuple[str, Sequence[Column]]],
         for name, cells in records
     ]
     return wide.select(F.inline(F.array(*structs)))
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of the rows that have both values; null where one of them is constant, in any error mode."""
+    one, other = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.sqrt(F.var_pop(one) * F.var_pop(other))
+    return F.when(spread > 0, F.covar_pop(one, other) / spread)

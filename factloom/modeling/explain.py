@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import col
-from factloom.modeling.scoring import FittedModel
-from factloom.session import scratch_path
+from factloom.modeling.prep import SEED, hash_ranks, label_column
+from factloom.modeling.scoring import FittedModel, part_output
+from factloom.modeling.tournament import choose_metric, fold_scores
+from factloom.session import materialize, scratch_path
 
 TOP_DRIVERS, TOP_REASONS = 10, 3
 
@@ -133,6 +135,43 @@ def with_contributions(model: FittedModel, df: DataFrame) -> tuple[DataFrame, st
     return ready.withColumn("_contrib", F.zip_with("_contrib", slopes, lambda a, b: a + b)), "decision path and linear attribution, not SHAP"
 
 
+def shuffled(data: DataFrame, names: Sequence[str], rows: int, seed: int = SEED) -> DataFrame:
+    """``data`` with ``_other``: the ``names`` of another row. Each row is another's exactly once.
+
+    Two orders by hash of ``_place`` number the rows; rows with the same number in both are joined.
+    """
+    one = hash_ranks(data, rows, None, seed)
+    two = hash_ranks(data, rows, None, seed + 1).select("_rank", F.struct(*[col(n) for n in names]).alias("_other"))
+    return one.join(two, "_rank").drop("_rank")
+
+
+def permutation_drivers(model: FittedModel, df: DataFrame, seed: int = SEED) -> DataFrame:
+    """(column, score, shuffled_score, importance): what the model's score loses when a column is shuffled over all rows.
+
+    A cross-check of the attributions that holds for any model. All rows are scored once for each column,
+    in one pass; a column that the model does not use loses exactly nothing.
+    """
+    plan = model.plan
+    known = df.select(*[col(f) for f in plan.features], label_column(df, plan).alias("_y")).filter(F.col("_y").isNotNull())
+    placed = materialize(known.withColumn("_place", F.monotonically_increasing_id()), "permuted")
+    rows = placed.count()
+    data = materialize(shuffled(placed, plan.features, rows, seed).withColumn("_fold", F.lit(0)), "permuted")
+    kept = ["_y", "_fold"]
+    held = part_output(model.raw, data, plan, "_s").select(*data.columns, "_s")
+    slots = {}
+    for i, name in enumerate(plan.features):
+        slots[f"_s{i}"] = name
+        own = [F.col("_other").getField(name).alias(name) if c == name else col(c) for c in held.columns]
+        back = held.select(*own, col(name).alias("_own"))
+        scored = part_output(model.raw, back, plan, f"_s{i}")
+        held = scored.select(*[F.col("_own").alias(name) if c == name else col(c) for c in scored.columns if c != "_own"])
+    wide = materialize(held.select(*kept, "_s", *slots), "permuted")
+    scores = fold_scores(wide, ["_s", *slots], plan, choose_metric(plan))
+    found = {r["candidate"]: r["score"] for r in scores.collect()}  # one row per column
+    rows_ = [(name, found["_s"], found[slot], found["_s"] - found[slot]) for slot, name in slots.items()]
+    return df.sparkSession.createDataFrame(rows_, "column string, score double, shuffled_score double, importance double")
+
+
 def global_drivers(model: FittedModel, df: DataFrame, top: int = TOP_DRIVERS) -> DataFrame:
     """(feature, weight): mean absolute contribution over all rows, the largest first."""
     scored, _ = with_contributions(model, df)

@@ -24,7 +24,7 @@ from factloom.session import materialize
 ID_SUFFIXES = ("id", "uuid", "guid", "key")
 MIN_ROWS, MAX_CLASSES, MAX_FOLDS, MINORITY_LIMIT = 15, 10, 5, 0.20
 SEED = 42
-MAX_LEVELS, OTHER_LEVEL = 100, "__OTHER__"
+OTHER_LEVEL = "__OTHER__"
 ROWS_PER_BUCKET = 100_000
 
 
@@ -71,10 +71,11 @@ class FeaturePlan:
         return names
 
 
-def plan_features(df: DataFrame, target: str, max_levels: int = MAX_LEVELS) -> FeaturePlan:
+def plan_features(df: DataFrame, target: str, max_levels: int | None = None) -> FeaturePlan:
     """Guards, problem type, usable features, fills and levels, from a few aggregates.
 
-    A text column keeps its ``max_levels`` most frequent levels, which come to the driver; the others share one.
+    A text column keeps all its levels, which are the names of the model's flags; with ``max_levels`` it
+    keeps the most frequent ones and the others share one. Flags are sparse, one entry per row and column.
     """
     if not target or target not in df.columns:
         raise ModelingError(f"Target column '{target}' not present in dataframe.")
@@ -118,16 +119,14 @@ def plan_features(df: DataFrame, target: str, max_levels: int = MAX_LEVELS) -> F
     plan.common = {c: v for c, v in modes(data, plan.categorical).items()}
     if plan.categorical:
         order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-        top = (
-            value_counts(data, plan.categorical)
-            .withColumn("_rn", F.row_number().over(order))
-            .filter(F.col("_rn") <= max_levels + 1)
-        )
-        for r in top.orderBy("column", "_rn").collect():
+        top = value_counts(data, plan.categorical)
+        if max_levels is not None:
+            top = top.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max_levels + 1)
+        for r in top.orderBy("column", F.desc("n"), "value").collect():
             plan.levels.setdefault(r["column"], []).append(r["value"])
             plan.shares.setdefault(r["column"], {})[r["value"]] = r["share"]
         for c, found in plan.levels.items():
-            if len(found) > max_levels:
+            if max_levels is not None and len(found) > max_levels:
                 plan.shares[c].pop(found[-1])
                 found = [*sorted(found[:max_levels]), OTHER_LEVEL]
             plan.levels[c] = found if OTHER_LEVEL in found else sorted(found)
@@ -237,9 +236,18 @@ def fold_count(plan: FeaturePlan) -> int:
 def assign_folds(df: DataFrame, folds: int, rows: int, stratify: str | None, name: str = "_fold", seed: int = SEED) -> DataFrame:
     """Adds a fold number: the rank of a row's hashed ``_place`` within its class, modulo the folds.
 
+    Classes differ by at most one row between folds.
+    """
+    ranked = hash_ranks(df, rows, stratify, seed)
+    return ranked.withColumn(name, (F.col("_rank") % folds).cast("int")).drop("_rank")
+
+
+def hash_ranks(df: DataFrame, rows: int, stratify: str | None = None, seed: int = SEED) -> DataFrame:
+    """Adds ``_rank``, from 0: the place of a row in the order of its hashed ``_place``, within its class if there is one.
+
     Hashes are even, so ranges of them cut a class into buckets of known size, and a row's rank is its
     rank in its bucket after the rows of the lower ones. The number of buckets spreads the work and
-    does not change the ranks. Classes differ by at most one row between folds.
+    does not change the ranks.
     """
     buckets = max(1, -(-rows // ROWS_PER_BUCKET))
     by = [stratify] if stratify else []
@@ -250,7 +258,7 @@ def assign_folds(df: DataFrame, folds: int, rows: int, stratify: str | None, nam
     ahead = sizes.select(*by, "_bucket", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_ahead"))
     inside = Window.partitionBy(*by, "_bucket").orderBy("_order", "_place")
     ranked = marked.withColumn("_rank", F.row_number().over(inside)).join(ahead, [*by, "_bucket"])
-    return ranked.select(*[col(c) for c in df.columns], ((F.col("_rank") - 1 + F.col("_ahead")) % folds).cast("int").alias(name))
+    return ranked.select(*[col(c) for c in df.columns], (F.col("_rank") - 1 + F.col("_ahead")).alias("_rank"))
 
 
 def training_table(df: DataFrame, plan: FeaturePlan) -> DataFrame:

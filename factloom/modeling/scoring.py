@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.columns import col
 from factloom.modeling import metrics as M
-from factloom.modeling.prep import MAX_LEVELS, FeaturePlan, assign_folds, prep_pipeline
+from factloom.modeling.prep import FeaturePlan, assign_folds, prep_pipeline
 from factloom.modeling.tournament import Tournament, candidate, predict_with, run_tournament, verdict
 from factloom.operators.leakage import leakage_messages, leakage_warnings
 from factloom.session import run_jobs
@@ -245,7 +245,7 @@ def holdout(model_parts: list[Part], raw: Part, table: DataFrame, plan: FeatureP
         scored.unpersist()
 
 
-def train(df: DataFrame, target: str, candidates: Sequence[str] | None = None, max_levels: int = MAX_LEVELS) -> tuple[FittedModel, Tournament]:
+def train(df: DataFrame, target: str, candidates: Sequence[str] | None = None, max_levels: int | None = None) -> tuple[FittedModel, Tournament]:
     """Tournament, calibration, holdout and model card."""
     started = time.monotonic()
     spark = df.sparkSession

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from factloom.modeling import metrics as M
 from factloom.modeling.prep import (
-    MAX_LEVELS,
     MINORITY_LIMIT,
     FeaturePlan,
     fold_count,
@@ -253,7 +252,7 @@ def _summaries(scores: DataFrame) -> dict[str, tuple[float, float]]:
     return {r["candidate"]: (r["m"], r["s"] or 0.0) for r in rows if r["m"] is not None}
 
 
-def run_tournament(df: DataFrame, target: str, candidates: Sequence[str] | None = None, max_levels: int = MAX_LEVELS) -> Tournament:
+def run_tournament(df: DataFrame, target: str, candidates: Sequence[str] | None = None, max_levels: int | None = None) -> Tournament:
     """Score all candidates, the baseline and the top-3 ensemble on the same folds."""
     plan = plan_features(df, target, max_levels)
     metric = choose_metric(plan)

@@ -18,6 +18,7 @@ from factloom.functions.columns import (
     long_rows,
     long_values,
     numeric_columns,
+    pearson,
     to_number,
 )
 from factloom.operators.order import broadcast_if_small, exact_quantiles, ordered_prefix
@@ -81,9 +82,7 @@ def correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
     wide = df.agg(
         *[
             F.nanvl(
-                F.corr(
-                    F.when(cells[b].isNotNull(), cells[a]), F.when(cells[a].isNotNull(), cells[b])
-                ),
+                pearson(cells[a], cells[b]),
                 F.lit(None).cast("double"),
             ).alias(f"r{i}")
             for i, (a, b) in enumerate(pairs)
@@ -251,7 +250,7 @@ def target_correlations(df: DataFrame, target: str) -> DataFrame:
     names = [*numbers, *texts]
     wide = data.agg(
         *[
-            finite_double(F.corr(F.when(F.col("_y").isNotNull(), col(n)), F.when(col(n).isNotNull(), F.col("_y")))).alias(f"r{i}")
+            finite_double(pearson(col(n), F.col("_y"))).alias(f"r{i}")
             for i, n in enumerate(names)
         ]
     )

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.columns import as_double, clean_value, col, fused_agg, is_nested, is_numeric
+from factloom.functions.columns import as_double, clean_value, col, fused_agg, is_nested, is_numeric, pearson
 from factloom.operators.charts import string_codes
 from factloom.operators.groups import crosstab_purity
 from factloom.operators.order import average_ranks, column_quantiles
@@ -83,7 +83,7 @@ def leakage_measures(df: DataFrame, target: str, classification: bool) -> DataFr
         aggs.append(F.avg(F.when(value.isNotNull(), (value.cast("string") == text).cast("double"))).alias(f"e{i}"))
         if is_numeric(df.schema[n].dataType):
             x = as_double(df, n)
-            aggs.append(F.nanvl(F.corr(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)), F.lit(None).cast("double")).alias(f"r{i}"))
+            aggs.append(F.nanvl(pearson(x, y), F.lit(None).cast("double")).alias(f"r{i}"))
         else:
             aggs.append(F.lit(None).cast("double").alias(f"r{i}"))
     wide = data.agg(*aggs)
@@ -165,7 +165,7 @@ def leaking_columns(df: DataFrame, target: str, kinds: dict[str, str], problem:
         medians = column_quantiles(df, numeric, {"median": 0.5})
         wide = data.agg(
             *[
-                F.nanvl(F.corr(F.coalesce(as_double(df, n), F.lit(medians[n]["median"])), F.col("_y")), F.lit(None).cast("double")).alias(f"r{i}")
+                F.nanvl(pearson(F.coalesce(as_double(df, n), F.lit(medians[n]["median"])), F.col("_y")), F.lit(None).cast("double")).alias(f"r{i}")
                 for i, n in enumerate(numeric)
                 if n in medians
             ]

@@ -193,11 +193,15 @@ def _json(spark: SparkSession, path: str, encoding: str, bad: str, **options: bo
 def read_json(spark: SparkSession, path: str, encoding: str = "UTF-8", bad: str = "raise") -> DataFrame:
     """JSON documents: a list of records, an object of columns, or records nested anywhere inside.
 
-    A folder in which every file is one object holds documents, whose records are stacked.
+    A folder in which every file is one object holds documents, whose records are stacked; records of a
+    list, also of a list of one, stay as they are.
     """
     raw = _json(spark, path, encoding, bad, multiLine=True)
+    # A list of one record is a list, as its first sign shows.
+    first = F.regexp_extract("value", r"^[\s\ufeff]*(.)", 1)
+    listed = spark.read.text(path, wholetext=True).agg(F.max(first == "[").alias("listed")).first()["listed"]
     files = raw.select(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("file").alias("files")).first()
-    return unpack_records(raw, files["rows"] == files["files"])
+    return unpack_records(raw, not listed and files["rows"] == files["files"])
 
 
 def read_json_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", bad: str = "raise") -> DataFrame:

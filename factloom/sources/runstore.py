@@ -82,7 +82,9 @@ class RunStore:
         shape = SHAPES[name] + (", shard int" if sharded else "")
         try:
             return self.spark.read.schema(shape).parquet(f"{self.path}/{name}")
-        except AnalysisException:
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":  # only a table that was never written is empty
+                raise
             return self.spark.createDataFrame([], shape)
 
     def append(self, name: str, rows: DataFrame) -> None:

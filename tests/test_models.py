@@ -180,7 +180,7 @@ def test_analysis_with_outcome(spark, signal):
     assert run.info["target"] == "Churn" and run.model is not None
     kinds = {r["kind"] for r in run.findings.collect()}
     assert {"model", "base_rate", "gains"} <= kinds
-    assert run.recommendations.orderBy("priority").first()["title"].startswith("Act first on the 40")
+    assert run.recommendations.orderBy("priority").first()["title"].startswith("Start with the 40")
     assert run.report(spark).filter("section = 'benchmark'").count() == 3
     assert run.tables["scored"].count() == run.cleaned.count()
 
@@ -194,3 +194,22 @@ def test_analysis_without_business_columns(spark):
 def test_empty_table(spark):
     with pytest.raises(ValueError, match="empty"):
         analyze(spark, spark.createDataFrame([], "a int"))
+
+
+def test_permutation_drivers(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"x": rng.normal(size=400), "z": rng.normal(size=400), "flat": np.ones(400), "kind": rng.choice(["a", "b", "c"], 400)})
+    pdf["hit"] = np.where(pdf["x"] + rng.normal(size=400) * 0.2 > 0, "Yes", "No")
+    df = spark.createDataFrame(pdf)
+    model, _ = scoring.train(df, "hit", ("Decision Tree",))
+    found = {r["column"]: r for r in explain.permutation_drivers(model, df).collect()}
+    assert set(found) == {"x", "z", "flat", "kind"}
+    assert found["flat"]["importance"] == 0 and found["x"]["importance"] > 0.3
+    assert found["x"]["importance"] > 5 * abs(found["z"]["importance"])
+
+
+def test_all_levels_are_kept_unless_limited(spark):
+    df = spark.createDataFrame([(i % 2, f"level {i % 150}", float(i)) for i in range(600)], "y int, city string, x double")
+    assert len(plan_features(df, "y").levels["city"]) == 150
+    few = plan_features(df, "y", max_levels=20).levels["city"]
+    assert len(few) == 21 and few[-1] == "__OTHER__"

@@ -217,3 +217,17 @@ def test_one_layout_for_a_date_column(spark):
     df = spark.createDataFrame([("13/02/2024",), ("03/02/2024",), ("28/03/2024",), ("junk",), (None,)], "d string")
     found = [r["d"] for r in readers.parse_date_column(df, "d").collect()]
     assert [None if x is None else (x.day, x.month) for x in found] == [(13, 2), (3, 2), (28, 3), None, None]
+
+
+def test_a_list_of_one_record_is_a_list(spark, tmp_path):
+    (tmp_path / "one.json").write_text('\n [{"id": 1, "parts": [{"p": 1}, {"p": 2}]}]')
+    (tmp_path / "two.json").write_text('[{"id": 1, "parts": [{"p": 1}, {"p": 2}]}, {"id": 2, "parts": []}]')
+    (tmp_path / "object.json").write_text('{"id": 1, "parts": [{"p": 1}, {"p": 2}]}')
+    read = lambda name: readers.read_json(spark, str(tmp_path / name))
+    assert read("one.json").count() == 1 and read("two.json").count() == 2
+    assert read("one.json").columns == read("two.json").columns and "p" in read("object.json").columns
+
+
+def test_only_a_missing_table_of_the_store_is_empty(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "store"))
+    assert store.table("runs").count() == 0
