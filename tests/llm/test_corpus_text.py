@@ -9,9 +9,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import SF
 from corpus_cases import documents, near_classes, removed, shingles, texts
+from oracle import duck
 
-from factloom.llm import idfiles, lengths, neardup, packing, substring, transducer
+from factloom.llm import idfiles, lengths, neardup, packing, queries, substring, transducer
 from factloom.llm.encoding import Encoder, tokenizer_text
 from factloom.llm.links import components
 
@@ -257,3 +259,13 @@ def test_long_words_alike_to_a_polynomial_are_told_apart(spark):
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(copies, 4).collect()} == {i: i for i in range(1, 5)}
     passages = documents(spark, [(1, " ".join([one, *map(str, range(60))])), (2, " ".join([other, *map(str, range(49))]))])
     assert {r["n_removed"] for r in substring.remove_repeats(passages, 50).collect()} == {0}
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_twins(spark, name):
+    """The SQL of a query gives its rows on whole tables."""
+    found = queries.QUERIES[name](spark, SF)
+    cursor = duck(SF).execute(queries.SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(found.columns)
+    assert sorted(map(tuple, found.select(*names).collect())) == sorted(cursor.fetchall())
