@@ -17,6 +17,7 @@ from factloom.operators import features as X
 from factloom.operators import leakage as L
 from factloom.plans.registry import query, r, rounded, table
 from factloom.session import materialize, scratch_path
+from factloom.streaming.scoring import validated_stream
 
 _LEAK = """d AS (SELECT l_linestatus AS status, l_linestatus AS status_copy, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS open_flag,
   l_quantity, l_tax, l_returnflag FROM lineitem),
@@ -258,7 +259,8 @@ _CONTRACT = """v AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL EL
   k AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi, list(DISTINCT n_name) AS names FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
-def _validated(spark: SparkSession, sf: str) -> DataFrame:
+def _arrivals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers to check, the contract and its categories."""
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
     supplier = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_acctbal").alias("balance"), F.col("n_name").alias("nation")
@@ -269,7 +271,11 @@ def _validated(spark: SparkSession, sf: str) -> DataFrame:
         F.when(key % 11 != 0, F.col("c_acctbal")).alias("balance"),
         F.when(key % 13 == 0, "ATLANTIS").when(key % 17 == 0, "").otherwise(F.col("n_name")).alias("nation"),
     )
-    return P.validate_rows(customer, P.schema_contract(supplier), P.contract_categories(supplier))
+    return customer, P.schema_contract(supplier), P.contract_categories(supplier)
+
+
+def _validated(spark: SparkSession, sf: str) -> DataFrame:
+    return P.validate_rows(*_arrivals(spark, sf))
 
 
 @query(
@@ -299,6 +305,32 @@ def quarantined_rows(spark, sf):
     return P.split_valid(_validated(spark, sf))[1].select("c_custkey", "violation")
 
 
+@query(
+    "P1 P2 P3 J1",
+    f"""WITH {_CONTRACT}, s AS (SELECT *, balance IS NULL OR nation = '' OR balance < lo OR balance > hi OR NOT list_contains(names, nation) AS bad, least(1.0, greatest(0.0, (balance + 1000) / 11000)) AS p FROM v, k)
+    SELECT c_custkey, CASE WHEN bad THEN 'quarantine' ELSE 'scored' END AS sink, CASE WHEN NOT bad THEN CASE WHEN p >= 0.45 THEN 'Yes' ELSE 'No' END END AS prediction,
+    CASE WHEN NOT bad THEN CASE WHEN p < 0.35 THEN 'Low' WHEN p < 0.7 THEN 'Medium' ELSE 'High' END END AS risk_tier FROM s""",
+)
+def streamed_decisions(spark, sf):
+    """Customers arrive as files, one batch a file; the stream is stopped, gets more files and goes on behind its checkpoint."""
+    arriving, out = scratch_path(spark, "arriving"), scratch_path(spark, "streamed")
+    rows, contract, categories = _arrivals(spark, sf)
+    chance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("balance") + 1000) / 11000))
+
+    def score(valid: DataFrame) -> DataFrame:
+        return P.with_decision(valid.withColumn("p", chance), "p", 0.45, ["No", "Yes"], "churn").select("c_custkey", "prediction", "risk_tier")
+
+    late = F.pmod(F.xxhash64("c_custkey"), F.lit(2)) == 0
+    for wave in (~late, late):
+        rows.where(wave).repartition(3).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+        for running in validated_stream(stream, score, contract, categories, out, f"{out}/progress"):
+            running.awaitTermination()
+    sent = spark.read.parquet(f"{out}/scored").withColumn("sink", F.lit("scored"))
+    held = spark.read.parquet(f"{out}/quarantine").select("c_custkey", F.lit("quarantine").alias("sink"))
+    return sent.unionByName(held, allowMissingColumns=True)
+
+
 @query(
     "P2 P3 P4",
     f"""SELECT o_orderkey, CASE WHEN {_P} >= 0.45 THEN 'Yes' ELSE 'No' END AS prediction,

@@ -190,6 +190,17 @@ def sheet_cells_to_table(spark, sf):
     return R.infer_types(W.cells_to_table(W.promote_header(picked)).drop("path", "row"))
 
 
+@query("S11 S12", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, '<' || c_mktsegment || ' & more>' AS segment FROM customer")
+def workbook_round_trip(spark, sf):
+    """Customers written as workbooks of a few hundred rows and read back, each sheet by a task of its own."""
+    path = scratch_path(spark, "books")
+    rows = table(spark, sf, "customer").select(
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal", F.concat(F.lit("<"), "c_mktsegment", F.lit(" & more>")).alias("segment")
+    )
+    W.write_workbooks(rows, path, 400)
+    return W.read_workbooks(spark, path)
+
+
 @query("S13", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES))
 def table_sizes(spark, sf):
     return T.table_sizes({t: table(spark, sf, t) for t in TABLES})
@@ -279,6 +290,22 @@ def run_overview(spark, sf):
     return S.run_overview(runs.select("run_id", "filename"), children)
 
 
+@query(
+    "K5 K6 J2 J4",
+    """SELECT CAST(n_nationkey AS VARCHAR) AS run_id, n_name AS filename, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS predictions_count,
+    (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS insights_count FROM nation""",
+)
+def retried_save(spark, sf):
+    """A first attempt dies before it is finished, a second saves all runs, a third repeats it: every row counts once."""
+    source, target = stored(spark, sf), S.RunStore(spark, scratch_path(spark, "retried"))
+    parts = {n: source.table(n) for n in ("predictions", "insights", "runs")}
+    target.stage("run", "died", **parts)
+    for _ in range(2):
+        target.commit("run", **parts)
+    children = {n: target.table(n) for n in ("predictions", "insights")}
+    return S.run_overview(target.table("runs").select("run_id", "filename"), children)
+
+
 @query("J3 J4 G8", "SELECT CAST(n_nationkey AS VARCHAR) AS run_id, n_name AS filename FROM nation WHERE n_regionkey = 2")
 def run_list(spark, sf):
     return stored(spark, sf).list("owner2").select("run_id", "filename")

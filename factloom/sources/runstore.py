@@ -1,8 +1,14 @@
-"""Stored analysis runs: five append-only tables and tombstones, keyed by run_id."""
+"""Stored analysis runs: five append-only tables, tombstones and commits, keyed by run_id.
+
+A write that may be repeated stages its rows under an attempt and names the attempt in ``commits`` as its last
+step. Readers take rows of no attempt, and of the first attempt that finished each part of a run, so a repeated
+write adds nothing and one that died halfway is never seen.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -17,6 +23,7 @@ SHAPES = {
     "chat_messages": "item_id bigint, role string, content string, created_at timestamp, run_id string",
     "predictions": "item_id bigint, inputs string, output string, created_at timestamp, run_id string",
     "tombstones": "deleted_at timestamp, run_id string",
+    "commits": "part string, attempt string, committed_at timestamp, run_id string",
 }
 CHILDREN = ("charts", "insights", "chat_messages", "predictions")
 SHARDS = 256
@@ -71,6 +78,17 @@ def latest_per_run(child: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
     return child.withColumn("position", F.row_number().over(newest)).filter(F.col("position") <= k)
 
 
+def _names(shape: str) -> list[str]:
+    return [part.strip().split(" ")[0] for part in shape.split(",")]
+
+
+def finished(rows: DataFrame, commits: DataFrame) -> DataFrame:
+    """Rows of no attempt, and those of the first attempt that finished each part of a run."""
+    first = commits.groupBy("run_id", "part").agg(F.min_by("attempt", F.struct("committed_at", "attempt")).alias("attempt"))
+    staged = rows.where("attempt IS NOT NULL").join(first.drop("part"), ["run_id", "attempt"], "left_semi")
+    return rows.where("attempt IS NULL").unionByName(staged).drop("attempt")
+
+
 class RunStore:
     """The tables of a store folder. Children are written before the run row makes them visible."""
 
@@ -78,8 +96,9 @@ class RunStore:
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def table(self, name: str, sharded: bool = False) -> DataFrame:
-        shape = SHAPES[name] + (", shard int" if sharded else "")
+    def _stored(self, name: str) -> DataFrame:
+        """All stored rows with their attempt and shard."""
+        shape = SHAPES[name] + ("" if name == "commits" else ", attempt string") + ", shard int"
         try:
             return self.spark.read.schema(shape).parquet(f"{self.path}/{name}")
         except AnalysisException as exc:
@@ -87,20 +106,50 @@ class RunStore:
                 raise
             return self.spark.createDataFrame([], shape)
 
-    def append(self, name: str, rows: DataFrame) -> None:
+    def table(self, name: str, run_id: str | None = None) -> DataFrame:
+        """The rows readers may see; with ``run_id`` only that run's folders are read."""
+        rows, commits = self._stored(name), self._stored("commits")
+        if run_id is not None:
+            own = (F.col("shard") == shard_of(F.lit(run_id))) & (F.col("run_id") == run_id)
+            rows, commits = rows.filter(own), commits.filter(own)
+        rows = rows.drop("shard")
+        return rows if name == "commits" else finished(rows, commits)
+
+    def append(self, name: str, rows: DataFrame, attempt: str | None = None) -> None:
         """Rows go to folders by a hash of the run, so their number does not grow with the runs.
 
-        Rebalancing joins small writes and splits the folder of a run with very many rows.
+        Rebalancing joins small writes and splits the folder of a run with very many rows. Rows of an
+        attempt stay unseen until ``finish`` names it.
         """
-        names = [part.strip().split(" ")[0] for part in SHAPES[name].split(",")]
-        placed = rows.select(*names, shard_of(F.col("run_id")).alias("shard"))
+        extra = [] if name == "commits" else [F.lit(attempt).cast("string").alias("attempt")]
+        placed = rows.select(*_names(SHAPES[name]), *extra, shard_of(F.col("run_id")).alias("shard"))
         spread = placed.hint("rebalance", F.col("shard"))
         spread.write.mode("append").partitionBy("shard").parquet(f"{self.path}/{name}")
 
     def of_run(self, name: str, run_id: str) -> DataFrame:
         """One run's rows; only its folder is read."""
-        shard = shard_of(F.lit(run_id))
-        return self.table(name, sharded=True).filter((F.col("shard") == shard) & (F.col("run_id") == run_id)).drop("shard")
+        return self.table(name, run_id)
+
+    def _open(self, part: str, rows: DataFrame) -> DataFrame:
+        """Rows of runs that do not have this part yet."""
+        done = self._stored("commits").where(F.col("part") == part).select("run_id")
+        return rows.join(done, "run_id", "left_anti")
+
+    def stage(self, part: str, attempt: str, **tables: DataFrame) -> None:
+        """Write tables with a run_id under an attempt; runs that have the part already are left out."""
+        for name, rows in tables.items():
+            self.append(name, self._open(part, rows), attempt)
+
+    def finish(self, part: str, attempt: str, runs: DataFrame) -> None:
+        """Show what the attempt staged: one row for each of ``runs`` (run_id), so a run has all of it or nothing."""
+        marks = self._open(part, runs.select("run_id").distinct())
+        self.append("commits", marks.select("run_id", F.lit(part).alias("part"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("committed_at")))
+
+    def commit(self, part: str, **tables: DataFrame) -> None:
+        """Stage tables as one part of all their runs and finish. May be repeated, also by several writers at once."""
+        attempt = uuid.uuid4().hex
+        self.stage(part, attempt, **tables)
+        self.finish(part, attempt, reduce(DataFrame.unionByName, [t.select("run_id") for t in tables.values()]))
 
     def save(
         self,
@@ -112,19 +161,20 @@ class RunStore:
         user_id: str | None = None,
         **children: DataFrame,
     ) -> str:
-        """Append the parts given as tables, then the run itself."""
-        for name in CHILDREN:
-            part = children.get(name)
-            if part is not None:
-                self.append(name, part.withColumn("run_id", F.lit(run_id)))
+        """The run and the parts given as tables, all or nothing; saving a run again adds nothing."""
         row = [(user_id, filename, target, problem_type, json.dumps(model_card or {}, default=str), run_id)]
         shape = "user_id string, filename string, target string, problem_type string, model_card string, run_id string"
         head = self.spark.createDataFrame(row, shape).withColumn("created_at", F.current_timestamp())
-        self.append("runs", head)
+        parts = {n: children[n].withColumn("run_id", F.lit(run_id)) for n in CHILDREN if children.get(n) is not None}
+        attempt = uuid.uuid4().hex
+        self.stage("run", attempt, **parts, runs=head)
+        self.finish("run", attempt, head)
         return run_id
 
-    def add_predictions(self, run_id: str, scored: DataFrame, inputs: Sequence[str], outputs: Sequence[str]) -> None:
-        """Batch predictions as records: inputs and outputs as JSON."""
+    def add_predictions(
+        self, run_id: str, scored: DataFrame, inputs: Sequence[str], outputs: Sequence[str], batch: str | None = None
+    ) -> None:
+        """Batch predictions as records: inputs and outputs as JSON. A batch that has a name is added once."""
         rows = scored.select(
             F.xxhash64(*inputs).alias("item_id"),
             F.to_json(F.struct(*inputs)).alias("inputs"),
@@ -132,7 +182,12 @@ class RunStore:
             F.current_timestamp().alias("created_at"),
             F.lit(run_id).alias("run_id"),
         )
-        self.append("predictions", rows)
+        if batch is None:
+            self.append("predictions", rows)
+            return
+        attempt, part = uuid.uuid4().hex, f"predictions {batch}"
+        self.stage(part, attempt, predictions=rows)
+        self.finish(part, attempt, self.spark.createDataFrame([(run_id,)], "run_id string"))
 
     def list(self, caller: str | None = None) -> DataFrame:
         runs = visible_runs(self.table("runs"), self.table("tombstones"), caller, strict=True)
@@ -158,10 +213,10 @@ class RunStore:
         return True
 
     def compact(self, target: str) -> RunStore:
-        """A copy of the store without deleted runs."""
+        """A copy of the store without deleted runs and unfinished attempts; it still knows the parts it has."""
         copy = RunStore(self.spark, target)
         gone = self.table("tombstones").select("run_id")
-        for name in (*CHILDREN, "runs"):
+        for name in (*CHILDREN, "runs", "commits"):
             kept = self.table(name).join(gone, "run_id", "left_anti")
             if kept.limit(1).count():
                 copy.append(name, kept)

@@ -7,8 +7,12 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,9 @@ from factloom.functions.columns import col
 HEADER_ROWS, HEADER_SHARE = 30, 0.5
 CELLS = "path string, sheet string, row int, col int, value string"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+# Signs that XML cannot hold are written as _xHHHH_, and so is an underscore that begins such a form.
+_UNSAFE = re.compile(r"[\x00-\x08\x0b-\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
+_CODED = re.compile(r"_x([0-9A-Fa-f]{4})_")
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
@@ -27,11 +34,25 @@ def _column_number(reference: str) -> int:
     return number - 1
 
 
+def _column_letters(number: int) -> str:
+    letters = ""
+    number += 1
+    while number:
+        number, digit = divmod(number - 1, 26)
+        letters = chr(65 + digit) + letters
+    return letters
+
+
 def _texts(book: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in book.namelist():
         return []
     root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-    return ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in root.iter(f"{_MAIN}si")]
+    return [_text(item) for item in root.iter(f"{_MAIN}si")]
+
+
+def _text(node: ElementTree.Element) -> str:
+    whole = "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
+    return _CODED.sub(lambda m: chr(int(m.group(1), 16)), whole)
 
 
 def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
@@ -45,30 +66,33 @@ def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return names
 
 
-def _cells(path: str, content: bytes) -> Iterator[tuple]:
+def _cells(path: str, content: bytes, sheet: str, member: str) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         texts = _texts(book)
-        for sheet, member in _sheets(book):
-            with book.open(member) as stream:
-                for _, node in ElementTree.iterparse(stream):
-                    if node.tag != f"{_MAIN}row":
-                        continue
-                    row = int(node.get("r")) - 1
-                    for cell in node.iter(f"{_MAIN}c"):
-                        kind, raw = cell.get("t"), cell.findtext(f"{_MAIN}v")
-                        if kind == "inlineStr":
-                            raw = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
-                        elif kind == "s" and raw is not None:
-                            raw = texts[int(raw)]
-                        elif kind == "b" and raw is not None:
-                            raw = "true" if raw == "1" else "false"
-                        if raw not in (None, ""):
-                            yield path, sheet, row, _column_number(cell.get("r")), raw
-                    node.clear()
+        with book.open(member) as stream:
+            for _, node in ElementTree.iterparse(stream):
+                if node.tag != f"{_MAIN}row":
+                    continue
+                row = int(node.get("r")) - 1
+                for cell in node.iter(f"{_MAIN}c"):
+                    kind, raw = cell.get("t"), cell.findtext(f"{_MAIN}v")
+                    if kind == "inlineStr":
+                        raw = _text(cell)
+                    elif kind == "s" and raw is not None:
+                        raw = texts[int(raw)]
+                    elif kind == "b" and raw is not None:
+                        raw = "true" if raw == "1" else "false"
+                    if raw not in (None, ""):
+                        yield path, sheet, row, _column_number(cell.get("r")), raw
+                node.clear()
 
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row, col, value) for the non-empty cells of all workbooks under a path."""
+    """(path, sheet, row, col, value) for the non-empty cells of all workbooks under a path.
+
+    The sheets are listed first; each (file, sheet) is then a row of its own that any task may read. The
+    format bounds a sheet to 1,048,576 rows.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -77,19 +101,103 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
         .select("path", "content")
     )
 
+    def index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for file, content in zip(part["path"], part["content"]):
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as book:
+                    listed = [(file, sheet, member) for sheet, member in _sheets(book)]
+                yield pd.DataFrame(listed, columns=["path", "sheet", "member"])
+
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "sheet", "row", "col", "value"]
         for part in parts:
-            for file, content in zip(part["path"], part["content"]):
+            for file, content, sheet, member in zip(part["path"], part["content"], part["sheet"], part["member"]):
                 batch: list[tuple] = []
-                for cell in _cells(file, bytes(content)):
+                for cell in _cells(file, bytes(content), sheet, member):
                     batch.append(cell)
                     if len(batch) >= 10_000:
                         yield pd.DataFrame(batch, columns=names)
                         batch = []
                 yield pd.DataFrame(batch, columns=names)
 
-    return files.mapInPandas(read, CELLS)
+    sheets = files.mapInPandas(index, "path string, sheet string, member string")
+    return files.join(sheets, "path").repartition("path", "sheet").mapInPandas(read, CELLS)
+
+
+def _book(names: list[str], rows: list[tuple]) -> bytes:
+    """One workbook with one sheet: a header row, then the rows; numbers as numbers, all else as text."""
+    letters = [_column_letters(i) for i in range(len(names))]
+
+    def cell(at: str, value: object) -> str:
+        if value is None or value != value:
+            return ""
+        if isinstance(value, bool):
+            return f'<c r="{at}" t="b"><v>{int(value)}</v></c>'
+        if isinstance(value, (int, float)) and abs(value) != float("inf"):
+            return f'<c r="{at}"><v>{value!r}</v></c>'
+        text = _UNSAFE.sub(lambda m: f"_x{ord(m.group()):04X}_", str(value))
+        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+    lines = [
+        f'<row r="{i}">' + "".join(cell(f"{letter}{i}", v) for letter, v in zip(letters, row)) + "</row>"
+        for i, row in enumerate([tuple(names), *rows], 1)
+    ]
+    space, link = _MAIN[1:-1], _LINK[1:-1]
+    package = "http://schemas.openxmlformats.org/package/2006"
+    office = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    members = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+        f'<Override PartName="/xl/workbook.xml" ContentType="{office}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{office}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{link}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{space}" xmlns:r="{link}"><sheets><sheet name="data" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{link}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{space}"><sheetData>{"".join(lines)}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in members.items():
+            book.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + text)
+    return out.getvalue()
+
+
+def write_workbooks(df: DataFrame, path: str, rows_per_file: int = 50_000) -> int:
+    """Write a table as a folder of workbooks of at most ``rows_per_file`` rows; the number of files.
+
+    A file is named after its partition and place and moved there when whole, so a repeated task
+    replaces it. ``path`` is a folder that all executors can write to.
+    """
+    names, (target, root) = df.columns, _filesystem(path)
+    target.create_dir(root, recursive=True)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = _filesystem(path)
+        task = TaskContext.get()
+        rows: list[tuple] = []
+        written = 0
+
+        def put() -> None:
+            name = f"{folder}/part-{task.partitionId():05d}-{written:05d}"
+            draft = f"{name}.{task.taskAttemptId()}.draft"
+            with files.open_output_stream(draft) as out:
+                out.write(_book(names, rows))
+            files.move(draft, f"{name}.xlsx")
+
+        for part in parts:
+            for row in zip(*[c.to_pylist() for c in part.columns]):
+                rows.append(row)
+                if len(rows) == rows_per_file:
+                    put()
+                    rows, written = [], written + 1
+        if rows:
+            put()
+            written += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+
+    return df.mapInArrow(run, "files long").agg(F.sum("files").alias("n")).first()["n"] or 0
+
+
+def _filesystem(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
 def largest_sheet(cells: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.sources import readers, sinks
+from factloom.sources import workbook as W
 from factloom.sources.runstore import RunStore
 from factloom.sources.workbook import first_full_row_header
 
@@ -231,3 +232,44 @@ def test_a_list_of_one_record_is_a_list(spark, tmp_path):
 def test_only_a_missing_table_of_the_store_is_empty(spark, tmp_path):
     store = RunStore(spark, str(tmp_path / "store"))
     assert store.table("runs").count() == 0
+
+
+def test_workbooks_keep_signs_types_and_blanks(spark, tmp_path):
+    rows = [(1, "a & <b>", 1.5, True), (2, "_x0041_ \x01 tab\tline\nend\r", None, False), (None, "  spaced ", -2.0, None)]
+    out = str(tmp_path / "books")
+    assert W.write_workbooks(spark.createDataFrame(rows, "n long, t string, v double, b boolean").coalesce(1), out, 2) == 2
+    cells = W.workbook_cells(spark, out)
+    found = W.cells_to_table(W.promote_header(cells)).select("n", "t", "v", "b").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(
+        [("1", "a & <b>", "1.5", "true"), ("2", "_x0041_ \x01 tab\tline\nend\r", None, "false"), (None, "  spaced ", "-2.0", None)], key=str
+    )
+    assert [W._column_number(W._column_letters(i) + "1") for i in (0, 25, 26, 701, 702)] == [0, 25, 26, 701, 702]
+    assert W.write_workbooks(spark.range(0), str(tmp_path / "none")) == 0
+
+
+def test_a_repeated_save_adds_nothing(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "store"))
+    notes = spark.createDataFrame([(1, "a", "rules"), (2, "b", "rules")], "item_id bigint, text string, source string")
+    store.stage("run", "died", insights=notes.withColumn("run_id", F.lit("r1")))
+    assert store.get("r1") is None and store.table("insights").count() == 0
+    for _ in range(2):
+        store.save("r1", "a.csv", insights=notes)
+    assert store.list().count() == 1 and store.table("insights").count() == 2 == store.get("r1")["insights"].count()
+
+    # Two writers that both staged before either finished: the first to finish counts.
+    head = store.table("runs").withColumn("run_id", F.lit("r2"))
+    for attempt in ("x", "y"):
+        store.stage("run", attempt, insights=notes.withColumn("run_id", F.lit("r2")), runs=head)
+    for attempt in ("y", "x"):
+        store.finish("run", attempt, head)
+    assert store.get("r2")["insights"].count() == 2 and store.list().count() == 2
+
+    scored = spark.createDataFrame([(3.0, "Yes")], "tenure double, prediction string")
+    for _ in range(2):
+        store.add_predictions("r1", scored, ["tenure"], ["prediction"], batch="monday")
+    store.add_predictions("r1", scored, ["tenure"], ["prediction"])
+    assert store.table("predictions").count() == 2
+
+    copy = store.compact(str(tmp_path / "copy"))
+    copy.save("r1", "a.csv", insights=notes)
+    assert copy.table("insights").count() == 4 and copy.list().count() == 2 and copy.table("predictions").count() == 2
