@@ -118,8 +118,9 @@ def with_contributions(model: FittedModel, df: DataFrame) -> tuple[DataFrame, st
     members = [m for _, m in part.members if _coefficients(m) is None]
     trees: list = []
     for m in members:
-        for inner in getattr(m, "models", [m]):
-            trees += tree_nodes(inner)
+        for inner in getattr(m, "stages", [m]):
+            if hasattr(inner, "trees") or hasattr(inner, "numNodes"):
+                trees += tree_nodes(inner)
     shared = df.sparkSession.sparkContext.broadcast((trees, float(len(part.members))))
 
     @F.pandas_udf("array<double>")

@@ -183,9 +183,10 @@ def feature_importance(part: Part, plan: FeaturePlan, top: int = TOP_FEATURES) -
             values = [abs(v) for v in model.coefficients.toArray()]
         else:
             values = [0.0] * len(names)
-            for inner in model.models:
+            inside = [m for m in model.stages if hasattr(m, "featureImportances")]
+            for inner in inside:
                 for i, v in enumerate(inner.featureImportances.toArray()):
-                    values[i] += v / len(model.models)
+                    values[i] += v / len(inside)
         lists.append(values)
     if len(lists) > 1:
         lists = [[v / (sum(vs) or 1.0) for v in vs] for vs in lists]

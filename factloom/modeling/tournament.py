@@ -11,7 +11,6 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
@@ -33,6 +32,7 @@ from factloom.modeling.prep import (
     prep_pipeline,
     training_table,
 )
+from factloom.modeling.softmax import PROBABILITIES, SoftmaxBoosting
 from factloom.session import materialize, run_jobs
 
 # Sizes of the candidates and limits of the verdict.
@@ -101,16 +101,16 @@ def candidate(name: str, plan: FeaturePlan, label_std: float = 1.0):
 
     def boosted(**size):
         if len(plan.classes) == 2:
-            return GBTClassifier(seed=SEED, **size, **common)
-        inner = GBTClassifier(seed=SEED, **size)
-        return OneVsRest(classifier=inner, labelCol="_y", featuresCol="features", weightCol="_w", parallelism=2)
+            names = {"rounds": "maxIter", "depth": "maxDepth", "step": "stepSize"}
+            return GBTClassifier(seed=SEED, **{names[k]: v for k, v in size.items()}, **common)
+        return SoftmaxBoosting(len(plan.classes), **size)
 
     return {
         "Logistic Regression": lambda: LogisticRegression(
             maxIter=800, regParam=1.0 / plan.rows, standardization=False, **common
         ),
         "Decision Tree": lambda: DecisionTreeClassifier(maxDepth=TREE_DEPTH, seed=SEED, **common),
-        "Gradient Boosting": lambda: boosted(maxIter=BOOST_ROUNDS),
+        "Gradient Boosting": lambda: boosted(rounds=BOOST_ROUNDS),
         "Random Forest": lambda: RandomForestClassifier(
             numTrees=TREES, minInstancesPerNode=LEAF_ROWS, maxDepth=FOREST_DEPTH, seed=SEED, **common
         ),
@@ -119,7 +119,7 @@ def candidate(name: str, plan: FeaturePlan, label_std: float = 1.0):
             featureSubsetStrategy="sqrt", seed=SEED, **common
         ),
         "Gradient Boosting (shallow)": lambda: boosted(
-            maxIter=SHALLOW_ROUNDS, maxDepth=SHALLOW_DEPTH, stepSize=SHALLOW_STEP
+            rounds=SHALLOW_ROUNDS, depth=SHALLOW_DEPTH, step=SHALLOW_STEP
         ),
     }[name]()
 
@@ -127,13 +127,9 @@ def candidate(name: str, plan: FeaturePlan, label_std: float = 1.0):
 def class_scores(model: Model, data: DataFrame, classes: int) -> DataFrame:
     """Adds ``_p``: class probabilities as an array, for any of the candidates."""
     scored = model.transform(data)
-    if "probability" in scored.columns:
-        out = scored.withColumn("_p", vector_to_array("probability"))
-    else:
-        raw = vector_to_array("rawPrediction")
-        odds = F.transform(raw, lambda m: 1 / (1 + F.exp(-m)))
-        total = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
-        out = scored.withColumn("_p", F.transform(odds, lambda o: o / total))
+    if PROBABILITIES in scored.columns:
+        return scored.withColumnRenamed(PROBABILITIES, "_p")
+    out = scored.withColumn("_p", vector_to_array("probability"))
     return out.drop("rawPrediction", "probability", "prediction")
 
 

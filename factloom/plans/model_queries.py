@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +12,10 @@ from factloom.modeling import metrics as M
 from factloom.modeling import predict as P
 from factloom.modeling.explain import global_drivers, importance_reasons, row_reasons, shuffled
 from factloom.modeling.explain import permutation_drivers as permuted
-from factloom.modeling.prep import ModelingError, assign_folds, class_weights, plan_features, prep_pipeline
+from factloom.modeling.prep import ModelingError, assign_folds, class_weights, plan_features, prep_pipeline, training_table
 from factloom.modeling.scoring import FittedModel, load_model, save_model, train
-from factloom.modeling.tournament import Tournament, run_tournament
+from factloom.modeling.softmax import SoftmaxBoosting
+from factloom.modeling.tournament import Tournament, class_scores, run_tournament
 from factloom.operators import features as X
 from factloom.operators import leakage as L
 from factloom.plans.registry import query, r, rounded, table
@@ -544,6 +547,44 @@ def model_reasons(spark, sf):
     return row_reasons(trained(spark, sf)[0], customer_activity(spark, sf)).select("c_acctbal", "order_count", "reasons")
 
 
+def spending(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with a tier of what they spent, which is a product of two of the features."""
+    history = table(spark, sf, "orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("order_count"), F.avg("o_totalprice").alias("average_order"), F.sum("o_totalprice").alias("_spent")
+    )
+    joined = table(spark, sf, "customer").join(history, F.col("c_custkey") == F.col("o_custkey"))
+    tier = F.when(F.col("_spent") < 2_000_000, "low").when(F.col("_spent") < 3_000_000, "mid").otherwise("high")
+    return joined.select("c_acctbal", "c_mktsegment", "order_count", "average_order", tier.alias("tier"))
+
+
+@query(
+    "M10f",
+    """WITH s AS (SELECT CASE WHEN sum(o_totalprice) < 2000000 THEN 'low' WHEN sum(o_totalprice) < 3000000 THEN 'mid' ELSE 'high' END AS tier
+      FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey), c AS (SELECT tier, count(*) AS n FROM s GROUP BY 1), t AS (SELECT sum(n) AS m FROM c)
+    SELECT tier, n, n AS proper_rows, (SELECT round(-sum(n / m * ln(n / m)), 6) FROM c, t) AS share_loss, true AS halved FROM c""",
+)
+def softmax_boosting(spark, sf):
+    """Three classes boosted together: shares sum to one in every row, and the held-out loss is under half of that of the class shares."""
+    rows = materialize(spending(spark, sf), "spending")
+    plan = plan_features(rows, "tier")
+    data = training_table(rows, plan)
+    learned = data.where("NOT _test")
+    prep = prep_pipeline(plan).fit(learned)
+    model = SoftmaxBoosting(len(plan.classes), rounds=15, depth=4, step=0.4).fit(prep.transform(learned))
+    scored = materialize(class_scores(model, prep.transform(data), len(plan.classes)).select("_y", "_test", "_p"), "scored")
+    total = F.aggregate("_p", F.lit(0.0), lambda a, b: a + b)
+    proper = (F.size("_p") == len(plan.classes)) & F.forall("_p", lambda p: (p >= 0) & (p <= 1)) & (F.abs(total - 1) < 1e-9)
+    loss = -F.log(F.greatest(F.element_at("_p", F.col("_y").cast("int") + 1), F.lit(1e-12)))
+    found = scored.groupBy("_y").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(proper).alias("proper_rows"),
+        F.sum(F.when(F.col("_test"), loss)).alias("lost"), F.count_if("_test").alias("asked"),
+    ).collect()  # one row a class
+    share_loss = -sum(r["n"] / plan.rows * log(r["n"] / plan.rows) for r in found)
+    halved = sum(r["lost"] or 0.0 for r in found) / sum(r["asked"] for r in found) < share_loss / 2
+    out = [(plan.classes[int(r["_y"])], r["n"], r["proper_rows"], round(share_loss, 6), halved) for r in found]
+    return spark.createDataFrame(out, "tier string, n long, proper_rows long, share_loss double, halved boolean")
+
+
 @query("M10b M10e M10f")
 def regression_tournament(spark, sf):
     data = materialize(customer_activity(spark, sf).drop("churn"), "activity")

@@ -6,10 +6,14 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import subscribers
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from factloom.modeling import explain, metrics, predict, scoring, tournament
 from factloom.modeling.prep import ModelingError, plan_features, prep_pipeline
+from factloom.modeling.softmax import SoftmaxBoosting
+from factloom.modeling.tournament import class_scores
 from factloom.plans.analyze import NotBusinessData, analyze
 from factloom.streaming.scoring import score_stream
 
@@ -162,6 +166,45 @@ def test_three_classes(spark):
     assert out.filter("prediction = level").count() > 200
 
 
+def test_softmax_boosting(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x, z = rng.normal(size=(2, 400))
+    y = np.where(x * z < -0.3, 0.0, np.where(x * z < 0.3, 1.0, 2.0))
+    data = VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(
+        spark.createDataFrame(pd.DataFrame({"x": x, "z": z, "_y": y, "_w": 1.0}))
+    )
+    losses = []
+    for rounds in (1, 6):
+        model = SoftmaxBoosting(3, rounds, depth=3, step=0.5).fit(data)
+        p = np.array([r["_p"] for r in class_scores(model, data.select("features", "x", "z"), 3).collect()])
+        assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
+        losses.append(-np.log(p[np.arange(400), y.astype(int)]).mean())
+    assert losses[1] < losses[0] < 1.1 and (p.argmax(axis=1) == y).mean() > 0.85
+
+    # Stored and read back it scores the same.
+    model.write().overwrite().save(str(tmp_path / "model"))
+    again = np.array([r["_p"] for r in class_scores(PipelineModel.load(str(tmp_path / "model")), data.select("features", "x", "z"), 3).collect()])
+    assert np.allclose(again, p)
+
+    # A class without rows keeps a tiny share.
+    lone = class_scores(SoftmaxBoosting(4, 1, depth=2).fit(data), data.select("features"), 4).first()["_p"]
+    assert len(lone) == 4 and lone[3] < 1e-3
+
+
+def test_boosting_of_three_classes_in_training(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tournament, "BOOST_ROUNDS", 3)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=150)
+    pdf = pd.DataFrame({"x": x, "z": rng.normal(size=150), "level": np.where(x < -0.5, "low", np.where(x < 0.5, "mid", "top"))})
+    df = spark.createDataFrame(pdf)
+    model, game = scoring.train(df, "level", ("Gradient Boosting",))
+    assert game.winner == "Gradient Boosting" and game.scores[game.winner]["mean"] > 0.8
+    scoring.save_model(model, str(tmp_path / "three"), spark)
+    out = predict.predict_batch(scoring.load_model(spark, str(tmp_path / "three")), df)
+    assert out.filter("prediction = level").count() > 120
+    assert explain.global_drivers(model, df).first()["feature"] == "x"
+
+
 def test_stream_of_rows(spark, signal, trained, tmp_path):
     features = ["tenure", "MonthlyCharges", "Contract"]
     contract, categories = predict.schema_contract(signal, features), predict.contract_categories(signal, features)
