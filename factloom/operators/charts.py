@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from factloom.functions.columns import (
     pearson,
     to_number,
 )
-from factloom.operators.order import broadcast_if_small, exact_quantiles, ordered_prefix
+from factloom.operators.order import broadcast_if_small, exact_quantiles, ordered_prefix, range_slots
 from factloom.operators.profile import few_valued
 from factloom.operators.segments import segment_labels
 from factloom.session import materialize
@@ -207,54 +208,58 @@ def tier_counts(df: DataFrame, tier: str) -> DataFrame:
     return frame.join(counts, "tier", "left").select("position", "tier", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def string_codes(df: DataFrame, name: str, edges: int = 64) -> DataFrame:
-    """(value, code): position of each distinct text in alphabetical order.
+def _coded(values: DataFrame, by: Sequence[str] = (), written: bool = False) -> DataFrame:
+    """``code`` per row: the place of its unique ``value`` in alphabetical order, from 0 for each of ``by``.
 
-    Distinct texts are cut into buckets by edges from a hash sample, numbered
-    inside a bucket, and shifted by the sizes of the lower buckets.
+    The values are cut into ranges whose number grows with the values, numbered inside a range, and shifted
+    by the sizes of the lower ranges.
     """
+    cut = range_slots(values, [*by, "value"], written=written)
+    sizes = cut.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_held"))
+    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "_slot", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*by, "_slot").orderBy("value")
+    place = F.row_number().over(inside) - 1 + F.col("_base")
+    return cut.join(broadcast_if_small(sizes), [*by, "_slot"]).withColumn("code", place.cast("double")).drop("_slot", "_base")
+
+
+def string_codes(df: DataFrame, name: str) -> DataFrame:
+    """(value, code): position of each distinct text in alphabetical order."""
     values = df.select(col(name).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
-    sample = [
-        r["value"]
-        for r in values.orderBy(F.xxhash64("value"), "value").limit(edges * 16).collect()
-    ]
-    sample.sort(key=lambda v: v.encode("utf-8"))
-    cuts = sample[16::16]
-    if not cuts:
-        # The sample held every value, so there are no more than sixteen.
-        place = F.row_number().over(Window.orderBy("value")) - 1
-        return values.select("value", place.cast("double").alias("code"))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value")))
-    values = values.withColumn("_bucket", bucket)
-    sizes = values.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_bucket").orderBy("value")
-    return values.join(F.broadcast(sizes), "_bucket").select(
-        "value", (F.row_number().over(inside) - 1 + F.col("_base")).cast("double").alias("code")
-    )
+    return _coded(values)
+
+
+def text_correlations(df: DataFrame, texts: Sequence[str], y: Column) -> DataFrame:
+    """(column, r): correlation of a number with the alphabetical codes of each text column, null being -1.
+
+    All columns are summed up per value at once, so only distinct values are shuffled and no row is joined.
+    The number is taken from its mean first, and the codes from theirs, so that large ones keep their digits.
+    """
+    wide = df.select(*[col(t).cast("string").alias(t) for t in texts], y.alias("_y"))
+    middle = wide.agg(F.avg("_y").alias("m")).first()["m"]
+    rows = wide.withColumn("_y", F.col("_y") - F.lit(middle).cast("double")).unpivot("_y", [col(t) for t in texts], "column", "value")
+    sums = [F.count("_y").alias("n"), *[F.coalesce(F.sum(e), F.lit(0.0)).alias(a) for a, e in (("y", F.col("_y")), ("yy", F.col("_y") * F.col("_y")))]]
+    values = materialize(rows.groupBy("column", "value").agg(*sums), "values")
+    coded = _coded(values.where("value IS NOT NULL"), ["column"], written=True).unionByName(values.where("value IS NULL").withColumn("code", F.lit(-1.0)))
+    coded = materialize(coded.select("column", "code", "n", "y", "yy"), "codes")
+    n, code = F.col("n"), F.col("code")
+    # One row a column.
+    means = F.broadcast(coded.groupBy("column").agg((F.sum(code * n) / F.nullif(F.sum(n), F.lit(0))).alias("mean")))
+    off = code - F.col("mean")
+    spread = F.sqrt(F.sum(n * off * off) * F.sum("yy"))
+    return coded.join(means, "column").groupBy("column").agg(F.when(spread > 0, F.sum(off * F.col("y")) / spread).alias("r"))
 
 
 def target_correlations(df: DataFrame, target: str) -> DataFrame:
     """Correlation of each column with a numeric target; texts enter as alphabetical codes."""
     numbers = numeric_columns(df, [target])
     texts = categorical_columns(df, [target])
-    data = df.select(
-        *[as_double(df, n).alias(n) for n in numbers],
-        *[col(t).cast("string").alias(t) for t in texts],
-        as_double(df, target).alias("_y"),
-    )
-    for t in texts:
-        codes = string_codes(df, t).select(F.col("value").alias(t), F.col("code").alias(f"_code_{t}"))
-        data = data.join(codes, t, "left").withColumn(t, F.coalesce(col(f"_code_{t}"), F.lit(-1.0))).drop(f"_code_{t}")
-    names = [*numbers, *texts]
-    wide = data.agg(
-        *[
-            finite_double(pearson(col(n), F.col("_y"))).alias(f"r{i}")
-            for i, n in enumerate(names)
-        ]
-    )
-    return long_rows(wide, [(n, [F.col(f"r{i}")]) for i, n in enumerate(names)], ["r"])
+    y = as_double(df, target)
+    wide = df.agg(*[finite_double(pearson(as_double(df, n), y)).alias(f"r{i}") for i, n in enumerate(numbers)], F.count(F.lit(1)).alias("_n"))
+    found = [long_rows(wide, [(n, [F.col(f"r{i}")]) for i, n in enumerate(numbers)], ["r"])] if numbers else []
+    if texts:
+        found.append(text_correlations(df, texts, y))
+    return reduce(DataFrame.unionByName, found) if found else df.sparkSession.createDataFrame([], "column string, r double")
 
 
 def exploratory_tables(df: DataFrame, target: str | None) -> dict[str, DataFrame]:

@@ -6,6 +6,8 @@ single lazy projection over the source.
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -68,12 +70,28 @@ class CleanPlan:
 ISO = "iso"
 
 
+def layout_shape(layout: str) -> str:
+    """A pattern that every value of the layout fits: letters for a month's name, digits elsewhere, the signs between.
+
+    A failing parse costs far more than a failing match, so values of another shape are never parsed.
+    """
+    def part(found: re.Match) -> str:
+        run = found.group()
+        if not run[0].isalpha():
+            return re.escape(run)
+        if run == "MMM":
+            return r"\p{L}+"
+        return "[0-9]{2}" if len(run) == 2 else "[+-]?[0-9]+"
+
+    return "^" + re.sub(r"([A-Za-z])\1*|[^A-Za-z]+", part, layout) + "$"
+
+
 def parse_layout(value: Column, layout: str) -> Column:
     """Text to timestamp in one layout, null where it does not fit."""
     text = F.trim(value.cast("string"))
     if layout == ISO:
         return F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?"), text.try_cast("timestamp_ntz"))
-    return F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz")
+    return F.when(text.rlike(layout_shape(layout)), F.try_to_timestamp(text, F.lit(layout))).cast("timestamp_ntz")
 
 
 def parse_timestamp(value: Column) -> Column:

@@ -29,8 +29,6 @@ SKETCH_ACCURACY = 20_000
 BRACKET = 2.0 / SKETCH_ACCURACY
 # Below this size a bracket would be narrower than two ranks, so all values are kept.
 KEEP_ALL_ROWS = 2 * SKETCH_ACCURACY
-# Parts into which the values of a bracket are cut, so that no task sorts a whole one.
-BRACKET_PARTS = 256
 MAX_BROADCAST_GROUPS = 10_000
 MAX_BROADCAST_SUMS = 1_000_000
 
@@ -40,6 +38,19 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_GROUPS) -> Data
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def range_slots(values: DataFrame, keys: Sequence[str], slot: str = "_slot", written: bool = False) -> DataFrame:
+    """The rows of unique keys cut into numbered ranges in the order of the keys, written once.
+
+    The ranges hold about ``ROWS_PER_BUCKET`` rows each however the keys are spread.
+    """
+    held = values if written else materialize(values, "values")
+    parts = -(-held.count() // ROWS_PER_BUCKET)
+    if parts <= 1:
+        return held.withColumn(slot, F.lit(0))
+    # Written, so that a range keeps its number.
+    return materialize(held.repartitionByRange(parts, *keys).withColumn(slot, F.spark_partition_id()), "ranges")
+
+
 def _bucketed(counts: DataFrame, value: str, rows: int) -> tuple[DataFrame, int]:
     buckets = max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
     if buckets == 1:
@@ -157,8 +168,8 @@ def rank_sums(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) ->
     return per_group.withColumn("tie_term", F.sum("_tie_part").over(pooled)).drop("_tie_part")
 
 
-def _brackets(data: DataFrame, width: int, asked: Sequence[float], by: Sequence[str]) -> tuple[DataFrame, dict]:
-    """The data with edge arrays per column: values surely at or beyond each wanted quantile."""
+def _brackets(data: DataFrame, width: int, asked: Sequence[float], by: Sequence[str]) -> tuple[DataFrame, dict, int]:
+    """The data with edge arrays per column, values surely at or beyond each wanted quantile, and the most rows behind one."""
     low = [max(0.0, p - BRACKET) for p in asked]
     high = [min(1.0, p + BRACKET) for p in asked]
     wide = F.array(*[F.lit(float("-inf"))] * len(asked), *[F.lit(float("inf"))] * len(asked))
@@ -169,10 +180,13 @@ def _brackets(data: DataFrame, width: int, asked: Sequence[float], by: Sequence[
         for i in range(width)
     ]
     k = len(asked)
+    rows = F.count(F.lit(1)).alias("_rows")
     if not by:
-        found = fused_agg(data, sketch)
-        return data, {i: [(F.lit(found[f"_q{i}"][j]), F.lit(found[f"_q{i}"][k + j])) for j in range(k)] for i in range(width)}
-    edges = broadcast_if_small(materialize(data.groupBy(*[col(b) for b in by]).agg(*sketch), "edges"))
+        found = fused_agg(data, [rows, *sketch])
+        return data, {i: [(F.lit(found[f"_q{i}"][j]), F.lit(found[f"_q{i}"][k + j])) for j in range(k)] for i in range(width)}, found["_rows"]
+    edges = materialize(data.groupBy(*[col(b) for b in by]).agg(rows, *sketch), "edges")
+    most = edges.agg(F.max("_rows").alias("n")).first()["n"] or 0
+    edges = broadcast_if_small(edges)
     match = None
     for b in by:
         test = F.col(f"_l.{b}").eqNullSafe(F.col(f"_r.{b}"))
@@ -180,7 +194,19 @@ def _brackets(data: DataFrame, width: int, asked: Sequence[float], by: Sequence[
     joined = data.alias("_l").join(edges.alias("_r"), match).select(
         "_l.*", *[F.col(f"_r._q{i}") for i in range(width)]
     )
-    return joined, {i: [(F.col(f"_q{i}")[j], F.col(f"_q{i}")[k + j]) for j in range(k)] for i in range(width)}
+    return joined, {i: [(F.col(f"_q{i}")[j], F.col(f"_q{i}")[k + j]) for j in range(k)] for i in range(width)}, most
+
+
+def _running_counts(values: DataFrame, by: Sequence[str], sorted_at_once: bool) -> DataFrame:
+    """Adds ``_cum``: how many values of the bracket are at or below each distinct one."""
+    group = [*by, "column", "_j"]
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    if sorted_at_once:
+        return values.withColumn("_cum", F.sum("_n").over(Window.partitionBy(*[col(g) for g in group]).orderBy("_key").rowsBetween(*upto)))
+    cut = range_slots(values, [*group, "_key"])
+    inside = Window.partitionBy(*[col(g) for g in group], "_slot").orderBy("_key").rowsBetween(*upto)
+    joined = _with_bases(cut, ["_n"], group, cut.agg(F.max("_slot").alias("s")).first()["s"] or 1)
+    return joined.withColumn("_cum", F.sum("_n").over(inside) + F.col("_base__n")).drop("_slot", "_base__n", "all__n")
 
 
 def exact_quantiles(
@@ -193,12 +219,13 @@ def exact_quantiles(
 
     Three narrow scans: a sketch for the brackets, one aggregate that counts
     the rows below and on the edges, and a pass over the values strictly
-    inside. A bracket holds about 4 in 20,000 of the rows and is sorted in
-    parts, each after the count of the lower ones.
+    inside. A bracket holds about 4 in 20,000 of the rows. Where that may be
+    more than one task should sort, the distinct values are cut into ranges of
+    bounded size, each shifted by the count of the lower ones.
     """
     labels = list(probs)
     data = df.select(*[col(b) for b in by], *[as_double(df, c).alias(f"_v{i}") for i, c in enumerate(columns)])
-    data, edges = _brackets(data, len(columns), [probs[x] for x in labels], by)
+    data, edges, most = _brackets(data, len(columns), [probs[x] for x in labels], by)
 
     counts, records, cells = [], [], []
     for i, name in enumerate(columns):
@@ -221,10 +248,7 @@ def exact_quantiles(
                 )
             )
             inside = (v > lo) & (v < hi)
-            # Equal parts of the bracket, in the order of the values; a bracket that holds a whole small column is one part.
-            part = F.floor((v - lo) / (hi - lo) * BRACKET_PARTS)
-            slot = F.when((lo > float("-inf")) & (hi < float("inf")), F.greatest(F.lit(0), F.least(F.lit(BRACKET_PARTS - 1), part))).otherwise(0)
-            cells.append(F.when(inside, F.struct(F.lit(name).alias("column"), F.lit(j).alias("_j"), slot.cast("int").alias("_slot"), v.alias("_key"))))
+            cells.append(F.when(inside, F.struct(F.lit(name).alias("column"), F.lit(j).alias("_j"), v.alias("_key"))))
     keys = [col(b) for b in by]
     wanted = data.groupBy(*keys).agg(*counts).select(*keys, F.inline(F.array(*records))).filter(F.col("n") > 0)
 
@@ -232,28 +256,29 @@ def exact_quantiles(
     for c in cells[1:]:
         any_inside = any_inside | c.isNotNull()
     kept = data.filter(any_inside).select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("_c"))
-    values = kept.groupBy(*keys, "_c.column", "_c._j", "_c._slot", "_c._key").agg(F.count(F.lit(1)).alias("_n"))
-    lower = Window.partitionBy(*by, "column", "_j").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = values.groupBy(*keys, "column", "_j", "_slot").agg(F.sum("_n").alias("_held"))
-    ahead = sizes.select(*keys, "column", "_j", "_slot", F.coalesce(F.sum("_held").over(lower), F.lit(0)).alias("_ahead"))
-    same = (F.col("_v.column") == F.col("_a.column")) & (F.col("_v._j") == F.col("_a._j")) & (F.col("_v._slot") == F.col("_a._slot"))
-    for b in by:
-        same = same & F.col(f"_v.{b}").eqNullSafe(F.col(f"_a.{b}"))
-    values = values.alias("_v").join(ahead.alias("_a"), same).select("_v.*", "_a._ahead")
-    running = Window.partitionBy(*by, "column", "_j", "_slot").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    values = values.withColumn("_cum", F.col("_ahead") + F.sum("_n").over(running))
+    values = kept.groupBy(*keys, "_c.column", "_c._j", "_c._key").agg(F.count(F.lit(1)).alias("_n"))
+    # A bracket and the error of its sketch at both ends, as a share of the rows, bound what it holds.
+    at_once = most * (2 * BRACKET + 2 / SKETCH_ACCURACY) <= ROWS_PER_BUCKET
+    values = _running_counts(values, by, at_once)
 
     match = (F.col("_w.column") == F.col("_x.column")) & (F.col("_w._j") == F.col("_x._j"))
     for b in by:
         match = match & F.col(f"_w.{b}").eqNullSafe(F.col(f"_x.{b}"))
+    start, place = F.col("_below") + F.col("_equal"), F.col("_p") * (F.col("n") - 1)
+
+    def hit(position: Column) -> Column:
+        return (start + F.col("_cum") - F.col("_n") <= position) & (position < start + F.col("_cum"))
+
+    if not at_once:
+        # The one or two values at each place are found before any of them meet in one task.
+        wanted = materialize(wanted, "wanted")
+        places = broadcast_if_small(wanted)
+        values = values.alias("_x").join(places.alias("_w"), match).where(hit(F.floor(place)) | hit(F.ceil(place))).select("_x.*")
     both = wanted.alias("_w").join(values.alias("_x"), match, "left").select("_w.*", "_x._key", "_x._n", "_x._cum")
-    start = F.col("_below") + F.col("_equal")
 
     def at(position: Column) -> Column:
-        hit = (start + F.col("_cum") - F.col("_n") <= position) & (position < start + F.col("_cum"))
-        return F.max(F.when(hit, F.col("_key")))
+        return F.max(F.when(hit(position), F.col("_key")))
 
-    place = F.col("_p") * (F.col("n") - 1)
     facts = ["n", "_p", "_below", "_equal", "_lo", "_hi"]
     spots = both.groupBy(*keys, "column", "_j", *facts).agg(at(F.floor(place)).alias("_a"), at(F.ceil(place)).alias("_z"))
 

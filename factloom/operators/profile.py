@@ -37,6 +37,8 @@ FALLBACK_TARGET_NAMES = ["churn", "fraud", "attrition", "sales", "revenue"]
 
 # A sketch above this estimate cannot hide a true count of 50 or fewer.
 SURELY_MANY = 1_000
+# Relative standard deviation of a distinct sketch, and so many of them an estimate may be off before the exact count decides.
+SKETCH_SPREAD, SKETCH_MARGIN = 0.01, 6
 # So many pairs of hashes of repeated rows may be sent to all tasks.
 SHARED_HASHES = 1_000_000
 
@@ -132,6 +134,31 @@ def exact_distinct(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
     return {n: found.get(n, 0) for n in names}
 
 
+def bounded_distinct(
+    df: DataFrame, names: Sequence[str], rows: int | None = None, ratios: Sequence[float] = (), few: int = 0
+) -> dict[str, int]:
+    """Distinct non-null values per column, exact wherever a limit could hang on it.
+
+    One scan sketches all columns. A column is counted exactly if it may have ``few`` values or less, which
+    collapse before the shuffle, or if its share of the rows lies within the sketch's error of one of
+    ``ratios``. Any other estimate is on the same side of every limit as the true count. Nested columns count 0.
+    """
+    kept = [n for n in names if not is_nested(df.schema[n].dataType)]
+    if not kept:
+        return dict.fromkeys(names, 0)
+    sketches = [F.approx_count_distinct(clean_value(n, df.schema[n].dataType), SKETCH_SPREAD).alias(f"d{i}") for i, n in enumerate(kept)]
+    seen = fused_agg(df, [F.count(F.lit(1)).alias("n"), *sketches])
+    total = max(seen["n"] if rows is None else rows, 1)
+    margin = SKETCH_SPREAD * SKETCH_MARGIN
+    close = []
+    for i, n in enumerate(kept):
+        least, most = seen[f"d{i}"] / (1 + margin), seen[f"d{i}"] / (1 - margin)
+        if least <= few or any(least <= limit * total <= most for limit in ratios):
+            close.append(n)
+    estimates = {n: seen[f"d{i}"] for i, n in enumerate(kept)}
+    return dict.fromkeys(names, 0) | estimates | exact_distinct(df, close)
+
+
 def id_columns(df: DataFrame, suffixes: Sequence[str] = ID_SUFFIXES) -> DataFrame:
     """Per column: name test, exact distinct ratio, and the verdict."""
     named = F.lit(False)
@@ -148,8 +175,8 @@ def id_columns(df: DataFrame, suffixes: Sequence[str] = ID_SUFFIXES) -> DataFram
 
 def id_column_names(df: DataFrame, rows: int, suffixes: Sequence[str] = ID_SUFFIXES) -> list[str]:
     named = [c for c in df.columns if looks_like_id(c, suffixes)]
-    exact = exact_distinct(df, named)
-    return [c for c in named if exact[c] / max(rows, 1) > ID_RATIO]
+    found = bounded_distinct(df, named, rows, ratios=[ID_RATIO])
+    return [c for c in named if found[c] / max(rows, 1) > ID_RATIO]
 
 
 def few_valued(df: DataFrame, names: Sequence[str]) -> dict[str, int]:

@@ -84,6 +84,33 @@ def test_quantiles(monkeypatch, skewed, keep_all):
             assert by[g][label] == pytest.approx(part["v"].quantile(p))
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_quantiles_of_a_heavy_tail_in_ranges(spark, monkeypatch, by):
+    """Brackets whose values crowd at one end: the ranges stay bounded and the quantiles exact."""
+    monkeypatch.setattr(order, "KEEP_ALL_ROWS", 0)
+    monkeypatch.setattr(order, "BRACKET", 0.2)
+    monkeypatch.setattr(order, "ROWS_PER_BUCKET", 100)
+    sizes = []
+    cut = order.range_slots
+
+    def watched(values, keys):
+        out = cut(values, keys)
+        sizes.extend(r["count"] for r in out.groupBy("_slot").count().collect())
+        return out
+
+    monkeypatch.setattr(order, "range_slots", watched)
+    v = np.exp(np.random.default_rng(8).normal(0, 12, 6000))
+    pdf = pd.DataFrame({"g": np.where(np.arange(6000) % 3, "a", None), "v": v})
+    df = spark.createDataFrame([(None if g is None else str(g), float(x)) for g, x in pdf.itertuples(index=False)], "g string, v double")
+    probs = {"q1": 0.3, "q2": 0.5, "q3": 0.77}
+    found = {r["g"] if by else "all": r for r in order.exact_quantiles(df, ["v"], probs, by=by).collect()}
+    parts = {g: p["v"] for g, p in pdf.groupby("g", dropna=False)} if by else {"all": pdf["v"]}
+    for g, part in parts.items():
+        row = found[None if pd.isna(g) else g]
+        assert all(row[label] == pytest.approx(part.quantile(p)) for label, p in probs.items())
+    assert len(sizes) > 20 and max(sizes) <= 300
+
+
 def test_quantile_of_nothing(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert order.column_quantiles(df, ["v"], {"m": 0.5}) == {}

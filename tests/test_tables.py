@@ -8,7 +8,7 @@ import pytest
 from conftest import subscribers
 from pyspark.sql import functions as F
 
-from factloom.operators import charts, clean, profile, relevance, semantic
+from factloom.operators import charts, clean, order, profile, relevance, semantic
 
 
 def test_inspect_finds_outcome(small_normal):
@@ -130,6 +130,50 @@ def test_string_codes_follow_text_order(spark):
     assert found == {w: float(i) for i, w in enumerate(sorted(set(words)))}
 
 
+@pytest.mark.parametrize("per_bucket", [100_000, 20])
+def test_codes_of_several_columns(spark, monkeypatch, per_bucket):
+    monkeypatch.setattr(order, "ROWS_PER_BUCKET", per_bucket)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": [f"w{i}" for i in rng.integers(0, 300, 900)], "b": rng.choice(["x", "y", None], 900), "c": ["one"] * 900})
+    pdf["y"] = 1e9 + pdf["a"].str[1:].astype(int) + rng.normal(0, 50, 900)
+    pdf.loc[::7, "y"] = None
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else v for v in r) for r in pdf.itertuples(index=False)], "a string, b string, c string, y double")
+    found = {r["column"]: r["r"] for r in charts.target_correlations(df, "y").collect()}
+    for c in ("a", "b"):
+        codes = pdf[c].map({v: i for i, v in enumerate(sorted(pdf[c].dropna().unique()))}).fillna(-1)
+        assert found[c] == pytest.approx(codes.corr(pdf["y"]))
+    assert set(found) == {"a", "b", "c"} and found["c"] is None
+    none = charts.target_correlations(df.withColumn("y", F.lit(None).cast("double")), "y").collect()
+    assert len(none) == 3 and all(r["r"] is None for r in none)
+
+
+def test_layout_shapes_lose_no_value(spark):
+    texts = [
+        "2024/01/05", "2024/1/5", "2024/01/05 10:11:12", "01/05/2024", "1/5/2024", "13/05/2024", "01-05-2024", "05-Jan-2024", "5 Jan 2024",
+        "5 JAN 2024", "Jan 5, 2024", "Jan 05, 2024", "31/12/2024", "3/2/24", "007/05/2024", "+2024/01/05", "02/30/2024", "-", "", None, "x", "20240105",
+        "2024/01/05 10:11", "01/05/2024 10:11", "01/05/2024 10:11:12", "  1/5/2024 ", "١/٥/٢٠٢٤", "10000/01/05", "May 5, 2024", "mai 5, 2024",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for layout in clean.DATE_LAYOUTS:
+        plain = F.try_to_timestamp(F.trim("t"), F.lit(layout)).cast("timestamp_ntz")
+        assert df.where(~clean.parse_layout(F.col("t"), layout).eqNullSafe(plain)).count() == 0, layout
+
+
+def test_bounded_distinct_decides_like_exact_counts(spark):
+    n = 4000
+    df = spark.range(n).select(
+        F.col("id").alias("order_id"), (F.col("id") % 2400).alias("close_id"), (F.col("id") % 2401).alias("near_id"), (F.col("id") % 50).alias("few"),
+        F.concat(F.lit("v"), F.col("id") % 51).alias("more"), F.lit(None).cast("string").alias("none"), F.array("id").alias("nested"),
+    )
+    exact = profile.exact_distinct(df, [c for c in df.columns if c != "nested"])
+    found = profile.bounded_distinct(df, df.columns, ratios=[0.6], few=50)
+    assert found["nested"] == found["none"] == 0
+    assert {c: found[c] for c in ("close_id", "near_id", "few", "more")} == {c: exact[c] for c in ("close_id", "near_id", "few", "more")}
+    assert profile.id_column_names(df, n) == ["order_id", "near_id"]
+    kinds = [{r["column"]: r["kind"] for r in semantic.semantic_profile(df, {}, exact=e).collect()} for e in (True, False)]
+    assert kinds[0] == kinds[1]
+
+
 def test_clean_plan_applies_to_new_rows(spark, nulls_and_duplicates):
     _, plan = clean.clean(nulls_and_duplicates)
     new = spark.createDataFrame([(None, None, None, "No")], nulls_and_duplicates.schema)
