@@ -7,7 +7,9 @@ enter the result by it alone. The postings of essential terms are traversed, the
 probed only for rows that can still reach the threshold, and the threshold rises meanwhile. Shards
 answer alone and their results are merged.
 
-Shards and blocks of queries have a bounded size; each block meets each shard once.
+Shards and blocks of queries have a bounded size; each block meets each shard once. A block is about as
+large as a shard, so that what is sent, every shard once per block and every block once per shard, is
+least; only while that would leave cores idle are blocks smaller.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do null
 ids; a shorter vector is filled with zeros; several rows of one id count as one, with the smallest
@@ -28,7 +30,9 @@ from factloom.llm.vectors import matrix, valid_vectors, width, with_roles
 from factloom.session import materialize
 
 SHARD_ROWS = 8192
-BLOCK_QUERIES = 128
+BLOCK_QUERIES = 8192
+# No block is made smaller than this to occupy all cores.
+LEAST_QUERIES = 128
 TERMS_AT_ONCE = 8
 SEEDS = 32
 
@@ -109,7 +113,9 @@ def top_products(rows: DataFrame, k: int = 5, scale: int = 256, every: int = 50)
     vectors = materialize(valid_vectors(rows, nonzero=False), "vectors")
     dims, total = width(vectors), vectors.count()
     roles = materialize(with_roles(vectors, F.col("vec_id") % every == 0, k + 1), "roles")
-    shards, blocks = max(1, -(-total // SHARD_ROWS)), max(1, -(-roles.where("query").count() // BLOCK_QUERIES))
+    shards, queries = max(1, -(-total // SHARD_ROWS)), roles.where("query").count()
+    wanted = min(-(-queries // LEAST_QUERIES), -(-rows.sparkSession.sparkContext.defaultParallelism // shards))
+    blocks = max(1, -(-queries // BLOCK_QUERIES), wanted)
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
     candidates = packed(roles.where("candidate").withColumn("shard", deal(shards)), "shard", dims)
     asked = packed(roles.where("query").withColumn("block", deal(blocks)), "block", dims)
