@@ -174,7 +174,8 @@ class Encoder:
 
     def merge_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks one after another, and their lengths."""
-        return self.lists.gather(self.numbers(chunks))
+        numbers = self.numbers(chunks)  # first: it may replace the lists by those of fewer chunks
+        return self.lists.gather(numbers)
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """List numbers of distinct chunks."""

@@ -20,6 +20,7 @@ import heapq
 import mmap
 import tempfile
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +153,11 @@ class PairMerger:
             ranks[line[some], best[some] - 1] = self.rank(symbols[line[some], best[some] - 1], merged[some])[0]
         return result[result >= 0].astype(np.uint32), (result >= 0).sum(axis=1)
 
+    @cached_property
+    def table(self) -> dict[int, tuple[int, int]]:
+        """Rank and result by pair, made once for all long words."""
+        return {k: (r, v) for k, r, v in zip(self.keys.tolist(), self.ranks.tolist(), self.results.tolist())}
+
     def long(self, data: np.ndarray) -> np.ndarray:
         """One long word with a queue of pairs by rank and place."""
         symbols = self.inner[data].tolist()
@@ -161,7 +167,7 @@ class PairMerger:
         ranks, _ = self.rank(np.array(symbols[:-1]), np.array(symbols[1:]))
         queue = [(int(r), i, symbols[i], symbols[i + 1]) for i, r in enumerate(ranks) if r < NEVER]
         heapq.heapify(queue)
-        table = {int(k): (int(r), int(v)) for k, r, v in zip(self.keys, self.ranks, self.results)}
+        table = self.table
         while queue:
             _, i, a, b = heapq.heappop(queue)
             j = after[i]
@@ -303,7 +309,7 @@ class TransducerEncoder:
         first = self.lexicon.first
         starts[hit] = first[rank[hit]]
         lengths[hit] = first[rank[hit] + 1] - first[rank[hit]]
-        other, other_lengths = self.rest.lists.gather(self.rest.numbers([chunks[i] for i in missed.tolist()]))
+        other, other_lengths = self.rest.merge_chunks([chunks[i] for i in missed.tolist()])
         starts[missed] = len(self.lexicon.ids) + np.cumsum(other_lengths) - other_lengths
         lengths[missed] = other_lengths
         ids = np.concatenate([self.lexicon.ids, other])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -113,6 +114,16 @@ def test_merges_of_short_and_long_words(tokenizer):
         assert ids[a:b].tolist() == ids_of(tokenizer, w)
 
 
+def test_ids_after_rare_chunks_are_forgotten(tokenizer, monkeypatch):
+    monkeypatch.setattr("factloom.llm.encoding.MOST_HELD", 40)
+    rng = random.Random(3)
+    encoder = transducer.TransducerEncoder(tokenizer_text(), transducer.compile_lexicon([], np.empty(0, np.uint32), np.empty(0, np.int64)))
+    for _ in range(12):
+        rows = [" ".join(f"{rng.choice(['the', 'it’s', 'naïve'])} x{rng.randrange(10**6)}q" for _ in range(8)) for _ in range(10)]
+        flat, first = encoder.encode(pa.array(rows))
+        assert [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [ids_of(tokenizer, t) for t in rows]
+
+
 def test_encode_and_decode(spark, tokenizer):
     rows = texts()
     found = transducer.encode_and_decode(documents(spark, rows), most=500, ids=True).collect()
