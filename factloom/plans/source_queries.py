@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.operators.clean import clean
 from factloom.operators.facts import evidence_lines
 from factloom.plans.registry import TABLES, query, table
-from factloom.session import scratch_path
+from factloom.session import materialize, scratch_path
 from factloom.sources import readers as R
 from factloom.sources import runstore as S
 from factloom.sources import tables as T
@@ -186,8 +186,8 @@ def sheet_cells_to_table(spark, sf):
     titles = customer.select(place).distinct().select("path", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("Customer export").alias("value"))
     book = cells.unionByName(heads).unionByName(titles).withColumn("sheet", F.lit("data"))
     notes = titles.withColumn("sheet", F.lit("notes"))
-    picked = W.largest_sheet(book.unionByName(notes))
-    return R.infer_types(W.cells_to_table(W.promote_header(picked)).drop("path", "row"))
+    picked = W.largest_sheet(materialize(book.unionByName(notes), "cells"))
+    return R.infer_types(materialize(W.cells_to_table(W.promote_header(picked)).drop("path", "row"), "sheet-rows"))
 
 
 @query("S11 S12", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, '<' || c_mktsegment || ' & more>' AS segment FROM customer")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import col
+from factloom.operators.order import broadcast_if_small
+from factloom.session import materialize
 
 HEADER_ROWS, HEADER_SHARE = 30, 0.5
 CELLS = "path string, sheet string, row int, col int, value string"
@@ -105,8 +107,8 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
         for part in parts:
             for file, content in zip(part["path"], part["content"]):
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as book:
-                    listed = [(file, sheet, member) for sheet, member in _sheets(book)]
-                yield pd.DataFrame(listed, columns=["path", "sheet", "member"])
+                    listed = [(file, content, sheet, member) for sheet, member in _sheets(book)]
+                yield pd.DataFrame(listed, columns=["path", "content", "sheet", "member"])
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "sheet", "row", "col", "value"]
@@ -120,8 +122,8 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
                         batch = []
                 yield pd.DataFrame(batch, columns=names)
 
-    sheets = files.mapInPandas(index, "path string, sheet string, member string")
-    return files.join(sheets, "path").repartition("path", "sheet").mapInPandas(read, CELLS)
+    sheets = files.mapInPandas(index, "path string, content binary, sheet string, member string")
+    return sheets.repartition("path", "sheet").mapInPandas(read, CELLS)
 
 
 def _book(names: list[str], rows: list[tuple]) -> bytes:
@@ -204,26 +206,28 @@ def largest_sheet(cells: DataFrame) -> DataFrame:
     """Only the cells of the sheet with the largest area, per file."""
     areas = cells.groupBy("path", "sheet").agg(((F.max("row") + 1) * (F.max("col") + 1)).alias("area"))
     best = areas.groupBy("path").agg(F.min_by("sheet", F.struct(-F.col("area"), F.col("sheet"))).alias("sheet"))
-    return cells.join(best, ["path", "sheet"])
+    return cells.join(broadcast_if_small(materialize(best, "sheets")), ["path", "sheet"])
 
 
 def promote_header(cells: DataFrame) -> DataFrame:
-    """(path, row, col, name, value): the first of 30 rows that is at least half full names the columns."""
-    counts = (
-        cells.filter(F.col("row") < HEADER_ROWS)
-        .groupBy("path", "row")
-        .agg(F.count("value").alias("filled"))
-    )
+    """(path, row, col, name, value): the first of 30 rows that is at least half full names the columns.
+
+    Widths, headers and names are written before they meet the cells, so no join repeats a pass over them.
+    """
+    top = materialize(cells.filter(F.col("row") < HEADER_ROWS).select("path", "row", "col", "value"), "tops")
     widths = cells.groupBy("path").agg((F.max("col") + 1).alias("width"))
     heads = (
-        counts.join(widths, "path")
+        top.groupBy("path", "row")
+        .agg(F.count("value").alias("filled"))
+        .join(widths, "path")
         .withColumn("_full", F.when(F.col("filled") / F.col("width") >= HEADER_SHARE, F.col("row")))
         .groupBy("path")
         .agg(F.coalesce(F.min("_full"), F.lit(0)).alias("head"))
     )
-    marked = cells.join(heads, "path")
-    names = marked.filter(F.col("row") == F.col("head")).select("path", "col", F.trim("value").alias("name"))
-    body = marked.filter(F.col("row") > F.col("head"))
+    heads = broadcast_if_small(materialize(heads, "heads"))
+    first = top.join(heads, "path").filter(F.col("row") == F.col("head"))
+    names = broadcast_if_small(materialize(first.select("path", "col", F.trim("value").alias("name")), "names"))
+    body = cells.join(heads, "path").filter(F.col("row") > F.col("head"))
     named = body.join(names, ["path", "col"], "left")
     return named.select(
         "path", "row", "col", F.coalesce("name", F.concat(F.lit("col_"), F.col("col").cast("string"))).alias("name"), "value"
@@ -241,11 +245,11 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """The largest sheet of each workbook as one typed table."""
     from factloom.sources.readers import SourceError, infer_types
 
-    cells = workbook_cells(spark, path)
+    cells = materialize(workbook_cells(spark, path), "cells")  # every sheet is parsed once
     if not cells.limit(1).count():
         raise SourceError("The Excel file has no sheets with data.")
     table = cells_to_table(promote_header(largest_sheet(cells)))
-    return infer_types(table.drop("path", "row"))
+    return infer_types(materialize(table.drop("path", "row"), "sheet-rows"))
 
 
 def first_full_row_header(df: DataFrame, order: str) -> DataFrame:

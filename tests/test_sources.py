@@ -273,3 +273,19 @@ def test_a_repeated_save_adds_nothing(spark, tmp_path):
     copy = store.compact(str(tmp_path / "copy"))
     copy.save("r1", "a.csv", insights=notes)
     assert copy.table("insights").count() == 4 and copy.list().count() == 2 and copy.table("predictions").count() == 2
+
+
+def test_cells_are_read_once_and_never_broadcast(spark):
+    """The joins that find sheet, header and names send those, not the cells."""
+    from pyspark.sql import functions as F
+
+    from factloom.sources import workbook as W
+
+    cells = spark.range(50).select(
+        F.lit("a").alias("path"), F.lit("data").alias("sheet"), F.col("id").cast("int").alias("row"),
+        F.posexplode(F.array(F.concat(F.lit("x"), F.col("id").cast("string")), F.col("id").cast("string"))).alias("col", "value"),
+    )
+    plan = W.promote_header(W.largest_sheet(cells))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert plan.count("Generate") == 1
+    assert joins and all("rightHint=(strategy=broadcast)" in line for line in joins)
