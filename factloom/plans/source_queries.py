@@ -197,7 +197,7 @@ def workbook_round_trip(spark, sf):
     rows = table(spark, sf, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", F.concat(F.lit("<"), "c_mktsegment", F.lit(" & more>")).alias("segment")
     )
-    W.write_workbooks(rows, path, 400)
+    W.write_workbooks(rows.repartition(2 * spark.sparkContext.defaultParallelism), path, 400)
     return W.read_workbooks(spark, path)
 
 

@@ -123,7 +123,9 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(batch, columns=names)
 
     sheets = files.mapInPandas(index, "path string, content binary, sheet string, member string")
-    return sheets.repartition("path", "sheet").mapInPandas(read, CELLS)
+    # A set number of tasks: parsing costs far more than the few bytes, by which they would be merged, tell.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sheets.repartition(tasks, "path", "sheet").mapInPandas(read, CELLS)
 
 
 def _book(names: list[str], rows: list[tuple]) -> bytes:

@@ -289,3 +289,11 @@ def test_cells_are_read_once_and_never_broadcast(spark):
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert plan.count("Generate") == 1
     assert joins and all("rightHint=(strategy=broadcast)" in line for line in joins)
+
+
+def test_sheets_are_dealt_over_all_tasks(spark, tmp_path):
+    """Small files are not merged into a few tasks by their bytes."""
+    W.write_workbooks(spark.range(40).repartition(8), str(tmp_path / "books"), 5)
+    cells = W.workbook_cells(spark, str(tmp_path / "books"))
+    assert "REPARTITION_BY_NUM" in cells._jdf.queryExecution().executedPlan().toString()
+    assert cells.where("row > 0").count() == 40
