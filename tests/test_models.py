@@ -256,3 +256,17 @@ def test_all_levels_are_kept_unless_limited(spark):
     assert len(plan_features(df, "y").levels["city"]) == 150
     few = plan_features(df, "y", max_levels=20).levels["city"]
     assert len(few) == 21 and few[-1] == "__OTHER__"
+
+
+def test_training_rows_are_dealt_over_tasks(spark):
+    """A fit is not left to the one file that the ranking of a small table ends in."""
+    from pyspark.sql import functions as F
+
+    from factloom.modeling.prep import ROWS_PER_TASK, plan_features, training_table
+
+    rows = 3 * ROWS_PER_TASK
+    data = spark.range(rows).select((F.col("id") % 977).alias("amount"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("kind"))
+    table = training_table(data, plan_features(data, "kind"))
+    held = table.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(held) == 3 and sum(r["n"] for r in held) == rows
+    assert {r["n"] for r in table.groupBy("_fold").agg(F.count(F.lit(1)).alias("n")).collect()} == {rows // 5}
