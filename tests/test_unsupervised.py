@@ -200,3 +200,33 @@ def test_every_tree_gets_its_rows(spark):
     assert sample.groupBy("tree", "_key").count().where("count > 1").count() == 0
     tiny, _ = anomalies._forest_sample(materialize(spark.range(60).selectExpr("CAST(id AS DOUBLE) AS x")), 60, ["x"])
     assert tiny.count() == 60 * 200
+
+
+def test_rows_are_dealt_over_the_cores(spark):
+    """One input partition does not leave scoring and clustering to one task."""
+    rows = 4 * 5_000
+    narrow = materialize(spark.range(rows).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id % 97 AS DOUBLE) AS b").coalesce(1))
+    flagged = anomalies.anomalies(narrow, ["a", "b"])
+    table, _ = clusters.segmentation(narrow, ["a", "b"], [], max_k=2)
+    assert len(flagged.inputFiles()) > 1 and len(table.inputFiles()) > 1
+    assert flagged.count() == table.count() == rows
+    assert flagged.filter("extreme != (z_max > 8) OR reason IS NULL").count() == 0
+
+
+def test_merged_masks_hold_every_tree():
+    """Looked up together or one by one, the masks lead each row to the leaf of its walk."""
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(500, 5)).round(1)
+    grown = [anomalies._grow(values[rng.choice(500, 256, replace=False)], np.random.default_rng(t), 8) for t in range(5)]
+    nodes = pd.concat([pd.DataFrame(n, columns=["node", "feature", "cut", "left", "right", "path"]).assign(tree=t) for t, n in enumerate(grown)])
+    trees, _ = forest = anomalies.leaf_masks(nodes, 5)
+    assert any(len(parts) > 1 for _, groups in trees for parts, _ in groups)
+    walked = np.zeros(len(values))
+    for tree in grown:
+        tree = {n[0]: n for n in tree}
+        for i, row in enumerate(values):
+            at = tree[0]
+            while at[1] >= 0:
+                at = tree[at[3] if row[at[1]] <= at[2] else at[4]]
+            walked[i] += at[5]
+    assert np.allclose(anomalies.mean_path(forest, values), walked / len(grown))
