@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
-from factloom.session import materialize
+from factloom.session import deal, materialize
 
 # Packing limits.
 PROMPT_CHARS = 16_000
@@ -38,10 +37,13 @@ def question_overlap(questions: DataFrame, evidence: DataFrame, small: int = SMA
     until the matches are known. Up to ``small`` question words are sent to the
     items; more are joined by shuffle, without the commonest word of each question.
     """
+    return _overlap(questions, safe_evidence(evidence), small)
+
+
+def _overlap(questions: DataFrame, items: DataFrame, small: int = SMALL_QUESTION_WORDS) -> DataFrame:
     asked = questions.select(
         "run_id", "question_id", F.explode(X.expand_synonyms(X.query_tokens(F.col("question")))).alias("word")
     )
-    items = safe_evidence(evidence)
     held = items.select(
         "run_id", "item_id", F.explode(X.tokens(F.concat_ws(" ", "source", "content"))).alias("word")
     )
@@ -53,7 +55,8 @@ def question_overlap(questions: DataFrame, evidence: DataFrame, small: int = SMA
     else:
         overlap = _prefix_overlap(asked, held)
     overlap = overlap.filter(F.col("overlap") >= MIN_OVERLAP)
-    return overlap.join(items.select("run_id", "item_id", "source", "content"), ["run_id", "item_id"])
+    # Repeated texts make small files, which says little about what a broadcast of them would hold.
+    return overlap.join(items.select("run_id", "item_id", "source", "content").hint("merge"), ["run_id", "item_id"])
 
 
 def _prefix_overlap(asked: DataFrame, held: DataFrame) -> DataFrame:
@@ -82,18 +85,16 @@ def _prefix_overlap(asked: DataFrame, held: DataFrame) -> DataFrame:
     return joined.select("run_id", "question_id", "item_id", (F.col("_shared") + F.coalesce("_has", F.lit(0))).alias("overlap"))
 
 
-def _pack(cap: int):
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["overlap", "item_id"], ascending=[False, True])
-        used, keep = 0, []
-        for size in part["size"]:
-            fits = used + size <= cap
-            used += size if fits else 0
-            keep.append(fits)
-        kept = part[keep]
-        return kept.assign(position=range(1, len(kept) + 1))[["run_id", "question_id", "item_id", "overlap", "size", "position"]]
+def _packed(items: Column, cap: int) -> Column:
+    """The items taken in order, each one that still fits under ``cap`` characters."""
+    nothing = F.struct(F.lit(0).alias("used"), F.slice(items, 1, 0).alias("kept"))
+
+    def take(state: Column, item: Column) -> Column:
+        used = state["used"] + item["size"]
+        taken = F.struct(used.alias("used"), F.concat(state["kept"], F.array(item)).alias("kept"))
+        return F.when(used <= cap, taken).otherwise(state)
 
-    return pack
+    return F.aggregate(items, nothing, take, lambda state: state["kept"])
 
 
 def retrieve_evidence(questions: DataFrame, evidence: DataFrame, cap: int = PROMPT_CHARS) -> DataFrame:
@@ -104,7 +105,9 @@ def retrieve_evidence(questions: DataFrame, evidence: DataFrame, cap: int = PROM
     sequential packing sees per question by about ``cap * ln(cap)`` rows,
     however many items match, without changing its result.
     """
-    scored = question_overlap(questions, evidence).withColumn(
+    # Written dealt, so that the filter and the words are made on all cores whatever the files of the input.
+    items = materialize(deal(safe_evidence(evidence), evidence.count()), "evidence")
+    scored = _overlap(questions, items).withColumn(
         "size", F.length("source") + F.length("content")
     )
     order = Window.partitionBy("run_id", "question_id", "size").orderBy(F.desc("overlap"), "item_id")
@@ -114,11 +117,12 @@ def retrieve_evidence(questions: DataFrame, evidence: DataFrame, cap: int = PROM
         .filter(F.col("_rn") <= max(1, cap // SMALLEST_MATCH))
         .filter(F.col("_rn") * F.col("size") <= cap)
     )
-    slim = possible.select("run_id", "question_id", "item_id", "overlap", "size")
-    types = dict(slim.dtypes)
-    shape = ", ".join(f"{c} {types[c]}" for c in ("run_id", "question_id", "item_id", "overlap", "size"))
-    packed = slim.groupBy("run_id", "question_id").applyInPandas(_pack(cap), f"{shape}, position int")
-    texts = safe_evidence(evidence).select("run_id", "item_id", "source", "content")
+    # Lists are bounded as said above, and walked where they are: a Python call for each question would cost more than its packing.
+    item = F.struct((-F.col("overlap")).alias("last"), "item_id", "overlap", F.col("size").cast("int").alias("size"))
+    listed = possible.groupBy("run_id", "question_id").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    spots = listed.select("run_id", "question_id", F.posexplode(_packed(F.col("_items"), cap)).alias("_at", "_item"))
+    packed = spots.select("run_id", "question_id", "_item.item_id", "_item.overlap", "_item.size", (F.col("_at") + 1).alias("position"))
+    texts = items.select("run_id", "item_id", "source", "content").hint("merge")
     return packed.join(texts, ["run_id", "item_id"])
 
 
