@@ -270,3 +270,22 @@ def test_training_rows_are_dealt_over_tasks(spark):
     held = table.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()
     assert len(held) == 3 and sum(r["n"] for r in held) == rows
     assert {r["n"] for r in table.groupBy("_fold").agg(F.count(F.lit(1)).alias("n")).collect()} == {rows // 5}
+
+
+def test_forests_keep_the_nodes_of_rows(spark):
+    """Deep forests do not seek a row's node from the root at each level; the trees are the same either way."""
+    from pyspark.ml.linalg import Vectors
+
+    from factloom.modeling.prep import FeaturePlan
+    from factloom.modeling.tournament import candidate
+
+    rng = np.random.default_rng(5)
+    rows = [(Vectors.dense(*x), float(x[0] > 0.3 * x[1]), 1.0) for x in rng.normal(size=(300, 4)).tolist()]
+    data = spark.createDataFrame(rows, ["features", "_y", "_w"])
+    for problem in ("classification", "regression"):
+        plan = FeaturePlan("y", problem, 300, ["0.0", "1.0"] if problem == "classification" else [])
+        for name in ("Random Forest", "Random Forest (no bootstrap)"):
+            forest = candidate(name, plan)
+            assert forest.getCacheNodeIds()
+            kept, sought = (f.fit(data).toDebugString.split("\n", 1)[1] for f in (forest, forest.copy({forest.cacheNodeIds: False})))
+            assert kept == sought
