@@ -289,3 +289,26 @@ def test_forests_keep_the_nodes_of_rows(spark):
             assert forest.getCacheNodeIds()
             kept, sought = (f.fit(data).toDebugString.split("\n", 1)[1] for f in (forest, forest.copy({forest.cacheNodeIds: False})))
             assert kept == sought
+
+
+def test_permuted_rows_are_dealt_over_tasks(spark, monkeypatch):
+    """Scoring every row once a column is not left to the few buckets of the ranking."""
+    from factloom.modeling.prep import ROWS_PER_TASK
+    from factloom.session import materialize
+
+    rows = 3 * ROWS_PER_TASK
+    number = (F.col("id") % 977).cast("double")
+    df = spark.range(rows).select(number.alias("amount"), F.when(number + F.col("id") % 7 > 400, "a").otherwise("b").alias("kind"))
+    plan = plan_features(df, "kind")
+    part = scoring.fit_part(df.withColumn("_y", (F.col("kind") == "b").cast("double")).withColumn("_w", F.lit(1.0)), plan, ["Decision Tree"])
+    written = []
+
+    def kept(data, label):
+        written.append(materialize(data, label))
+        return written[-1]
+
+    monkeypatch.setattr(explain, "materialize", kept)
+    found = {r["column"]: r for r in explain.permutation_drivers(scoring.FittedModel(plan, "Decision Tree", part, []), df).collect()}
+    dealt = written[1].groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(dealt) == 3 and sum(r["n"] for r in dealt) == rows
+    assert found["amount"]["importance"] > 0.3
