@@ -230,3 +230,24 @@ def test_merged_masks_hold_every_tree():
                 at = tree[at[3] if row[at[1]] <= at[2] else at[4]]
             walked[i] += at[5]
     assert np.allclose(anomalies.mean_path(forest, values), walked / len(grown))
+
+
+def test_spread_is_only_taken_of_flat_columns(spark, monkeypatch):
+    """A column with a typical deviation needs no further pass; one of mostly equal values falls back on its spread."""
+    rows = [(float(i % 41), 5.0 if i else 900.0) for i in range(200)]
+    asked = []
+    taken = anomalies.fused_agg
+    monkeypatch.setattr(anomalies, "fused_agg", lambda df, exprs: asked.append(len(exprs)) or taken(df, exprs))
+    df = spark.createDataFrame(rows, "even double, flat double")
+    found = anomalies.robust_z(df, ["even", "flat"]).orderBy(F.desc("z_max")).first()
+    assert asked == [1]
+    assert found["extreme"] and found["reason"].startswith("flat")
+    assert np.isclose(found["z_max"], 895 / np.std([r[1] for r in rows], ddof=1))
+
+
+def test_first_bit_in_several_words():
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 256, 500)
+    words = [np.where(bits // 64 == w, np.uint64(1) << (bits % 64).astype(np.uint64), np.uint64(0)) for w in range(4)]
+    above = [w | np.where(bits // 64 < k, np.uint64(2**64 - 1), np.uint64(0)) for k, w in enumerate(words)]
+    assert (anomalies._first_bit(words) == bits).all() and (anomalies._first_bit(above) == bits).all()
