@@ -251,3 +251,32 @@ def test_first_bit_in_several_words():
     words = [np.where(bits // 64 == w, np.uint64(1) << (bits % 64).astype(np.uint64), np.uint64(0)) for w in range(4)]
     above = [w | np.where(bits // 64 < k, np.uint64(2**64 - 1), np.uint64(0)) for k, w in enumerate(words)]
     assert (anomalies._first_bit(words) == bits).all() and (anomalies._first_bit(above) == bits).all()
+
+
+def test_quantiles_of_small_groups_take_no_sketch(spark, monkeypatch):
+    """Only groups too large to sort as arrays are bracketed; both ways give the exact quantiles of every group."""
+    from factloom.operators import order
+
+    rng = np.random.default_rng(6)
+    keys = np.concatenate([np.full(order.KEEP_ALL_ROWS + 9_000, -1), rng.integers(0, 300, 3_000)])
+    pdf = pd.DataFrame({"k": keys, "x": rng.normal(size=len(keys)).round(3), "y": rng.uniform(size=len(keys))})
+    pdf.loc[rng.integers(0, len(pdf), 500), "x"] = np.nan
+    pdf.loc[pdf["k"] == 7, "y"] = np.nan
+    seen = []
+    bracketed = order._brackets
+    monkeypatch.setattr(order, "_brackets", lambda data, *rest: seen.append(data.count()) or bracketed(data, *rest))
+    df = spark.createDataFrame(pdf).withColumn("k", F.when(F.col("k") != 3, F.col("k")))
+    pdf["k"] = pdf["k"].where(pdf["k"] != 3)
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    found = {(r["k"], r["column"]): r for r in order.exact_quantiles(df, ["x", "y"], probs, by=["k"]).collect()}
+    assert seen == [order.KEEP_ALL_ROWS + 9_000]
+    wanted = 0
+    for key, part in pdf.groupby("k", dropna=False):
+        for c in ("x", "y"):
+            values = part[c].dropna()
+            if len(values):
+                row = found[None if pd.isna(key) else key, c]
+                assert row["n"] == len(values)
+                assert np.allclose([row[p] for p in probs], values.quantile(list(probs.values())))
+                wanted += 1
+    assert len(found) == wanted and (7, "y") not in found
