@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def valid_vectors(rows: DataFrame, nonzero: bool) -> DataFrame:
-    """(vec_id, vector) with double components: no null or non-finite component, ids not null, one row per id.
+def valid_vectors(rows: DataFrame, nonzero: bool, component: str = "double") -> DataFrame:
+    """(vec_id, vector) with components of this type: no null or non-finite component, ids not null, one row per id.
 
     Of several rows with one id the smallest vector is taken.
     """
-    x = F.col("embedding").cast("array<double>")
+    x = F.col("embedding").cast(f"array<{component}>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     kept = F.col("vec_id").isNotNull() & x.isNotNull() & finite
     if nonzero:
@@ -26,9 +26,10 @@ def with_roles(vectors: DataFrame, is_query: Column, copies: int) -> DataFrame:
     """Rows that can appear in a result or ask for one.
 
     Of all rows with the same vector only the ``copies`` smallest ids can be among the first copies - 1
-    of any ranking, since ties go to the smaller id and only the query's own row is left out.
+    of any ranking, since ties go to the smaller id and only the query's own row is left out. The hash
+    before the vector lets the sort compare numbers.
     """
-    place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    place = F.row_number().over(Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("vec_id"))
     candidates = vectors.withColumn("_place", place).where(F.col("_place") <= copies).select("vec_id", "vector", F.lit(True).alias("candidate"), F.lit(False).alias("query"))
     queries = vectors.where(is_query).select("vec_id", "vector", F.lit(False).alias("candidate"), F.lit(True).alias("query"))
     return candidates.unionByName(queries)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -54,6 +55,69 @@ def test_maxscore_small_tables(spark):
     assert [v for v, _ in got[0]] == [2, 1] and got[1][0] == (0, 256 * 256)
 
 
+def brute_products(whole, k=5, every=50):
+    found = {}
+    for q in (i for i in whole if i % every == 0):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], x)), i) for i, x in whole.items() if i != q))[:k]
+        found[q] = [(i, -s) for s, i in scores]
+    return found
+
+
+def test_maxscore_lanes_and_holders(spark, monkeypatch):
+    """Rows in several lanes, queries in several tasks, and components so unlike that most terms are only probed."""
+    for name, value in (("SHARD_ROWS", 64), ("BLOCK_QUERIES", 8), ("HELD_VALUES", 200), ("LANE_ROWS", 100)):
+        monkeypatch.setattr(maxscore, name, value)
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(1200, 24)) * 0.6 ** np.arange(24)
+    cells = [(i, x.tolist(), "a", 1) for i, x in enumerate(rows)]
+    got = ranked(maxscore.top_products(frame(spark, cells), every=20).collect())
+    assert got == brute_products({i: np.floor(256 * x).astype(int).tolist() for i, x in enumerate(rows)}, every=20)
+
+
+def test_maxscore_of_small_queries_and_large_rows_is_exact(spark):
+    """Sums beyond 2^53, though the queries alone are small."""
+    rng = np.random.default_rng(4)
+    cells = [(i, (rng.integers(1, 2**12, 12) if i % 50 == 0 else rng.integers(2**44, 2**45, 12)).astype(float).tolist(), "a", 1) for i in range(200)]
+    got = ranked(maxscore.top_products(frame(spark, cells), scale=1).collect())
+    assert got == brute_products({i: [int(v) for v in x] for i, x, _, _ in cells})
+
+
+def test_maxscore_costs_little_more_than_a_product():
+    """A block of queries meets a shard in a few matrix products, not in a walk for each query."""
+    rng = np.random.default_rng(5)
+    rows = [maxscore.integers(rng.normal(size=(n, 64)) / 8, 256) for n in (2048, 8192, 8192)]
+    block = maxscore.Block(np.arange(2048), rows[0], 5)
+    shards = [maxscore.Shard(np.arange(8192) + 10_000 * (i + 1), x) for i, x in enumerate(rows[1:])]
+    a, b = rows[0].astype(np.float32), rows[2].astype(np.float32)
+    shards[0].search(block)
+    plain, searched = [], []
+    for _ in range(3):
+        began = time.perf_counter()
+        a @ b.T
+        middle = time.perf_counter()
+        shards[1].search(block)
+        plain.append(middle - began)
+        searched.append(time.perf_counter() - middle)
+    # A walk for each query took some hundred times the product.
+    assert min(searched) < 20 * min(plain)
+
+
+def test_maxscore_probes_only_what_can_reach_the_threshold():
+    """Steep components: after the essential terms few pairs are left, and the block goes on probing; even ones: it traverses all terms for a while."""
+    rng = np.random.default_rng(6)
+    for steep, waits in ((0.6, False), (1.0, True)):
+        rows = maxscore.integers(rng.normal(size=(4096, 32)) * steep ** np.arange(32), 256)
+        block = maxscore.Block(np.arange(300), rows[:300], 5)
+        for start in range(0, 4096, 1024):
+            maxscore.Shard(np.arange(start, start + 1024), rows[start : start + 1024]).search(block)
+        assert (block.wait > 0) == waits
+        whole = {i: x.astype(int).tolist() for i, x in enumerate(rows)}
+        for q in range(0, 300, 60):
+            scores = rows @ rows[q]
+            order = [i for i in np.lexsort((np.arange(len(whole)), -scores)) if i != q][:5]
+            assert block.found[q].tolist() == order and block.scores[q].tolist() == scores[order].astype(int).tolist()
+
+
 @pytest.mark.parametrize("shard", [4096, 40])
 def test_nearest_recall(spark, monkeypatch, shard):
     monkeypatch.setattr(nearest, "SHARD_ROWS", shard)
