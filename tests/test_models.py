@@ -267,6 +267,23 @@ def test_trained_tries_all_candidates(spark, monkeypatch):
     assert asked == [(tournament.CLASSIFIERS, None)]
 
 
+def test_analysis_findings_tries_all_candidates(spark, monkeypatch):
+    """The full flow leaves the choice of candidates to the training, which then tries all."""
+    from types import SimpleNamespace
+
+    from factloom.plans import insight_queries
+
+    asked = []
+
+    def noted(spark, df, analysis_type="auto", target=None, gate=True, candidates=None):
+        asked.append((target, candidates or tournament.REGRESSORS))
+        return SimpleNamespace(findings="findings")
+
+    monkeypatch.setattr(insight_queries, "analyze", noted)
+    assert insight_queries.analysis_findings(spark, SF) == "findings"
+    assert asked == [("value", tournament.REGRESSORS)]
+
+
 def test_all_candidates_are_scored(spark, signal):
     """Without a choice every candidate of the kind has a line of its own."""
     game = tournament.run_tournament(signal, "Churn")
